@@ -199,8 +199,7 @@ def cooldown(
     """Keep the first row of a key, then each row at least ``seconds`` after the last kept one.
 
     ``seconds`` may be a column that is constant per key. Of rows with equal
-    time only the one with the lowest ``tiebreak`` (an integer, unique per key
-    and time) can be kept.
+    time only one with the lowest ``tiebreak`` (an integer) can be kept.
     """
     keys = list(keys)
     gap = F.lit(seconds) if isinstance(seconds, int) else as_column(seconds)
@@ -218,7 +217,8 @@ def cooldown(
     ).select(*keys, "_ms", "_id")
     kept = short.unionByName(long)
     kept = kept.select(*keys, F.col("_ms").alias(ts), F.col("_id").alias(tiebreak))
-    return df.join(kept, [*keys, ts, tiebreak], "left_semi").select(*df.columns)
+    at = [*keys, ts, tiebreak]
+    return df.join(kept, at, "left_semi").select(*df.columns).dropDuplicates(at)
 
 
 def _threshold_column(thresholds: Sequence[Threshold], attribute: str) -> Column:
@@ -251,77 +251,62 @@ def threshold_alerts(
     events: DataFrame,
     thresholds: Sequence[Threshold] = tuple(DEFAULT_THRESHOLDS),
     *,
-    tiebreak: str = "event_id",
+    tiebreak: Sequence[str] = ("event_id", "line_no", "rule_no"),
     fold_rows: int = FOLD_ROWS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Alerts where enough events of a device and category fall in the trailing window.
 
     An alert clears the history and silences the pair for the cooldown.
-    ``events`` are security events with a ``tiebreak`` that is unique per
-    device and category.
+    ``tiebreak`` columns order security events of equal time.
     """
     keys = ["device_id", "category"]
     thresholds = list(thresholds)
+    same_ms = Window.partitionBy(*keys, "timestamp_ms").orderBy(*tiebreak)
+    used = events.filter(F.col("category").isin([t.category for t in thresholds]))
+    used = used.withColumn("_id", F.row_number().over(same_ms).cast("long"))
     # With a cooldown longer than the window the cleared history can no longer
     # matter when the next alert becomes possible: sliding counts and
     # suppression say everything, and both compact per millisecond.
     simple = [t for t in thresholds if t.cooldown_sec > t.window_sec]
     coupled = [t for t in thresholds if t.cooldown_sec <= t.window_sec]
-    parts = []
+    of = lambda some: used.filter(F.col("category").isin([t.category for t in some]))
+    fires = []
     if simple:
-        parts.append(_alerts_by_window(events.filter(F.col("category").isin([t.category for t in simple])),
-                                       keys, simple, tiebreak, fold_rows, segment_rows))
+        fires.append(_fires_by_window(of(simple), keys, simple, fold_rows, segment_rows))
     if coupled:
-        parts.append(_alerts_by_chain(events.filter(F.col("category").isin([t.category for t in coupled])),
-                                      keys, coupled, tiebreak, segment_rows))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return _alert_columns(out, thresholds)
+        fires.append(_fires_by_chain(of(coupled), keys, coupled, segment_rows))
+    all_fires = fires[0] if len(fires) == 1 else fires[0].unionByName(fires[1])
+    return _alert_columns(used.join(all_fires, [*keys, "timestamp_ms", "_id"]).drop("_id"), thresholds)
 
 
-def _alerts_by_window(events, keys, thresholds, tiebreak, fold_rows, segment_rows):
+def _fires_by_window(events, keys, thresholds, fold_rows, segment_rows):
+    """(key, time, rank within the millisecond, count) of the events that raise an alert."""
     counted = per_millisecond(events, keys, "timestamp_ms", {"_n": F.lit(1)})
     width = _threshold_column(thresholds, "window_sec") * 1000
     prior = trailing_sums(
         counted, keys, "timestamp_ms", ["_n"], width, [t.window_sec * 1000 for t in thresholds], include_now=False
     )
-    need = _threshold_column(thresholds, "count")
+    # The event that crosses the threshold is the _id-th of its millisecond.
     able = (
-        prior.withColumn("_rank", F.greatest(F.lit(1).cast("long"), need - F.col("_n_win")))
-        .filter(F.col("_n") >= F.col("_rank"))
-        .select(*keys, "timestamp_ms", "_rank", (F.col("_n_win") + F.col("_rank")).alias("event_count"))
-    )
-    fires = cooldown(
-        able.withColumn("_one", F.lit(0).cast("long")).withColumn("_gap", _threshold_column(thresholds, "cooldown_sec")),
-        keys, "_gap", tiebreak="_one", fold_rows=fold_rows, segment_rows=segment_rows,
-    ).drop("_one", "_gap")
-    # The event that crossed the threshold is the _rank-th of its millisecond.
-    same_ms = Window.partitionBy(*keys, "timestamp_ms").orderBy(tiebreak)
-    return (
-        events.join(fires, [*keys, "timestamp_ms"])
-        .withColumn("_rn", F.row_number().over(same_ms))
-        .filter("_rn = _rank")
-        .select(*keys, "timestamp_ms", tiebreak, "machine_ip", "severity", "rule_name", "matched_text", "event_count")
+        prior.withColumn("_id", F.greatest(F.lit(1).cast("long"), _threshold_column(thresholds, "count") - F.col("_n_win")))
+        .filter(F.col("_n") >= F.col("_id"))
+        .select(*keys, "timestamp_ms", "_id", (F.col("_n_win") + F.col("_id")).alias("event_count"),
+                _threshold_column(thresholds, "cooldown_sec").alias("_gap"))
     )
+    return cooldown(able, keys, "_gap", tiebreak="_id", fold_rows=fold_rows, segment_rows=segment_rows).drop("_gap")
 
 
-def _alerts_by_chain(events, keys, thresholds, tiebreak, segment_rows):
+def _fires_by_chain(events, keys, thresholds, segment_rows):
     rows = _sized(
         events.select(
-            *keys,
-            F.col("timestamp_ms").cast("long").alias("_ms"),
-            F.col(tiebreak).cast("long").alias("_id"),
+            *keys, "_id", F.col("timestamp_ms").cast("long").alias("_ms"),
             _threshold_column(thresholds, "count").alias("_need"),
             (_threshold_column(thresholds, "window_sec") * 1000).alias("_window"),
             (_threshold_column(thresholds, "cooldown_sec") * 1000).alias("_cooldown"),
         ),
         keys,
     )
-    fires = _fire_in_segments(rows, keys, segment_rows).select(
-        *keys, F.col("_ms").alias("timestamp_ms"), F.col("_id").alias(tiebreak), F.col("fired_count").alias("event_count")
-    )
-    return events.join(fires, [*keys, "timestamp_ms", tiebreak]).select(
-        *keys, "timestamp_ms", tiebreak, "machine_ip", "severity", "rule_name", "matched_text", "event_count"
+    return _fire_in_segments(rows, keys, segment_rows).select(
+        *keys, F.col("_ms").alias("timestamp_ms"), "_id", F.col("fired_count").alias("event_count")
     )

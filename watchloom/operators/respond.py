@@ -45,7 +45,11 @@ def ir_incidents(
     sigma: DataFrame | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """Everything that may trigger a playbook, in one schema."""
+    """Everything that may trigger a playbook, in one schema.
+
+    ``event_id`` is a hash of the row: it orders incidents of equal time the
+    same way in every run.
+    """
     high = lambda df: df.filter(at_least("severity", "high"))
     parts = []
     if threats is not None:
@@ -78,7 +82,8 @@ def ir_incidents(
                                category="rule_name", mitre_id="mitre_technique"))
     if sigma is not None:
         parts.append(_incident(sigma, "sigma", category="rule_title"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.withColumn("event_id", F.xxhash64(*IR_COLUMNS))
 
 
 def _playbook_match(p: Playbook) -> Column:

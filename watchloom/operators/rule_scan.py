@@ -23,17 +23,17 @@ def log_lines(text: Column | str, max_length: int | None = None) -> Column:
 
 def _explode_lines(logs: DataFrame, text: str, max_line: int | None) -> DataFrame:
     others = [c for c in logs.columns if c != text]
-    return logs.select(*others, F.explode(log_lines(text, max_line)).alias("_line"))
+    return logs.select(*others, F.posexplode(log_lines(text, max_line)).alias("line_no", "_line"))
 
 
-def _hits(lines: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame:
+def _hits(lines: DataFrame, rules: Sequence[DetectionRule], first: int = 0) -> DataFrame:
     found = compact(*[
         F.when(
             F.col("_line").rlike(f"(?i){r.pattern}"),
-            F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("severity"),
-                     F.lit(r.category).alias("category")),
+            F.struct(F.lit(i).alias("rule_no"), F.lit(r.name).alias("rule_name"),
+                     F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")),
         )
-        for r in rules
+        for i, r in enumerate(rules, first)
     ])
     others = [c for c in lines.columns if c != "_line"]
     return lines.select(*others, "_line", F.explode(found).alias("_hit")).select(
@@ -49,6 +49,8 @@ def scan_rules(
 ) -> DataFrame:
     """One security event per (line, rule) hit; all rules are tried on every line.
 
+    ``line_no`` and ``rule_no`` give the order of the hits of one chunk.
+
     Lines are scanned whole; pass ``max_line`` to cut them first. The rules are
     literals of the plan, compiled once per task.
     """
@@ -63,7 +65,7 @@ def scan_rules(
     needed = needed.filter(F.size("_groups") > 0)
     out = None
     for i, group in enumerate(groups):
-        part = _hits(needed.filter(F.array_contains("_groups", i)).drop("_groups"), group)
+        part = _hits(needed.filter(F.array_contains("_groups", i)).drop("_groups"), group, i * PROJECTED_RULES)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -142,7 +142,7 @@ def ewma_baseline(
     )
     # Position from the start of the copied block; 0 … 2·block_rows - 1.
     pos = (F.col(seq) - 1 - F.greatest(F.lit(0).cast("long"), F.col("block") - 1) * block_rows).cast("double")
-    rows = rows.withColumn("_up", F.pow(F.lit(keep), -pos)).withColumn("_down", F.pow(F.lit(keep), pos)).withColumn("_pos", pos)
+    rows = rows.withColumn("_up", F.pow(F.lit(keep), -pos)).withColumn("_down", F.pow(F.lit(keep), pos))
 
     by_block = Window.partitionBy(key, "block").orderBy(seq)
     running = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -150,29 +150,28 @@ def ewma_baseline(
     def n(m: Metric) -> Column:
         return F.greatest(F.lit(0).cast("long"), F.col(seq) - m.skip)
 
-    def seeds(m: Metric) -> Column:
-        return (n(m) == 1) | ((F.col("_pos") == 0) & (n(m) > 1))
-
-    means = {}
-    for m in metrics:
-        x = F.when(n(m) >= 1, F.col(f"_x_{m.name}")).otherwise(0.0)
-        weight = F.when(seeds(m), F.lit(1.0)).otherwise(F.lit(alpha))
-        means[f"{m.name}_mean"] = F.col("_down") * F.sum(weight * x * F.col("_up")).over(running)
-    rows = rows.withColumns(means)
-
-    gaps = {
-        f"_d_{m.name}": F.when(
-            seeds(m) | (n(m) < 1), F.lit(0.0)
-        ).otherwise(F.col(f"_x_{m.name}") - F.lag(f"{m.name}_mean").over(by_block))
+    # Every block is measured from its first value: a constant series is then
+    # exactly constant, and the first value needs no weight of its own.
+    rows = rows.withColumns({
+        f"_c_{m.name}": F.first(F.when(n(m) >= 1, F.col(f"_x_{m.name}")), ignorenulls=True).over(running)
         for m in metrics
-    }
-    rows = rows.withColumns(gaps)
+    })
+
+    def centred(m: Metric) -> Column:
+        return F.coalesce(F.col(f"_x_{m.name}") - F.col(f"_c_{m.name}"), F.lit(0.0))
 
+    rows = rows.withColumns({
+        f"_m_{m.name}": alpha * F.col("_down") * F.sum(centred(m) * F.col("_up")).over(running) for m in metrics
+    })
+    rows = rows.withColumns({
+        f"_d_{m.name}": centred(m) - F.coalesce(F.lag(f"_m_{m.name}").over(by_block), F.lit(0.0)) for m in metrics
+    })
     spreads = {}
     for m in metrics:
         square = F.col(f"_d_{m.name}") * F.col(f"_d_{m.name}")
-        variance = F.col("_down") * F.sum(alpha * keep * square * F.col("_up")).over(running)
+        variance = alpha * keep * F.col("_down") * F.sum(square * F.col("_up")).over(running)
         spreads[f"{m.name}_sd"] = F.sqrt(F.greatest(F.lit(0.0), variance))
+        spreads[f"{m.name}_mean"] = F.coalesce(F.col(f"_c_{m.name}") + F.col(f"_m_{m.name}"), F.lit(0.0))
     rows = rows.withColumns(spreads).filter("own")
 
     scores = {}
@@ -183,8 +182,8 @@ def ewma_baseline(
         scores[f"{m.name}_ready"] = ready
         scores[f"{m.name}_z"] = F.when(ready & (sd >= 1e-9), (F.col(f"_x_{m.name}") - mean) / sd).otherwise(0.0)
     rows = rows.withColumns(scores)
-    scratch = ["block", "own", "_up", "_down", "_pos"]
-    return rows.drop(*scratch, *[f"_x_{m.name}" for m in metrics], *[f"_d_{m.name}" for m in metrics])
+    scratch = [f"_{part}_{m.name}" for m in metrics for part in "xcmd"]
+    return rows.drop("block", "own", "_up", "_down", *scratch)
 
 
 def baseline_snapshot(
