@@ -26,6 +26,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .appName("watchloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in SETTINGS.items():
