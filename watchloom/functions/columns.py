@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_column(value: Column | str) -> Column:
@@ -27,6 +27,25 @@ def compact(*options: Column) -> Column:
     return F.filter(F.array(*options), lambda x: x.isNotNull())
 
 
+def explode_once(df: DataFrame, keep: Sequence[str], values: Column, name: str) -> DataFrame:
+    """One row per non-null element of an array that is costly to compute.
+
+    A plain ``explode`` makes the optimizer test the array's size first, which
+    evaluates it twice; the outer form with a filter behind it does not.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
+def held(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are computed once per row however often they are used.
+
+    Projections are merged and would repeat the expression at each use; the
+    output of a generator is kept.
+    """
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return df.select("*", F.explode_outer(F.array(row)).alias("_held")).select(*df.columns, "_held.*")
+
+
 def div_floor(value: Column, width: Column | int) -> Column:
     """Floor division of longs, also right below zero."""
     width = F.lit(width) if isinstance(width, int) else width

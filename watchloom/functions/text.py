@@ -1,10 +1,12 @@
-"""Text extraction and string statistics, all JVM-side."""
+"""Text extraction and string statistics; all but the entropies stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from watchloom.functions.columns import as_column
 from watchloom.rules.reference_lists import CRITICAL_PATHS, HIGH_PATHS
@@ -57,28 +59,35 @@ def match_count(text: Column | str, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(as_column(text), F.lit(f"(?i){pattern}")), F.lit(0))
 
 
-def shannon_entropy(text: Column | str, skip: str = "") -> Column:
-    """Bits per character over the character frequencies.
+def _bits(symbols: np.ndarray) -> float:
+    if not len(symbols):
+        return 0.0
+    p = np.bincount(symbols) if symbols.dtype == np.uint8 else np.unique(symbols, return_counts=True)[1]
+    p = p[p > 0] / len(symbols)
+    return float(-(p * np.log2(p)).sum())
+
+
+# Counting symbols is a histogram per value, which SQL functions can only reach
+# by scanning the value once per distinct symbol; Arrow batches do it in one pass.
+@F.pandas_udf(T.DoubleType())
+def _text_bits(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda s: None if s is None else _bits(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)))
 
-    The alphabet of a byte payload or a host name is small, so counting each
-    distinct character with ``replace`` keeps this linear in the text.
-    """
-    text = as_column(text)
-    if skip:
-        text = F.replace(text, F.lit(skip), F.lit(""))
-    total = F.length(text)
-    alphabet = F.array_distinct(F.split(text, ""))
 
-    def bits(acc: Column, ch: Column) -> Column:
-        p = (total - F.length(F.replace(text, ch, F.lit("")))) / total
-        return acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
+@F.pandas_udf(T.DoubleType())
+def _byte_bits(payloads: pd.Series) -> pd.Series:
+    return payloads.map(lambda b: None if b is None else _bits(np.frombuffer(b, dtype=np.uint8)))
 
-    return F.when(total == 0, F.lit(0.0)).otherwise(F.aggregate(alphabet, F.lit(0.0), bits))
+
+def shannon_entropy(text: Column | str, skip: str = "") -> Column:
+    """Bits per character over the character frequencies."""
+    text = as_column(text)
+    return _text_bits(F.replace(text, F.lit(skip), F.lit("")) if skip else text)
 
 
 def byte_entropy(payload: Column | str) -> Column:
-    """Bits per byte of a binary column: one Latin-1 character is one byte."""
-    return shannon_entropy(F.decode(as_column(payload), "ISO-8859-1"))
+    """Bits per byte of a binary column."""
+    return _byte_bits(as_column(payload))
 
 
 def consonant_ratio(text: Column | str) -> Column:

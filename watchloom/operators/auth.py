@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import compact
+from watchloom.functions.columns import compact, explode_once
 
 # Patterns for user and address.
 FAILED_PATTERN = r"(?i)Failed password for (?:invalid user )?(\S+) from (\S+)"
@@ -22,7 +22,7 @@ def _event(kind: str, session: str, detail: Column | str, user: Column | str = "
 
 def _explode(logs: DataFrame, text: str, *events: Column) -> DataFrame:
     others = [c for c in logs.columns if c != text]
-    return logs.select(*others, F.explode(compact(*events)).alias("_e")).select(*others, "_e.*")
+    return explode_once(logs, others, compact(*events), "_e").select(*others, "_e.*")
 
 
 def linux_auth_events(logs: DataFrame, text: str = "raw_log") -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import case_of, div_floor
+from watchloom.functions.columns import case_of, div_floor, explode_once
 from watchloom.functions.severity import at_least
 from watchloom.operators.cooldown import cooldown
 from watchloom.operators.windows import per_millisecond, trailing_sums
@@ -117,10 +117,10 @@ def _stage_events(events: DataFrame, rules: Sequence[CorrelationRule], stages: i
                      *[f.alias(f"s{i}") for i, f in enumerate(flags)]),
         ))
     found = F.filter(F.array(*options), lambda x: x.isNotNull())
-    return events.select(
+    return explode_once(events, [
         F.col("device_id").cast("long").alias("device_id"), F.col("timestamp_ms").cast("long").alias("timestamp_ms"),
-        "source", "category", F.explode(found).alias("_m"),
-    ).select("device_id", "timestamp_ms", "source", "category", "_m.*")
+        "source", "category",
+    ], found, "_m").select("device_id", "timestamp_ms", "source", "category", "_m.*")
 
 
 def _incident_id() -> Column:

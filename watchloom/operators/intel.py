@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchloom.functions.columns import explode_once
 from watchloom.functions.network import cidr_bounds, ipv4_long, prefix_mask
 from watchloom.functions.text import (
     extract_domains, extract_emails, extract_hashes, extract_ips, extract_urls,
@@ -50,7 +51,7 @@ def report_indicators(
         entries("url", "log_chunk_url", extract_urls(log)),
         entries("email", "log_chunk_email", extract_emails(log)),
     )
-    return reports.select(*keep, F.explode(found).alias("_i")).select(*keep, "_i.*")
+    return explode_once(reports, keep, found, "_i").select(*keep, "_i.*")
 
 
 def match_exact(indicators: DataFrame, feed: DataFrame) -> DataFrame:
@@ -112,11 +113,39 @@ def match_domain(indicators: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def match_indicators(indicators: DataFrame, feed: DataFrame) -> DataFrame:
-    """All matches of a report's indicators, each under its own lookup rule."""
-    return (
-        match_exact(indicators.filter("type <> 'domain'"), feed)
-        .unionByName(match_cidr(indicators, feed))
-        .unionByName(match_domain(indicators, feed))
+    """All matches of a report's indicators, each under its own lookup rule, in one join.
+
+    Every distinct indicator is expanded to the keys it may be filed under -
+    itself, the networks that hold an address, the suffixes of a name - and the
+    best answer per indicator is kept: exact before range, earlier range before
+    later, longer domain before shorter.
+    """
+    value, kind = F.col("value"), F.col("type")
+    entry = lambda k, v, rank: F.struct(k.alias("_kind"), v.alias("_key"), rank.cast("long").alias("_rank"))
+    ip = ipv4_long(value)
+    labels = F.split(value, r"\.")
+    own = F.array(entry(kind, value, F.lit(0)))
+    networks = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda p: entry(
+        F.concat(F.lit("net"), p.cast("string")), ip.bitwiseAND(prefix_mask(p)).cast("string"), F.lit(1)))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: entry(
+        kind, F.array_join(F.slice(labels, i, F.size(labels)), "."), i))
+    keys = F.when((kind == "ip") & (ip != 0), F.concat(own, networks)).when(kind == "domain", suffixes).otherwise(own)
+
+    answers = _answer_columns(feed.filter("type <> 'useragent'"))
+    bounds = cidr_bounds("ioc_value")
+    ranged = F.col("ioc_type") == "cidr"
+    filed = answers.withColumns({
+        "_kind": F.when(ranged, F.concat(F.lit("net"), bounds["prefix"].cast("string"))).otherwise(F.col("ioc_type")),
+        "_key": F.when(ranged, bounds["lo"].cast("string")).otherwise(F.col("ioc_value")),
+    })
+    found = (
+        explode_once(indicators.select("type", "value").distinct(), ["type", "value"], keys, "_k")
+        .select("type", "value", "_k.*")
+        .join(filed, ["_kind", "_key"])
+        .groupBy("type", "value").agg(F.min(F.struct("_rank", "_order", *_ANSWER)).alias("_r"))
+    )
+    return indicators.join(found, ["type", "value"]).select(
+        *indicators.columns, *[F.col(f"_r.{c}").alias(c) for c in _ANSWER]
     )
 
 

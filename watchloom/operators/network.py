@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import fixed
+from watchloom.functions.columns import explode_once, fixed, held
 from watchloom.functions.text import (
     byte_entropy, consonant_ratio, label_count, max_label_len, shannon_entropy,
 )
@@ -35,7 +35,7 @@ def _others(df: DataFrame, text: str) -> list[str]:
 def dns_queries(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     """Names looked up in a log chunk, each once per chunk."""
     names = F.array_distinct(_found(text, DNS_QUERY_PATTERN, 1))
-    return logs.select(*_others(logs, text), F.explode(names).alias("domain"))
+    return explode_once(logs, _others(logs, text), names, "domain")
 
 
 def _finding(df: DataFrame, category: str, severity: Column | str, confidence: Column | float, mitre_id: str,
@@ -52,18 +52,15 @@ def _finding(df: DataFrame, category: str, severity: Column | str, confidence: C
 def _measured(names: DataFrame) -> DataFrame:
     """Lower-cased name and its statistics for names of at least four characters."""
     lower = F.lower("domain")
-    return names.filter(F.length("domain") >= 4).withColumns({
-        "_lower": lower,
-        "_h": shannon_entropy(lower, skip="."),
-        "_labels": label_count(lower),
-        "_longest": max_label_len(lower),
-    })
+    return held(
+        names.filter(F.length("domain") >= 4), _lower=lower, _labels=label_count(lower),
+        _longest=max_label_len(lower), _cr=consonant_ratio(lower),
+    ).withColumn("_h", shannon_entropy("_lower", skip="."))
 
 
 def dga(names: DataFrame) -> DataFrame:
     """Names that look generated: high entropy, few vowels, a long label."""
-    rows = _measured(names).withColumn("_cr", consonant_ratio("_lower")).filter(
-        "_h > 3.5 and _cr > 0.7 and _longest > 12")
+    rows = _measured(names).filter("_h > 3.5 and _cr > 0.7 and _longest > 12")
     conf = F.least(F.lit(1.0), (F.col("_h") - 3.0) * 0.3 + (F.col("_cr") - 0.5) * 0.5)
     return _finding(
         rows, "dga", F.when(conf > 0.7, "high").otherwise("medium"), conf, "T1568.002", F.col("domain"),
@@ -94,26 +91,26 @@ def http_methods(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     """Unusual HTTP methods, one finding per occurrence."""
     both = F.arrays_zip(_found(text, HTTP_METHOD_PATTERN, 1).alias("method"),
                         _found(text, HTTP_METHOD_PATTERN, 0).alias("whole"))
-    rows = logs.select(*_others(logs, text), F.explode(both).alias("_m"))
+    rows = explode_once(logs, _others(logs, text), both, "_m")
     method = F.col("_m.method")
     return _finding(rows, "proto_anomaly", "medium", 0.6, "T1190", method,
                     F.concat(F.lit("Unusual HTTP method: "), method), F.left(F.col("_m.whole"), F.lit(100)))
 
 
 def tool_user_agents(logs: DataFrame, text: str = "raw_log") -> DataFrame:
-    rows = logs.select(*_others(logs, text), F.explode(_found(text, TOOL_AGENT_PATTERN, 1)).alias("_a"))
+    rows = explode_once(logs, _others(logs, text), _found(text, TOOL_AGENT_PATTERN, 1), "_a")
     return _finding(rows, "proto_anomaly", "medium", 0.5, "T1071.001", F.col("_a"),
                     F.concat(F.lit("Suspicious user agent in logs: "), F.col("_a")))
 
 
 def base64_params(logs: DataFrame, text: str = "raw_log") -> DataFrame:
-    rows = logs.select(*_others(logs, text), F.explode(_found(text, BASE64_PARAM_PATTERN, 0)).alias("_p"))
+    rows = explode_once(logs, _others(logs, text), _found(text, BASE64_PARAM_PATTERN, 0), "_p")
     return _finding(rows, "proto_anomaly", "high", 0.65, "T1132.001", F.left("_p", F.lit(60)),
                     F.lit("Base64-encoded data in URL parameter (possible data encoding)"))
 
 
 def long_urls(logs: DataFrame, text: str = "raw_log") -> DataFrame:
-    rows = logs.select(*_others(logs, text), F.explode(_found(text, LONG_URL_PATTERN, 2)).alias("_u"))
+    rows = explode_once(logs, _others(logs, text), _found(text, LONG_URL_PATTERN, 2), "_u")
     return _finding(rows, "proto_anomaly", "high", 0.7, "T1190", F.concat(F.left("_u", F.lit(80)), F.lit("...")),
                     F.concat(F.lit("Unusually long URL ("), F.length("_u").cast("string"),
                              F.lit(" chars) -- possible injection attempt")))
@@ -139,7 +136,8 @@ def connection_anomalies(connections: DataFrame, half_open: str = "SYN_SENT", re
 
 def entropy_findings(payloads: DataFrame, payload: str = "payload", indicator: str | None = None) -> DataFrame:
     """Encrypted or encoded content in a binary column of at least 32 bytes."""
-    rows = payloads.withColumn("_size", F.length(payload)).filter("_size >= 32").withColumn("_h", byte_entropy(payload))
+    rows = payloads.withColumn("_size", F.length(payload)).filter("_size >= 32")
+    rows = rows.withColumn("_h", byte_entropy(payload))
     h, size = F.col("_h"), F.col("_size")
     encrypted = (h > 7.2) & (size > 128)
     rows = rows.filter(encrypted | ((h > 6.5) & (size > 256)))
@@ -157,7 +155,7 @@ def entropy_findings(payloads: DataFrame, payload: str = "payload", indicator: s
 def payload_entropy(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     """Entropy of the bytes behind long base64 runs in log text."""
     others = _others(logs, text)
-    runs = logs.select(*others, F.explode(_found(text, BASE64_RUN_PATTERN, 0)).alias("_run"))
+    runs = explode_once(logs, others, _found(text, BASE64_RUN_PATTERN, 0), "_run")
     decoded = runs.withColumn("_payload", F.try_to_binary("_run", F.lit("base64"))).filter(F.col("_payload").isNotNull())
     found = entropy_findings(decoded.withColumn("indicator_text", F.col("_run")), "_payload", "indicator_text")
     return found.withColumn("evidence", F.left("indicator_text", F.lit(80))).withColumn(

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import case_of, compact
+from watchloom.functions.columns import case_of, compact, explode_once
 from watchloom.functions.severity import RANKS, at_least, severity_rank
 from watchloom.operators.cooldown import cooldown
 from watchloom.rules.correlation import CATEGORY_ALIASES
@@ -122,7 +122,7 @@ def plan_actions(
             _actions(p).alias("_actions")))
         for i, p in enumerate(playbooks) if p.enabled
     ])
-    matched = incidents.select("*", F.explode(matches).alias("_p")).select(*incidents.columns, "_p.*")
+    matched = explode_once(incidents, ["*"], matches, "_p").select(*incidents.columns, "_p.*")
     fired = cooldown(matched, ["device_id", "category", "playbook"], "_gap", tiebreak=tiebreak)
     target = (
         F.when(F.col("_a.target") != "", F.col("_a.target"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import as_column, compact
+from watchloom.functions.columns import as_column, compact, explode_once
 from watchloom.rules.detection import BUILTIN_RULES, DetectionRule
 
 # Rules up to this number become one projection; larger sets are scanned in groups of it.
@@ -15,7 +15,7 @@ PROJECTED_RULES = 200
 
 def log_lines(text: Column | str, max_length: int | None = None) -> Column:
     """Non-empty lines without a trailing carriage return, optionally cut to a length."""
-    lines = F.transform(F.split(as_column(text), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+    lines = F.transform(F.split(as_column(text), "\n"), lambda x: F.rtrim(x, F.lit("\r")))
     if max_length is not None:
         lines = F.transform(lines, lambda x: F.left(x, F.lit(max_length)))
     return F.filter(lines, lambda x: x != "")
@@ -23,7 +23,7 @@ def log_lines(text: Column | str, max_length: int | None = None) -> Column:
 
 def _explode_lines(logs: DataFrame, text: str, max_line: int | None) -> DataFrame:
     others = [c for c in logs.columns if c != text]
-    return logs.select(*others, F.posexplode(log_lines(text, max_line)).alias("line_no", "_line"))
+    return logs.select(*others, F.posexplode_outer(log_lines(text, max_line)).alias("line_no", "_line")).filter("_line is not null")
 
 
 def _hits(lines: DataFrame, rules: Sequence[DetectionRule], first: int = 0) -> DataFrame:
@@ -36,7 +36,7 @@ def _hits(lines: DataFrame, rules: Sequence[DetectionRule], first: int = 0) -> D
         for i, r in enumerate(rules, first)
     ])
     others = [c for c in lines.columns if c != "_line"]
-    return lines.select(*others, "_line", F.explode(found).alias("_hit")).select(
+    return explode_once(lines, [*others, "_line"], found, "_hit").select(
         *others, "_hit.*", F.left("_line", F.lit(512)).alias("matched_text")
     )
 

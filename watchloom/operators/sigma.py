@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import compact
+from watchloom.functions.columns import compact, explode_once
 
 # Logsource word -> event source it also stands for.
 SOURCE_ALIASES = {
@@ -145,7 +145,7 @@ def sigma_match(events: DataFrame, rules: Sequence[SigmaRule]) -> DataFrame:
     """One row per (event, rule) hit; all rules are one projection over the events."""
     others = [c for c in events.columns if c not in ("fields", "source", "category")]
     hits = compact(*[r.hit() for r in rules if r.enabled])
-    return events.select(*others, F.explode(hits).alias("_h")).select(*others, "_h.*")
+    return explode_once(events, others, hits, "_h").select(*others, "_h.*")
 
 
 _EVENT = ["source", "category", "device_id", "timestamp_ms", "machine_ip", "fields"]

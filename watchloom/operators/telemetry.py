@@ -78,12 +78,15 @@ def delta_or_null(value: Column) -> Column:
 def event_counts(
     features: DataFrame, security_events: DataFrame, on: Sequence[str] = ("device_id", "timestamp_ms")
 ) -> DataFrame:
-    """Attach the number of security events and of authentication failures to each report."""
+    """Attach the number of security events, authentication failures and distinct users that failed to each report."""
+    failure = F.col("category") == "auth_failure"
+    user = F.regexp_extract("matched_text", r"(?i)for\s+(\S+)\s+from", 1)
     counts = security_events.groupBy(*on).agg(
         F.count("*").alias("event_count"),
-        F.count_if(F.col("category") == "auth_failure").alias("auth_failures"),
+        F.count_if(failure).alias("auth_failures"),
+        F.size(F.collect_set(F.when(failure & (user != ""), user))).cast("long").alias("auth_users"),
     )
-    return features.join(counts, list(on), "left").fillna(0, ["event_count", "auth_failures"])
+    return features.join(counts, list(on), "left").fillna(0, ["event_count", "auth_failures", "auth_users"])
 
 
 @dataclass(frozen=True)

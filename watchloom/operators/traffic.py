@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import compact, fixed
+from watchloom.functions.columns import compact, explode_once, fixed
 from watchloom.functions.mitre import mitre_tag
 from watchloom.functions.severity import z_confidence
 from watchloom.functions.text import match_count
@@ -211,22 +211,13 @@ def beacon_detector(limits: TrafficLimits = TrafficLimits(), prefix: str = "inte
             _text("interval_mean=", fixed(mean, 0), "ms stddev=", fixed(sd, 0), "ms CoV=", fixed(cov, 4))))
 
 
-def auth_users(security_events: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct user names in the authentication failures of each report."""
-    user = F.regexp_extract("matched_text", r"(?i)for\s+(\S+)\s+from", 1)
-    return (
-        security_events.filter((F.col("category") == "auth_failure") & (user != ""))
-        .groupBy(*on).agg(F.count_distinct(user).alias("auth_users"))
-    )
-
-
 def classify(
     rows: DataFrame,
     detectors: list[Column],
     keep: tuple[str, ...] = ("device_id", "timestamp_ms", "machine_ip"),
 ) -> DataFrame:
     """Run detectors and tag the detections."""
-    found = rows.select(*keep, F.explode(compact(*detectors)).alias("_t")).select(*keep, "_t.*")
+    found = explode_once(rows, keep, compact(*detectors), "_t").select(*keep, "_t.*")
     return mitre_tag(found)
 
 

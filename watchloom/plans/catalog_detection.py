@@ -16,7 +16,7 @@ from watchloom.operators.telemetry import event_counts, telemetry_features
 from watchloom.plans.catalog import query
 from watchloom.plans.catalog_telemetry import _EWMA
 from watchloom.plans.sql import quote, stable
-from watchloom.plans.views import view, with_views
+from watchloom.plans.views import table, view, with_views
 from watchloom.rules.reference_lists import SUSPICIOUS_TLDS
 
 _OUT = ["event_id", "category", "severity", "confidence", "mitre_id", "indicator", "description", "evidence"]
@@ -168,7 +168,7 @@ def q_sigma_match(spark, d):
  union all select 'syslog', 'app', 0, event_id, '1.1.1.1', '', '', concat('m ', cast(event_id as varchar)) from events"""))
 def q_sigma_events(spark, d):
     processes = sigma_process_events(view(spark, d, "proc_b"))
-    lines = spark.read.parquet(f"{d}/events.parquet").selectExpr(
+    lines = table(spark, d, "events").selectExpr(
         "event_id as received_ms", "'app' as app_name", "'h' as hostname", "'1.1.1.1' as source_ip",
         "concat('m ', cast(event_id as string)) as message")
     events = sigma_events(processes, sigma_syslog_events(lines))

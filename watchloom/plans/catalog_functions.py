@@ -14,17 +14,17 @@ from watchloom.functions.text import (
 )
 from watchloom.plans.catalog import query
 from watchloom.plans.sql import MITRE, MITRE_COLUMNS, RANK, case, quote
-from watchloom.plans.views import view, with_views
+from watchloom.plans.views import table, view, with_views
 from watchloom.rules.mitre import TECHNIQUES
 from watchloom.rules.reference_lists import CRITICAL_PATHS, HIGH_PATHS
 
 
 def _documents(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def _pages(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+    return table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
 
 
 @query("severity_rank", with_views(["det"], f"select event_id, severity, {RANK} as severity_rank from det"))
@@ -72,7 +72,7 @@ def q_cidr_bounds(spark, d):
     ip = F.lit(167772160) + (F.col("o_orderkey") * 7919) % 16777216
     octet = lambda n: F.shiftright(ip, n).bitwiseAND(F.lit(255)).cast("string")
     text = F.concat(F.concat_ws(".", octet(24), octet(16), octet(8), octet(0)), F.lit("/"), (F.col("o_orderkey") % 34).cast("string"))
-    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", cidr_bounds(text).alias("b"))
+    rows = table(spark, d, "orders").select("o_orderkey", cidr_bounds(text).alias("b"))
     return rows.select("o_orderkey", (F.col("o_orderkey") % 34).alias("prefix_given"), "b.prefix", "b.lo", "b.hi")
 
 
@@ -88,7 +88,7 @@ def q_shannon_entropy(spark, d):
  len(string_split(host, '.')) as label_count, list_max([length(x) for x in string_split(host, '.')]) as max_label_len from
  (select page_id, url as host, regexp_replace(url, '[^a-zA-Z]', '', 'g') as letters from pages)""")
 def name_statistics(spark, d):
-    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.col("url").alias("host"))
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("host"))
     return rows.select("page_id", "host", F.round(consonant_ratio("host"), 6).alias("consonant_ratio"),
                        label_count("host").alias("label_count"), max_label_len("host").alias("max_label_len"))
 
@@ -98,14 +98,14 @@ _TYPE_WORD = "case o_orderkey % 9 when 0 then 'IPv4' when 1 then 'fqdn' when 2 t
 
 @query("ioc_type_alias", f"""select o_orderkey, case o_orderkey % 9 when 0 then 'ip' when 1 then 'domain' when 2 then 'hash' when 3 then 'useragent' when 4 then 'url' when 5 then 'email' when 6 then 'cidr' when 7 then 'domain' else 'ip' end as ioc_type from orders""")
 def q_ioc_type_alias(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet")
+    orders = table(spark, d, "orders")
     return orders.select("o_orderkey", ioc_type_alias(F.expr(_TYPE_WORD)).alias("ioc_type"))
 
 
 @query("z_tiers", """select l_orderkey, l_linenumber, z, case when abs(z) >= 3 then 'critical' when abs(z) >= 2.5 then 'high' when abs(z) >= 2 then 'medium' else '' end as z_severity,
  round(case when abs(z) < 2 then 0.0 else least(0.95, 0.3 + 0.6 * (abs(z) - 2.0)) end, 6) as z_confidence from (select l_orderkey, l_linenumber, (l_quantity - 25) / 6 as z from lineitem)""")
 def z_tiers(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25) / 6).alias("z"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25) / 6).alias("z"))
     return rows.select("*", z_severity("z").alias("z_severity"), F.round(z_confidence("z"), 6).alias("z_confidence"))
 
 
@@ -118,7 +118,7 @@ _SUB_TYPES = [*TECHNIQUES, "made_up"]
 def q_mitre_tag(spark, d):
     names = F.array(*[F.lit(s) for s in _SUB_TYPES])
     place = (F.col("event_id") % len(_SUB_TYPES) + 1).cast("int")
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.element_at(names, place).alias("sub_type"))
+    rows = table(spark, d, "events").select("event_id", F.element_at(names, place).alias("sub_type"))
     return mitre_tag(rows, url=True)
 
 
@@ -143,7 +143,7 @@ def q_path_severity(spark, d):
  case when change_type = 'added' and severity = 'critical' then 'Persistence' when change_type = 'added' then 'Collection' when change_type = 'modified' and severity = 'critical' then 'Impact' else 'Defense Evasion' end as mitre_tactic
  from (select o_orderkey, case o_orderkey % 3 when 0 then 'added' when 1 then 'modified' else 'deleted' end as change_type, case o_orderkey % 2 when 0 then 'critical' else 'high' end as severity from orders)""")
 def fim_mitre(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
+    rows = table(spark, d, "orders").selectExpr(
         "o_orderkey", "case o_orderkey % 3 when 0 then 'added' when 1 then 'modified' else 'deleted' end as change_type",
         "case o_orderkey % 2 when 0 then 'critical' else 'high' end as severity")
     return rows.select("*", fim_mitre_id("change_type", "severity").alias("mitre_id"),
@@ -152,11 +152,11 @@ def fim_mitre(spark, d):
 
 @query("syslog_level", f"select event_id, {case('event_id % 10', {0: 'emerg', 1: 'alert', 2: 'crit', 3: 'err', 4: 'warning', 5: 'notice', 6: 'info', 7: 'debug'}, 'info')} as level from events")
 def q_syslog_level(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", syslog_level((F.col("event_id") % 10).cast("int")).alias("level"))
+    return table(spark, d, "events").select("event_id", syslog_level((F.col("event_id") % 10).cast("int")).alias("level"))
 
 
 @query("fmt_ts", """select o_orderkey, case when o_orderkey % 7 = 0 then 'n/a' else concat(strftime(make_timestamp((1704067200000 + o_orderkey * 61007) // 1000 * 1000000), '%Y-%m-%d %H:%M:%S'), ' UTC') end as shown from orders""")
 def q_fmt_ts(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
+    rows = table(spark, d, "orders").selectExpr(
         "o_orderkey", "case when o_orderkey % 7 = 0 then 0 else 1704067200000 + o_orderkey * 61007 end as ms")
     return rows.select("o_orderkey", fmt_ts("ms").alias("shown"))

@@ -11,7 +11,7 @@ from watchloom.operators.intel import (
 )
 from watchloom.plans.catalog import query
 from watchloom.plans.sql import quote
-from watchloom.plans.views import view, with_views
+from watchloom.plans.views import table, view, with_views
 from watchloom.sources.feeds import parse_feed_lines, parse_rules
 
 _OUT = ["event_id", "type", "value", "matched_in", "ioc_type", "ioc_value", "severity", "feed_source"]
@@ -75,7 +75,7 @@ def ioc_match_all(spark, d):
 @query("ioc_pages", with_views(["ioc_feed"], f"""src as (select page_id as event_id, concat(url, ' ', html) as body, cast(null as varchar) as ip from pages),
  {_indicator_sql('src', 'body', 'ip')} {_EXACT} where i.type in ('url', 'email', 'hash')"""))
 def ioc_pages(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").select(
+    pages = table(spark, d, "pages").select(
         F.col("page_id").alias("event_id"), F.concat_ws(" ", "url", "html").alias("body"), F.lit(None).cast("string").alias("ip"))
     found = report_indicators(pages, keep=["event_id"], text="body", ip="ip").filter(F.col("type").isin("url", "email", "hash"))
     return match_exact(found, view(spark, d, "ioc_feed")).select(*_OUT)
@@ -88,7 +88,7 @@ _AGENT = "case event_type when 'click' then concat('Mozilla/5.0 (X', cast(event_
  select event_id, user_agent, ioc_value, severity, feed_source from (select a.*, f.value as ioc_value, severity, feed_source,
   row_number() over (partition by event_id order by length(f.value) desc, f.value desc) as rn from a join ioc_feed f on f.type = 'useragent' and contains(lower(user_agent), f.value)) where rn = 1"""))
 def ioc_user_agent(spark, d):
-    agents = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{_AGENT} as user_agent")
+    agents = table(spark, d, "events").selectExpr("event_id", f"{_AGENT} as user_agent")
     return match_user_agent(agents, view(spark, d, "ioc_feed")).select("event_id", "user_agent", "ioc_value", "severity", "feed_source")
 
 
@@ -107,7 +107,7 @@ _FEED_LINE = """concat(case o_orderkey % 6 when 0 then 'IPv4' when 1 then ' fqdn
   case when o_orderkey % 4 = 0 then 'high' else 'low' end as severity, feed_source, concat('desc ', cast(o_orderkey as varchar)) as description, 'T1' as mitre_id, case when o_orderkey % 5 = 0 then 'a,b' else '' end as tags, line_no from l) where type is not null and value is not null)
  select * from e where type = 'cidr' union all select * from (select * from e where type <> 'cidr' qualify row_number() over (partition by type, value order by feed_source desc, line_no desc) = 1)""")
 def q_parse_feed_lines(spark, d):
-    lines = spark.read.parquet(f"{d}/orders.parquet").selectExpr(
+    lines = table(spark, d, "orders").selectExpr(
         "o_orderkey as line_no", "concat('feed', cast(o_orderkey % 3 as string)) as feed_source", f"{_FEED_LINE} as line")
     return latest_entries(parse_feed_lines(lines))
 
@@ -120,5 +120,5 @@ _RULE_LINE = """case o_orderkey % 5 when 0 then concat(' name', cast(o_custkey a
  case o_orderkey % 5 when 0 then concat('name', cast(o_custkey as varchar)) when 4 then concat('n', cast(o_orderkey as varchar)) end as name, case o_orderkey % 5 when 0 then 'high' else 'low' end as severity,
  case o_orderkey % 5 when 0 then 'cat' else 'c' end as category, case o_orderkey % 5 when 0 then concat('(a|b)', cast(o_orderkey as varchar)) else concat(cast(o_orderkey as varchar), '+') end as pattern from orders) where name is not null""")
 def q_parse_rules(spark, d):
-    lines = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey as line_no", f"{_RULE_LINE} as line")
+    lines = table(spark, d, "orders").selectExpr("o_orderkey as line_no", f"{_RULE_LINE} as line")
     return parse_rules(lines)

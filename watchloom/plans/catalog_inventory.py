@@ -12,7 +12,7 @@ from watchloom.operators.diffs import (
 from watchloom.plans.catalog import query
 from watchloom.plans.catalog_functions import path_severity_sql
 from watchloom.plans.sql import quote
-from watchloom.plans.views import view, with_views
+from watchloom.plans.views import table, view, with_views
 from watchloom.rules.reference_lists import SUSPICIOUS_PROCESS_NAMES, SUSPICIOUS_REMOTE_PORTS
 from watchloom.sources.feeds import parse_audit_log
 from watchloom.sources.reports import (
@@ -168,7 +168,7 @@ _IDS = "o_orderkey, cast(o_custkey % 50 as bigint) as device_id, 1704067200000 +
 
 
 def _orders_payload(spark, d, expr: str):
-    return spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", f"{expr} as payload")
+    return table(spark, d, "orders").selectExpr("o_orderkey", f"{expr} as payload")
 
 
 def _unnest(parts: list[str]) -> str:
@@ -278,7 +278,7 @@ _SYSLOG_LINE = """case event_type
  case event_type when 'error' then cast(event_id as varchar) when 'view' then '-' else '' end as proc_id, case event_type when 'error' then 'ID47' when 'view' then '-' else '' end as msg_id,
  case event_type when 'error' then concat('failed login ', cast(event_id as varchar)) when 'view' then concat('plain text ', cast(event_id as varchar)) when 'click' then 'closed by peer' when 'signup' then concat('job ', cast(event_id as varchar)) else concat('free text ', cast(event_id as varchar)) end as message from events""")
 def q_parse_syslog(spark, d):
-    lines = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", f"{_SYSLOG_LINE} as raw")
+    lines = table(spark, d, "events").selectExpr("event_id", f"{_SYSLOG_LINE} as raw")
     return parse_syslog(lines).drop("raw")
 
 

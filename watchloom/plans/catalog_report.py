@@ -12,7 +12,7 @@ from watchloom.operators.report import (
 from watchloom.plans.catalog import query
 from watchloom.plans.catalog_respond import _PLAN_SQL, planned
 from watchloom.plans.sql import quote, values
-from watchloom.plans.views import view, with_views
+from watchloom.plans.views import table, view, with_views
 from watchloom.rules.reference_lists import FRAMEWORK_CONTROLS
 
 _AS_OF = 1706659200000
@@ -74,13 +74,13 @@ def q_devices_by_status(spark, d):
 
 @query("devices_by_group", """select c_custkey as device_id, c_name as hostname from customer where c_mktsegment = 'BUILDING'""")
 def q_devices_by_group(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as device_id", "c_name as hostname", "c_mktsegment as device_group")
+    rows = table(spark, d, "customer").selectExpr("c_custkey as device_id", "c_name as hostname", "c_mktsegment as device_group")
     return fl.devices_by_group(rows, "BUILDING").select("device_id", "hostname")
 
 
 @query("device_tags", """select c_custkey as device_id, 'prod' as tag from customer where c_acctbal > 0 union all select c_custkey, c_mktsegment from customer where c_acctbal > 0 and c_mktsegment <> 'MACHINERY'""")
 def device_tags(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as device_id", "array(c_mktsegment) as tags", "c_acctbal")
+    rows = table(spark, d, "customer").selectExpr("c_custkey as device_id", "array(c_mktsegment) as tags", "c_acctbal")
     tagged = fl.add_tag(fl.add_tag(rows, "prod"), "prod", F.col("c_acctbal") > 0)
     tagged = fl.remove_tag(fl.remove_tag(tagged, "MACHINERY"), "prod", F.col("c_acctbal") <= 0)
     return fl.with_tag(tagged, "prod").select("device_id", F.explode("tags").alias("tag"))

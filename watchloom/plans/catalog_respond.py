@@ -18,7 +18,7 @@ from watchloom.plans.catalog_inventory import (
     _ALERTS_SQL, _AUTH_PARTS, _NAMES, USB_SEVERITY_SQL, snapshots, usb_changes,
 )
 from watchloom.plans.sql import RANK, quote, rule_hits, values
-from watchloom.plans.views import view, with_views
+from watchloom.plans.views import table, view, with_views
 from watchloom.rules.correlation import DEFAULT_CORRELATION_RULES
 from watchloom.rules.playbooks import DEFAULT_PLAYBOOKS, Action, Playbook
 from watchloom.rules.reference_lists import SUSPICIOUS_REMOTE_PORTS
@@ -234,7 +234,7 @@ def q_soar_route(spark, d):
 @query("soar_inbound", """select 0 as device_id, cast(event_id as bigint) as timestamp_ms, '' as machine_ip, 'soar' as source, 'soar_action' as category, 'high' as severity, '' as mitre_id,
  concat(event_type, ' -> t', cast(user_id as varchar), ' (', case when event_type = 'view' then '' else 'why' end, ')') as description, '' as ioc_value, '' as file_path from events where event_type <> 'error'""")
 def q_soar_inbound(spark, d):
-    messages = spark.read.parquet(f"{d}/events.parquet").selectExpr(
+    messages = table(spark, d, "events").selectExpr(
         "event_id as timestamp_ms",
         "case event_type when 'error' then '{\"target\":\"x\"}' when 'view' then concat('{\"action\":\"view\",\"target\":\"t', cast(user_id as string), '\"}') "
         "else concat('{\"action\":\"', event_type, '\",\"target\":\"t', cast(user_id as string), '\",\"reason\":\"why\"}') end as body")
@@ -299,7 +299,7 @@ def stored_events(spark, d):
 
 @query("stored_iocs", """select cast(page_id as int) as device_id, page_id as timestamp_ms, 'ip' as machine_ip, 'url' as ioc_type, left(html, 256) as ioc_value, 'low' as severity, 'f' as feed_source, 'log' as matched_in, '' as mitre_id, left(html, 512) as description, '' as tags from pages""")
 def stored_iocs(spark, d):
-    rows = spark.read.parquet(f"{d}/pages.parquet").selectExpr(
+    rows = table(spark, d, "pages").selectExpr(
         "page_id as device_id", "page_id as timestamp_ms", "'ip' as machine_ip", "'url' as ioc_type", "html as ioc_value",
         "'low' as severity", "'f' as feed_source", "'log' as matched_in", "'' as mitre_id", "html as description", "'' as tags")
     return shape_table(rows, "ioc_matches").drop("received_at")

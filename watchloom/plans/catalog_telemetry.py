@@ -10,7 +10,7 @@ from watchloom.operators.rule_scan import scan_rules
 from watchloom.operators.telemetry import (
     baseline_snapshot, default_metrics, event_counts, ewma_baseline, monotonic, telemetry_features,
 )
-from watchloom.operators.traffic import SIGNATURES, auth_users, classify_logs, classify_traffic
+from watchloom.operators.traffic import SIGNATURES, classify_logs, classify_traffic
 from watchloom.operators.windows import sliding_count
 from watchloom.plans.catalog import query
 from watchloom.plans.sql import MITRE, MITRE_COLUMNS, quote, rule_hits, stable
@@ -162,8 +162,7 @@ def _features(spark, d):
     logs = view(spark, d, "chunk").select("event_id", "raw_log")
     hits = scan_rules(view(spark, d, "chunk"))
     rows = telemetry_features(view(spark, d, "tel"), "event_id")
-    rows = event_counts(rows, hits, on=["event_id"]).join(logs, "event_id")
-    return rows.join(auth_users(hits, ["event_id"]), "event_id", "left").fillna(0, ["auth_users"])
+    return event_counts(rows, hits, on=["event_id"]).join(logs, "event_id")
 
 
 _STATS = ", ".join(f"{stable(f'{m}_{s}')} as {m}_{s}" for m in _METRIC_SQL for s in ("mean", "sd", "z"))

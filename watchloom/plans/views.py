@@ -11,6 +11,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from watchloom.session import spread
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -123,10 +125,14 @@ def view_sql(name: str, dialect: str) -> str:
     return text
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the Parquet tables of a folder."""
     text = view_sql(name, "spark")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"from {t}" in text}
+    used = {t: table(spark, sf_dir, t) for t in TABLES if f"from {t}" in text}
     for t, df in used.items():
         text = text.replace(f"from {t}", f"from {{{t}}}")
     return spark.sql(text, **used)

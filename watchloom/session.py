@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold for laptops and clusters alike; the number of shuffle
 # partitions is left to the caller because AQE coalesces from above.
@@ -43,6 +43,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the slots when its files yield fewer splits than there are.
+
+    A few megabytes in one Parquet row group would otherwise keep one core busy
+    with all regexes; a scan of many files has enough splits and is left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchloom.functions.columns import explode_once, held
+
 
 @dataclass(frozen=True)
 class ReportKind:
@@ -85,9 +87,8 @@ def _typed(parts: Column, i: int, kind: str) -> Column:
 
 def _with_lines(df: DataFrame, kind: ReportKind, payload: str) -> DataFrame:
     """Payloads with a valid header, split into lines, with the places of marker and end."""
-    lines = F.transform(F.split(payload, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
-    head = F.split(F.get(lines, 0), r"\|")
-    rows = df.withColumn("_lines", lines).withColumn("_head", head)
+    lines = F.transform(F.split(payload, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
+    rows = held(held(df, _lines=lines), _head=F.split(F.get("_lines", 0), r"\|"))
     valid = (F.get("_head", 0) == kind.header) & F.get("_head", 1).try_cast("bigint").isNotNull() \
         & F.get("_head", 2).try_cast("bigint").isNotNull()
     if kind.strict:
@@ -102,12 +103,12 @@ def _with_lines(df: DataFrame, kind: ReportKind, payload: str) -> DataFrame:
         F.get(F.filter(F.transform("_lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()), 0),
         F.size("_lines"))
     marker = place(lambda x: x.startswith(kind.marker)) if kind.marker else F.size("_lines")
-    return rows.withColumns({"_marker": marker, "_end": place(lambda x: x == kind.end)})
+    return held(rows, _marker=marker, _end=place(lambda x: x == kind.end))
 
 
 def _rows(lines: DataFrame, fields: Sequence[tuple[str, str]], keep: Sequence[str], strict: bool) -> DataFrame:
     parts = F.split("_line", r"\|", -1)
-    rows = lines.withColumn("_parts", parts)
+    rows = held(lines, _parts=parts)
     if strict:
         numbers = [F.get("_parts", i).try_cast(t).isNotNull() for i, (_, t) in enumerate(fields) if t == "bigint"]
         ok = F.size("_parts") >= len(fields)
@@ -123,11 +124,9 @@ def parse_entries(df: DataFrame, kind: ReportKind, payload: str = "payload", kee
     last = F.least("_marker", "_end")
     if kind.counted:
         last = F.least(last, (F.col("_count") + 1).cast("int"))
-    lines = rows.select(
-        *keep, "device_id", "timestamp_ms", *[n for n, _, _ in kind.extra_header],
-        F.explode(F.filter(F.slice("_lines", 2, F.greatest(F.lit(0), last - 1)), lambda x: x != "")).alias("_line"),
-    )
     ids = [*keep, "device_id", "timestamp_ms", *[n for n, _, _ in kind.extra_header]]
+    found = F.filter(F.slice("_lines", 2, F.greatest(F.lit(0), last - 1)), lambda x: x != "")
+    lines = explode_once(rows, ids, found, "_line")
     return _rows(lines, kind.entries, ids, kind.strict)
 
 
@@ -137,10 +136,8 @@ def parse_changes(df: DataFrame, kind: ReportKind, payload: str = "payload", kee
         raise ValueError(f"{kind.header} reports carry no changes")
     rows = _with_lines(df, kind, payload)
     span = F.greatest(F.lit(0), F.col("_end") - F.col("_marker") - 1)
-    lines = rows.select(
-        *keep, "device_id", "timestamp_ms",
-        F.explode(F.filter(F.slice("_lines", F.col("_marker") + 2, span), lambda x: x != "")).alias("_line"),
-    )
+    found = F.filter(F.slice("_lines", F.col("_marker") + 2, span), lambda x: x != "")
+    lines = explode_once(rows, [*keep, "device_id", "timestamp_ms"], found, "_line")
     return _rows(lines, kind.changes, [*keep, "device_id", "timestamp_ms"], False)
 
 
