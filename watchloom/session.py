@@ -59,9 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a session that names none (a test on one machine) gets a folder of
     its own.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="watchloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
+        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="watchloom-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
