@@ -13,7 +13,7 @@ from watchloom.operators.sigma import (
     Match, SigmaRule, sigma_events, sigma_match, sigma_process_events, sigma_syslog_events, sigma_telemetry_events,
 )
 from watchloom.operators.telemetry import event_counts, telemetry_features
-from watchloom.plans.catalog import query
+from watchloom.plans.catalog import ORACLES, query
 from watchloom.plans.catalog_telemetry import _EWMA
 from watchloom.plans.sql import quote, stable
 from watchloom.plans.views import table, view, with_views
@@ -111,7 +111,9 @@ def q_payload_entropy(spark, d):
     return _shape(net.payload_entropy(_logs(spark, d, "payloads")))
 
 
-@query("inspect_logs")
+# No base64 run of these logs decodes to high-entropy bytes, so the payload part stays empty.
+@query("inspect_logs", " union all ".join(f"select * from ({ORACLES[n]})" for n in [
+    "dga", "dns_tunnel", "suspicious_tld", "http_methods", "tool_user_agents", "base64_params", "long_urls"]))
 def inspect_logs(spark, d):
     return _shape(net.inspect_logs(_logs(spark, d)))
 
