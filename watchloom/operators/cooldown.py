@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from watchloom.functions.columns import as_column, div_floor
 from watchloom.operators.windows import per_millisecond, trailing_sums
 from watchloom.rules.detection import DEFAULT_THRESHOLDS, Threshold
+from watchloom.session import cut
 
 # Rows of one key that a single native fold may hold, and rows aimed at per segment beyond it.
 FOLD_ROWS = 4096
@@ -193,6 +194,7 @@ def cooldown(
     *,
     ts: str = "timestamp_ms",
     tiebreak: str = "event_id",
+    compacted: bool = False,
     fold_rows: int = FOLD_ROWS,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
@@ -200,10 +202,15 @@ def cooldown(
 
     ``seconds`` may be a column that is constant per key. Of rows with equal
     time only one with the lowest ``tiebreak`` (an integer) can be kept.
+    ``compacted`` says that ``df`` is one row per key and time, and materialized:
+    it is counted, folded and chained, so otherwise its compact form is computed once and kept.
     """
     keys = list(keys)
     gap = F.lit(seconds) if isinstance(seconds, int) else as_column(seconds)
-    firsts = (
+    firsts = df.select(
+        *keys, F.col(ts).cast("long").alias("_ms"), (gap * 1000).cast("long").alias("_cooldown"),
+        F.col(tiebreak).cast("long").alias("_id"),
+    ) if compacted else cut(
         df.groupBy(*keys, F.col(ts).cast("long").alias("_ms"), (gap * 1000).cast("long").alias("_cooldown"))
         .agg(F.min(F.col(tiebreak).cast("long")).alias("_id"))
     )
@@ -294,7 +301,9 @@ def _fires_by_window(events, keys, thresholds, fold_rows, segment_rows):
         .select(*keys, "timestamp_ms", "_id", (F.col("_n_win") + F.col("_id")).alias("event_count"),
                 _threshold_column(thresholds, "cooldown_sec").alias("_gap"))
     )
-    return cooldown(able, keys, "_gap", tiebreak="_id", fold_rows=fold_rows, segment_rows=segment_rows).drop("_gap")
+    return cooldown(
+        cut(able), keys, "_gap", tiebreak="_id", compacted=True, fold_rows=fold_rows, segment_rows=segment_rows
+    ).drop("_gap")
 
 
 def _fires_by_chain(events, keys, thresholds, segment_rows):

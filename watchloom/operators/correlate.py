@@ -15,6 +15,7 @@ from watchloom.operators.windows import per_millisecond, trailing_sums
 from watchloom.rules.correlation import (
     CATEGORY_ALIASES, DEFAULT_CORRELATION_RULES, INCIDENT_COOLDOWN_SEC, CorrelationRule, Stage,
 )
+from watchloom.session import cut
 
 CORR_COLUMNS = ["device_id", "timestamp_ms", "source", "category", "severity", "machine_ip",
                 "target_user", "indicator", "detail"]
@@ -167,8 +168,9 @@ def _fired(events: DataFrame, rules: Sequence[CorrelationRule]) -> tuple[DataFra
     satisfied = windowed.withColumn("matches", reduce(lambda a, b: a + b, wins)).filter(
         complete & (F.col("matches") >= _rule_value(rules, "min_events"))
     ).select(*keys, "timestamp_ms", "matches", F.lit(0).cast("long").alias("_one"))
-    fired = cooldown(satisfied, keys, INCIDENT_COOLDOWN_SEC, tiebreak="_one").drop("_one")
-    return fired, matched, stages
+    fired = cooldown(cut(satisfied), keys, INCIDENT_COOLDOWN_SEC, tiebreak="_one", compacted=True).drop("_one")
+    # Incidents are few; both their description and their members start from them.
+    return cut(fired), matched, stages
 
 
 def correlate(events: DataFrame, rules: Sequence[CorrelationRule] = tuple(DEFAULT_CORRELATION_RULES)) -> DataFrame:

@@ -66,3 +66,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialize an intermediate result that is used several times.
+
+    A reliable checkpoint in the shared folder: it survives lost executors, and
+    later steps read it instead of repeating what led to it.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
