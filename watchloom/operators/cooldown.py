@@ -292,7 +292,7 @@ def _fires_by_window(events, keys, thresholds, fold_rows, segment_rows):
     counted = per_millisecond(events, keys, "timestamp_ms", {"_n": F.lit(1)})
     width = _threshold_column(thresholds, "window_sec") * 1000
     prior = trailing_sums(
-        counted, keys, "timestamp_ms", ["_n"], width, [t.window_sec * 1000 for t in thresholds], include_now=False
+        counted, keys, "timestamp_ms", ["_n"], width, include_now=False
     )
     # The event that crosses the threshold is the _id-th of its millisecond.
     able = (

@@ -158,9 +158,8 @@ def _fired(events: DataFrame, rules: Sequence[CorrelationRule]) -> tuple[DataFra
     columns = [f"s{i}" for i in range(stages)]
     keys = ["rule_name", "scope"]
     counted = per_millisecond(matched, keys, "timestamp_ms", {c: F.col(c) for c in columns})
-    widths = [r.window_seconds * 1000 for r in rules]
     windowed = trailing_sums(
-        counted, keys, "timestamp_ms", columns, (_rule_value(rules, "window_seconds") * 1000).cast("long"), widths
+        counted, keys, "timestamp_ms", columns, (_rule_value(rules, "window_seconds") * 1000).cast("long")
     )
     wins = [F.col(f"{c}_win") for c in columns]
     needed = case_of("rule_name", {r.name: len(r.stages) for r in rules}, 0)

@@ -24,30 +24,33 @@ def trailing_sums(
     ts: str,
     columns: Sequence[str],
     widths_ms: Column | int,
-    distinct_widths: Sequence[int],
     include_now: bool = True,
 ) -> DataFrame:
     """Add ``<column>_win``: sums over the window that ends at each row.
 
-    ``widths_ms`` may differ by key but must take one of ``distinct_widths``.
-    ``counted`` has one row per key and millisecond.
+    ``counted`` has one row per key and millisecond; ``widths_ms`` may differ
+    by key. Every row adds its count when it comes and takes it back when it
+    leaves the window, so the window is one running sum - a sliding frame would
+    be summed anew for each row.
     """
     width = F.lit(widths_ms) if isinstance(widths_ms, int) else widths_ms
     bucket = div_floor(F.col(ts), F.col("_w"))
+    moves = F.array(
+        F.struct(F.col(ts).alias("_at"), F.lit(1).alias("_sign")),
+        F.struct((F.col(ts) + F.col("_w") + 1).alias("_at"), F.lit(-1).alias("_sign")),
+    )
     placed = (
         counted.withColumn("_w", width.cast("long"))
         .select("*", bucket.alias("_home"), F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
+        .select("*", F.explode(moves).alias("_m")).select("*", "_m.*").drop("_m")
     )
-    by_bucket = Window.partitionBy(*keys, "_bucket").orderBy(ts)
-    end = 0 if include_now else -1
-    out = placed
+    so_far = Window.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    sums = {}
     for name in columns:
-        total = None
-        for w in sorted(set(distinct_widths)):
-            value = F.sum(name).over(by_bucket.rangeBetween(-w, end))
-            total = F.when(F.col("_w") == w, value) if total is None else total.when(F.col("_w") == w, value)
-        out = out.withColumn(f"{name}_win", F.coalesce(total, F.lit(0)).cast("long"))
-    return out.filter("_home = _bucket").drop("_w", "_home", "_bucket")
+        value = F.sum(F.col(name) * F.col("_sign")).over(so_far)
+        sums[f"{name}_win"] = (value if include_now else value - F.col(name)).cast("long")
+    out = placed.withColumns(sums).filter("_home = _bucket and _sign = 1")
+    return out.drop("_w", "_home", "_bucket", "_at", "_sign")
 
 
 def sliding_count(
@@ -59,6 +62,6 @@ def sliding_count(
     """Events of the same key in the trailing window that ends at each event, peers included."""
     counted = per_millisecond(events, keys, ts, {"_n": F.lit(1)})
     width = window_sec * 1000
-    windowed = trailing_sums(counted, keys, ts, ["_n"], width, [width])
+    windowed = trailing_sums(counted, keys, ts, ["_n"], width)
     windowed = windowed.select(*keys, ts, F.col("_n_win").alias("window_count"))
     return events.join(windowed, [*keys, ts])
