@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts: a batch for Python is bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
 
 
@@ -56,13 +59,15 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a folder of
-    its own.
+    Only a session on one machine (a test) that names none gets a folder of
+    its own; on a cluster, where executors do not share disks, that is an error.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="watchloom-checkpoint-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="watchloom-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
