@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import simple8b
+from watchloom.llm import bpe, exact_dedup, kdtree, langid, quality, raking, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": warc.op2_warc,
     "op3_token_ids": simple8b.op3_token_ids,
+    "op4_language_id": langid.op4_language_id,
+    "op5_mix_sources": raking.op5_mix_sources,
+    "op6_kd_shards": kdtree.op6_kd_shards,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op5_mix_sources": raking.OP5_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+}
