@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import bpe, exact_dedup, kdtree, langid, quality, raking, simple8b, warc
+from watchloom.llm import bpe, exact_dedup, kdtree, langid, minhash_forest, quality, raking, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": warc.op2_warc,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kd_shards": kdtree.op6_kd_shards,
     "op7_bpe": bpe.op7_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_near_dedup": minhash_forest.op9_near_dedup,
     "op10_quality": quality.op10_quality,
 }
 
