@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import bpe, exact_dedup, kdtree, langid, minhash_forest, quality, raking, simple8b, warc
+from watchloom.llm import bpe, exact_dedup, kdtree, langid, minhash_forest, phrases, quality, raking, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": phrases.op1_fingerprints,
     "op2_warc": warc.op2_warc,
     "op3_token_ids": simple8b.op3_token_ids,
     "op4_language_id": langid.op4_language_id,
