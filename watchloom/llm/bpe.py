@@ -163,10 +163,10 @@ def bpe_decode(coded: DataFrame, ranks: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """Counts and digests of decoded rows: the ids as decimals joined by a space, and the bytes."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """Counts and digests of decoded rows: the ids as decimals joined by a space, and the bytes; and columns named."""
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

@@ -7,8 +7,6 @@ documents take their cell's factor as probability. Everything is DataFrame opera
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,25 +73,34 @@ def draw_number(id_column: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power: float = FLATTEN, seed: str = "mix:") -> DataFrame:
-    """All rows: doc_id, source, lang, topic, n_tokens, probability, sampled.
+def with_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power: float = FLATTEN, seed: str = "mix:", into: str = "mix") -> DataFrame:
+    """All rows and columns of ``docs`` and a struct (topic, n_tokens, probability, sampled) as column ``into``.
 
     A document's probability is its cell's raked weight over its token share, scaled so that the largest is one:
     the expected tokens of the sample meet the raked shares and no document is taken twice. Rows that repeat an id
     are drawn together. Null sources and languages are categories, null texts have the one end token, other columns
-    are ignored, and an empty table gives no rows.
+    stay as they are, and an empty table gives no rows.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), "source", "lang", topic_of(F.coalesce(text, F.lit(""))).alias("topic"), tokens_of(text).alias("n_tokens"))
-    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    rows = docs.withColumn(into, F.struct(topic_of(F.coalesce(text, F.lit(""))).alias("topic"), tokens_of(text).alias("n_tokens")))
+    at = {d: F.col(d) if d != "topic" else F.col(f"{into}.topic") for d in DIMENSIONS}
+    cells = rows.groupBy(*[at[d].alias(d) for d in DIMENSIONS]).agg(F.sum(f"{into}.n_tokens").alias("tokens"))
+    cells = written(cells, "mix-cells")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     raked = rake(cells, {d: flattened(cells, d, power) for d in DIMENSIONS})
     raked = written(raked.withColumn("factor", F.col("weight") / (F.col("tokens") / F.lit(total))), "mix-raked")
     most = raked.agg(F.max("factor")).first()[0] or 1.0
-    named = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], (F.col("factor") / F.lit(most)).alias("probability"))
-    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
-    drawn = draw_number(F.col("doc_id"), seed)
-    return rows.join(named, same).select("doc_id", *DIMENSIONS, "n_tokens", "probability", (drawn < F.col("probability")).alias("sampled"))
+    named = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], (F.col("factor") / F.lit(most)).alias("_mix_probability"))
+    chance, drawn = F.col("_mix_probability"), draw_number(F.col(id_col), seed)
+    joined = rows.join(named, [at[d].eqNullSafe(F.col(f"_mix_{d}")) for d in DIMENSIONS])
+    found = F.struct(F.col(f"{into}.topic"), F.col(f"{into}.n_tokens"), chance.alias("probability"), (drawn < chance).alias("sampled"))
+    return joined.withColumn(into, found).drop(*named.columns)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power: float = FLATTEN, seed: str = "mix:") -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, probability, sampled (see ``with_mix``)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "source", "lang")
+    return with_mix(rows, power=power, seed=seed).select("doc_id", "source", "lang", "mix.topic", "mix.n_tokens", "mix.probability", "mix.sampled")
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -125,9 +132,3 @@ def mixing_sql(table: str, power: float = FLATTEN, rounds: int = ROUNDS) -> str:
 
 
 OP5_SQL = f"with {mixing_sql('documents')} select doc_id, source, lang, topic, n_tokens, round(probability, 6) as probability, sampled from mixed"
-
-
-def effective_share(weights: list[float]) -> float:
-    """Exponential of the entropy of some shares: how many equal categories they amount to."""
-    total = sum(weights)
-    return math.exp(-sum(w / total * math.log(w / total) for w in weights if w > 0))
