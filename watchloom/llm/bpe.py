@@ -22,32 +22,36 @@ from watchloom.llm.common import pieces, read_table, runs, utf8
 from watchloom.llm.pretoken import WordIds
 
 #: Token positions that a recursive query starts from (one word at least), and rows that all its steps may hold.
-POSITIONS, STEP_ROWS = 150_000, 3_000_000
+POSITIONS, STEP_ROWS = 400_000, 6_000_000
 
+# g is a token's place among all words of the query, w its word. A pick is a pair to contract: its left row takes the
+# merged id, its right row goes. Of a run of one token every other pair is picked, counted from the run's beginning.
 _STEPS = """
 with recursive steps as (
-  select 0 as step, w, i, t from start
+  select 0 as step, w, g, t from start
   union all
   (with pairs as (
-     select step, w, i, t, lead(t) over word as nt, lag(t) over word as pt, row_number() over word as k
-     from steps where step < {most} window word as (partition by w order by i)),
+     select w, g, t, lead(t) over o as nt, lead(w) over o as nw, lead(g) over o as ng, row_number() over o as k
+     from steps where step < {most} window o as (order by g)),
    ranked as (
-     select p.*, m.m, m.safe, min(m.m) over (partition by p.w) as lo
-     from pairs p left join merges m on m.l = p.t and m.r = p.nt),
-   hits as (
-     select *, min(case when m = lo then k end) over (partition by w) as first_hit,
-       max(case when t is distinct from pt then k end) over (partition by w order by i) as run_start
-     from ranked where lo is not null),
-   chosen as (
-     select *, coalesce(m = lo and (t <> nt or (k - run_start) % 2 = 0) and (safe or k = first_hit), false) as pick from hits),
-   marked as (
-     select *, coalesce(lag(pick) over (partition by w order by i), false) as gone from chosen)
-   select step + 1, w, i, case when pick then lo else t end from marked where not gone))
-select w, i, t, step from steps qualify step = max(step) over (partition by w) order by w, i
+     select p.w, p.g, p.t, p.nt, p.ng, p.k, m.m, m.safe from pairs p join merges m on m.l = p.t and m.r = p.nt where p.nw = p.w),
+   best as (select w, min((m::bigint << 32) | g) as key from ranked group by w),
+   hits as (select r.*, b.key & 4294967295 as leftmost from ranked r join best b using (w) where r.m = b.key >> 32),
+   picks as (
+     select g, ng, m from hits where g = leftmost or (safe and t <> nt)
+     union all
+     select g, ng, m from (
+       select *, row_number() over (partition by w, run order by g) as place
+       from (select *, k - row_number() over (order by g) as run from hits where safe and t = nt))
+     where place % 2 = 1 and g <> leftmost),
+   moves as (select g, m from picks union all select ng, -1 from picks)
+   select s.step + 1, s.w, s.g, coalesce(x.m, s.t) from steps s join best using (w) left join moves x on x.g = s.g
+   where coalesce(x.m, 0) >= 0))
+select w, g, t, step from steps join (select w, max(step) as step from steps group by w) using (w, step) order by g
 """
 
 _DECODE = """
-select doc, from_hex(string_agg(h, '' order by pos)) as bytes
+select doc, from_hex(array_to_string(list(h order by pos), '')) as bytes
 from ids join vocabulary using (id) group by doc order by doc
 """
 
@@ -71,12 +75,12 @@ class Bpe:
         unsafe = np.zeros(max(ranks.values()) + 1, bool)
         unsafe[l[m < l]] = True
         unsafe[r[m < r]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.db.register("given", pa.table({"l": l, "r": r, "m": m, "safe": ~unsafe[m]}))
         self.db.execute("create table merges as select * from given")
         self.db.register("tokens", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "h": [t.hex() for t in ranks]}))
         self.db.execute("create table vocabulary as select * from tokens")
-        self.words = WordIds(self.encode_words)
+        self.words = WordIds(self.encode_words, 600_000)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all ids in a row."""
@@ -99,17 +103,16 @@ class Bpe:
     def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(word number, token id) of all tokens of the words, in order."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        state = {"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "i": runs(sizes).astype(np.int32)}
-        state["t"] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        state = {"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "t": self.bytes[np.frombuffer(b"".join(words), np.uint8)]}
         done = []
-        while len(state["w"]):
-            most = max(1, min(24, STEP_ROWS // len(state["w"])))
-            self.db.register("start", pa.table(state))
+        while n := len(state["w"]):
+            most = max(1, min(24, STEP_ROWS // n))
+            self.db.register("start", pa.table(state | {"g": np.arange(n, dtype=np.int32)}))
             out = self.db.execute(_STEPS.format(most=most)).fetchnumpy()
             self.db.unregister("start")
             open_ = out["step"] >= most  # the steps of this query didn't reach the end
             done.append((out["w"][~open_], out["t"][~open_]))
-            state = {c: np.ascontiguousarray(out[c][open_], np.int32) for c in ("w", "i", "t")}
+            state = {c: np.ascontiguousarray(out[c][open_], np.int32) for c in ("w", "t")}
         w = np.concatenate([d[0] for d in done])
         order = np.argsort(w, kind="stable")
         return np.asarray(w[order], np.int64), np.concatenate([d[1] for d in done])[order].astype(np.int32)
