@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from watchloom.llm.common import pieces, read_table, utf8, written
@@ -73,14 +73,18 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
 def regions(nodes: DataFrame) -> DataFrame:
     """node, t and the key of its region, for every region of two nodes or more."""
-    prefix = [F.xxhash64(F.lit(t), F.substring("sig", 4 * WIDTH * t + 1, 4 * WIDTH)) for t in range(TREES)]
-    rows = nodes.select("node", F.posexplode(F.array(*prefix)).alias("t", "key"))
+    trees = F.sequence(F.lit(0), F.lit(TREES - 1))
+    prefix = F.transform(trees, lambda t: F.xxhash64(t, F.substr("sig", t * (4 * WIDTH) + 1, F.lit(4 * WIDTH))))
+    rows = nodes.select("node", F.posexplode(prefix).alias("t", "key"))
     crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(rows.join(crowds, "key"), "forest-shared")
     around = F.concat("sig", "sig")
-    longer = [F.struct(F.lit(d).alias("depth"), F.xxhash64(F.col("t"), F.lit(d), F.substr(around, 4 * WIDTH * F.col("t") + 1, F.lit(4 * d))).alias("key")) for d in DEEPER]
+    longer = F.transform(
+        F.array(*[F.lit(d) for d in DEEPER]),
+        lambda d: F.struct(d.alias("depth"), F.xxhash64("t", d, F.substr(around, 4 * WIDTH * F.col("t") + 1, 4 * d)).alias("key")),
+    )
     deep = shared.where(F.col("size") > REGION).select("node", "t").join(nodes.select("node", "sig"), "node")
-    deep = deep.select("node", "t", F.explode(F.array(*longer)).alias("p")).select("node", "t", "p.depth", "p.key")
+    deep = deep.select("node", "t", F.explode(longer).alias("p")).select("node", "t", "p.depth", "p.key")
     sizes = deep.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     fits = deep.join(sizes, "key").where((F.col("size") <= REGION) | (F.col("depth") == DEEPER[-1]))
     chosen = fits.groupBy("node", "t").agg(F.min(F.struct("depth", "key", "size")).alias("p")).select("node", "t", "p.key", "p.size").where("size > 1")
@@ -177,14 +181,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "forest-stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        found = Observation()
+        marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")
+        edges = written(moved.unionByName(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct().observe(found, *marks), "forest-stars")
+        if found.get == mark:
             break
-        mark = now
+        mark = found.get
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -202,15 +207,11 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     nodes = written(some.select(F.col("x.doc_id").alias("node"), "digest", "x.n", "x.sig", "x.low"), "forest-nodes")
 
     # Sets of the same least id (an id with several texts) act as one node.
-    short = [F.coalesce(F.max(F.when(F.col("t") == t, F.col("key"))), F.lit(0)).alias(f"k{t}") for t in range(TREES)]
-    placed = regions(nodes).groupBy("node").agg(*short)
-    small = [F.col(f"k{t}").bitwiseAND(0x7FFFFFFF).cast("int") for t in range(TREES)]
-    members = written(
-        placed.join(nodes.select("node", "n", "low"), "node").select(
-            "node", "n", "low", F.array(*small).alias("keys"), F.array(*[F.col(f"k{t}") for t in range(TREES)]).alias("regions")
-        ),
-        "forest-members",
-    )
+    placed = regions(nodes).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("at"))  # 32 entries at most
+    own = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0)))
+    members = placed.join(nodes.select("node", "n", "low"), "node").select("node", "n", "low", own.alias("regions"))
+    short = F.transform("regions", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+    members = written(members.withColumn("keys", short), "forest-members")
     spread = members.select("node", "n", "low", "keys", F.posexplode("regions").alias("t", "key")).where("key <> 0")
     spread = spread.select("key", "t", "node", "n", "low", "keys")
 
