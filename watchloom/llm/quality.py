@@ -18,7 +18,7 @@ from watchloom.llm.wordhash import mix, word_hashes
 SLOTS = 1 << 18
 #: Labelled rows to learn from; of more, those whose hashed ids are least. The bound of the fitting sample.
 SAMPLE_ROWS = 20_000
-#: Texts are cut for scoring into runs of so many bytes of work at a time, not shortened.
+#: Bytes of whole texts that are hashed at a time.
 _WORK = 1 << 19
 
 
@@ -50,12 +50,15 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Ftrl:
-    """Per-coordinate FTRL-proximal: the learning rate falls with a coordinate's own gradients, l1 keeps it sparse."""
+    """Per-coordinate FTRL-proximal: the learning rate falls with a coordinate's own gradients, l1 keeps it sparse.
 
-    alpha: float = 0.5
+    The rate is high because a text's vector has length one, so a coordinate's gradients are small.
+    """
+
+    alpha: float = 20.0
     beta: float = 1.0
-    l1: float = 0.02
-    l2: float = 0.5
+    l1: float = 0.1
+    l2: float = 0.0
 
     def __post_init__(self):
         self.z, self.n = np.zeros(SLOTS), np.zeros(SLOTS)
