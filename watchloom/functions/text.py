@@ -1,12 +1,10 @@
-"""Text extraction and string statistics; all but the entropies stay in the JVM."""
+"""Text extraction and string statistics, all in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from watchloom.functions.columns import as_column
 from watchloom.rules.reference_lists import CRITICAL_PATHS, HIGH_PATHS
@@ -59,35 +57,30 @@ def match_count(text: Column | str, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(as_column(text), F.lit(f"(?i){pattern}")), F.lit(0))
 
 
-def _bits(symbols: np.ndarray) -> float:
-    if not len(symbols):
-        return 0.0
-    p = np.bincount(symbols) if symbols.dtype == np.uint8 else np.unique(symbols, return_counts=True)[1]
-    p = p[p > 0] / len(symbols)
-    return float(-(p * np.log2(p)).sum())
-
-
-# Counting symbols is a histogram per value, which SQL functions can only reach
-# by scanning the value once per distinct symbol; Arrow batches do it in one pass.
-@F.pandas_udf(T.DoubleType())
-def _text_bits(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else _bits(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _byte_bits(payloads: pd.Series) -> pd.Series:
-    return payloads.map(lambda b: None if b is None else _bits(np.frombuffer(b, dtype=np.uint8)))
+def _bits(symbols: Column, n: Column) -> Column:
+    """Entropy of a symbol array of length n: log2 n - sum(c * log2 c) / n over the runs of the sorted array."""
+    term = lambda c: c * F.log2(c)
+    empty = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    step = lambda acc, x: F.when(
+        acc["last"] == x, F.struct(x.alias("last"), (acc["run"] + 1.0).alias("run"), acc["sum"].alias("sum"))
+    ).otherwise(F.struct(
+        x.alias("last"), F.lit(1.0).alias("run"),
+        (acc["sum"] + F.when(acc["run"] > 1.0, term(acc["run"])).otherwise(0.0)).alias("sum")))
+    last = lambda acc: acc["sum"] + F.when(acc["run"] > 1.0, term(acc["run"])).otherwise(0.0)
+    return F.when(n == 0, 0.0).otherwise(F.log2(n) - F.aggregate(F.array_sort(symbols), empty, step, last) / n)
 
 
 def shannon_entropy(text: Column | str, skip: str = "") -> Column:
     """Bits per character over the character frequencies."""
     text = as_column(text)
-    return _text_bits(F.replace(text, F.lit(skip), F.lit("")) if skip else text)
+    text = F.replace(text, F.lit(skip), F.lit("")) if skip else text
+    return _bits(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.length(text))
 
 
 def byte_entropy(payload: Column | str) -> Column:
     """Bits per byte of a binary column."""
-    return _byte_bits(as_column(payload))
+    payload = as_column(payload)
+    return _bits(F.regexp_extract_all(F.hex(payload), F.lit(".."), F.lit(0)), F.length(payload))
 
 
 def consonant_ratio(text: Column | str) -> Column:

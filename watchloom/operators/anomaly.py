@@ -18,7 +18,6 @@ FEATURES = ["cpu_pct", "ram_pct", "net_in_delta", "net_out_delta", "event_count"
 # Forest, scoring and beacon defaults.
 TREES = 64
 SUBSAMPLE = 256
-POOL_ROWS = 2048
 WARMUP_ROWS = 128
 SCORE_THRESHOLD = 0.65
 CRITICAL_SCORE = 0.85
@@ -83,9 +82,23 @@ def _grow_tree(tree_id: int, sample: np.ndarray, seed: int, max_depth: int) -> l
     return nodes
 
 
-def training_pool(rows: DataFrame, pool: int = POOL_ROWS, order: Sequence[str] = ("timestamp_ms", "event_id")) -> DataFrame:
-    """The newest rows of the whole fleet (a top-k, so no global sort)."""
-    return rows.orderBy(*[F.desc(c) for c in order]).limit(pool)
+def tree_samples(
+    rows: DataFrame, trees: int, subsample: int, seed: int, order: Sequence[str] = ("timestamp_ms", "event_id"),
+) -> DataFrame:
+    """tree_id, _h and features of the rows each tree grows from: those of its ``subsample`` least hashes over all rows.
+
+    A row enters a tree's draw if its hash is under twice the share that the tree needs, so a tree ranks about
+    2 x subsample rows however many there are.
+    """
+    n = max(1, rows.count())
+    share = min(1.0, 2.0 * subsample / n)
+    least = -(2**63) + int(share * 2**64) - 1 if share < 1.0 else 2**63 - 1
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree_id"), F.xxhash64(F.lit(seed), t, *order).alias("_h")))
+    drawn = rows.select("features", *order, F.explode(F.filter(hashes, lambda x: x["_h"] <= least)).alias("_d"))
+    drawn = drawn.select("_d.tree_id", "_d._h", *order, "features")
+    place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", *order))
+    return drawn.withColumn("_place", place).filter(F.col("_place") <= subsample)
 
 
 def train_forest(
@@ -94,38 +107,24 @@ def train_forest(
     trees: int = TREES,
     subsample: int = SUBSAMPLE,
     seed: int = 7,
-    pool: int = POOL_ROWS,
     order: Sequence[str] = ("timestamp_ms", "event_id"),
 ) -> DataFrame:
     """Node table of an extended isolation forest.
 
-    Trees draw rows of the newest ``pool`` with replacement. Draws depend on
-    (seed, tree, draw) alone and each tree grows in its own group, so the same
-    forest comes out however the data is partitioned.
+    Each tree draws its rows from all rows by a seeded hash. Draws depend on (seed, tree, row) alone and each tree
+    grows in its own group, so the same forest comes out however the data is partitioned.
     """
-    numbered = training_pool(rows, pool, order).withColumn(
-        "_pos", F.row_number().over(Window.orderBy(*[F.desc(c) for c in order])) - 1
-    ).select("_pos", "features")
-    size = numbered.agg(F.count("*").alias("n"))
-    spark = rows.sparkSession
-    # The pool is at most ``pool`` rows, so its size is one number the plan can hold.
-    n = F.lit(size.first()["n"])
-    draws = (
-        spark.range(trees * subsample)
-        .withColumn("tree_id", (F.col("id") / subsample).cast("int"))
-        .filter(F.pmod("id", F.lit(subsample)) < n)
-        .withColumn("_pos", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.greatest(n, F.lit(1))).cast("int"))
-        .filter(n >= 2)
-    )
     max_depth = math.ceil(math.log2(max(2, subsample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("_place")
+        if len(pdf) < 2:
+            return pd.DataFrame(columns=NODE_SCHEMA.names)
         sample = np.array(pdf["features"].tolist(), dtype=float)
         return pd.DataFrame(_grow_tree(int(pdf["tree_id"].iloc[0]), sample, seed, max_depth),
                             columns=NODE_SCHEMA.names)
 
-    return draws.join(numbered, "_pos").groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
+    return tree_samples(rows, trees, subsample, seed, order).groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
 
 
 def _path_lengths(x: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
@@ -277,7 +276,6 @@ def beacon_score(
 def observe(
     rows: DataFrame,
     *,
-    pool: int = POOL_ROWS,
     warmup: int = WARMUP_ROWS,
     seed: int = 7,
     order: Sequence[str] = ("timestamp_ms", "event_id"),
@@ -285,16 +283,18 @@ def observe(
 ) -> DataFrame:
     """Forest and beacon findings of a batch of telemetry features.
 
-    The forest is trained on the newest ``pool`` rows; fewer than ``warmup``
-    rows are not scored.
+    The forest learns from a sample of all rows; the first ``warmup`` rows in event order are not scored.
     """
     vectors = anomaly_features(rows)
     columns = [*keep, "detector", "severity", "score", "confidence", "mitre_id", "mitre_tactic", "description", "evidence"]
     beacons = beacon_score(vectors, order=order).select(*columns)
-    if training_pool(vectors, warmup, order).count() < warmup:
-        return beacons
-    forest = train_forest(vectors, seed=seed, pool=pool, order=order)
-    return forest_findings(score_forest(vectors, forest)).select(*columns).unionByName(beacons)
+    # The last of the first ``warmup`` rows; with fewer rows no row comes after it.
+    begun = vectors.orderBy(*order).limit(warmup).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    scored = vectors
+    if begun is not None:
+        scored = vectors.filter(F.struct(*order) > F.struct(*[F.lit(begun[c]).cast(vectors.schema[c].dataType).alias(c) for c in order]))
+    forest = train_forest(vectors, seed=seed, order=order)
+    return forest_findings(score_forest(scored, forest)).select(*columns).unionByName(beacons)
 
 
 def as_threats(findings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchloom.functions.columns import compact, explode_once
+from watchloom.operators.rule_scan import log_lines
 
 # Patterns for user and address.
 FAILED_PATTERN = r"(?i)Failed password for (?:invalid user )?(\S+) from (\S+)"
@@ -21,8 +22,10 @@ def _event(kind: str, session: str, detail: Column | str, user: Column | str = "
 
 
 def _explode(logs: DataFrame, text: str, *events: Column) -> DataFrame:
+    """One event per line and kind; ``events`` read the line in column ``text``."""
     others = [c for c in logs.columns if c != text]
-    return explode_once(logs, others, compact(*events), "_e").select(*others, "_e.*")
+    lines = logs.select(*others, F.explode(log_lines(text)).alias(text))
+    return explode_once(lines, others, compact(*events), "_e").select(*others, "_e.*")
 
 
 def linux_auth_events(logs: DataFrame, text: str = "raw_log") -> DataFrame:

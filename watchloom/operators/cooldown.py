@@ -204,8 +204,11 @@ def cooldown(
     time only one with the lowest ``tiebreak`` (an integer) can be kept.
     ``compacted`` says that ``df`` is one row per key and time, and materialized:
     it is counted, folded and chained, so otherwise its compact form is computed once and kept.
+    Null is a key value like others.
     """
-    keys = list(keys)
+    columns, named = df.columns, list(keys)
+    # One text names the key from here on: a null field is left out of it, and joins find it again.
+    df, keys = df.withColumn("_key", F.to_json(F.struct(*named))), ["_key"]
     gap = F.lit(seconds) if isinstance(seconds, int) else as_column(seconds)
     firsts = df.select(
         *keys, F.col(ts).cast("long").alias("_ms"), (gap * 1000).cast("long").alias("_cooldown"),
@@ -225,7 +228,7 @@ def cooldown(
     kept = short.unionByName(long)
     kept = kept.select(*keys, F.col("_ms").alias(ts), F.col("_id").alias(tiebreak))
     at = [*keys, ts, tiebreak]
-    return df.join(kept, at, "left_semi").select(*df.columns).dropDuplicates(at)
+    return df.join(kept, at, "left_semi").select(*columns).dropDuplicates([*named, ts, tiebreak])
 
 
 def _threshold_column(thresholds: Sequence[Threshold], attribute: str) -> Column:

@@ -62,14 +62,19 @@ def fim_alerts(
     critical: Sequence[str] = (),
     high: Sequence[str] = (),
     default_severity: str = "medium",
+    headers: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts for every change between consecutive snapshots of a device.
 
-    ``snapshots``: device_id, timestamp_ms, path, sha256, size_bytes[, mtime_epoch].
+    ``snapshots``: device_id, timestamp_ms, path, sha256, size_bytes[, mtime_epoch]. ``headers`` (device_id,
+    timestamp_ms) lists all snapshots, also those without a file, in which everything was deleted.
     A device's first snapshot is its baseline. Only the list of snapshot times
     is windowed per device; the files join on (device, snapshot, path).
     """
-    times = snapshots.select("device_id", "timestamp_ms").distinct()
+    times = snapshots.select("device_id", "timestamp_ms")
+    if headers is not None:
+        times = times.unionByName(headers.select("device_id", "timestamp_ms"))
+    times = times.distinct()
     per_device = Window.partitionBy("device_id").orderBy("timestamp_ms")
     nxt = times.withColumn("_next", F.lead("timestamp_ms").over(per_device)).filter("_next is not null")
     keys = ["device_id", "path", "timestamp_ms"]
@@ -180,9 +185,12 @@ def software_dedupe(df: DataFrame, keys: Sequence[str] = ("device_id", "name", "
 
 
 def software_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
-    """Installed, updated (old version kept) and removed packages, by device and name."""
+    """Installed, updated (old version kept) and removed packages, by device and name.
+
+    Of several entries of one name on a side the greatest version, then publisher, stands for the package.
+    """
     keys = ["device_id", "name"]
-    entry = lambda df, as_: df.select(*keys, F.struct("version", "publisher").alias(as_))
+    entry = lambda df, as_: df.groupBy(*keys).agg(F.max(F.struct("version", "publisher")).alias(as_))
     pairs = entry(prev, "old").join(entry(cur, "new"), keys, "full_outer")
     change = (
         F.when(F.col("old").isNull(), "installed")

@@ -27,8 +27,6 @@ SOURCES = {
 }
 OPERATORS = ["=", "!=", ">", "<", ">=", "<=", "~"]
 DEFAULT_LIMIT = 50
-MAX_LIMIT = 10_000
-MAX_RECENT = 1000
 
 # Columns listed per table, newest rows first.
 RECENT_COLUMNS = {
@@ -56,20 +54,20 @@ class Hunt:
         self._predicates: list[tuple[str, Column]] = []
         self._fields: list[str] = []
         self._sort: tuple[str, bool] | None = None
-        self._limit = DEFAULT_LIMIT
+        self._limit: int | None = None
         self._stats: tuple[str | None] | None = None
 
     def search(self, source: str) -> Hunt:
         if source not in SOURCES:
-            raise ValueError(f"unknown source '{source}'")
+            raise ValueError(f"no source is called {source!r}; there are {sorted(SOURCES)}")
         self._source = source
         return self
 
     def _check(self, name: str) -> None:
         if not self._source:
-            raise ValueError("search a source first")
+            raise ValueError("choose a source with search() before this step")
         if name not in SOURCES[self._source][1]:
-            raise ValueError(f"field '{name}' not valid for source '{self._source}'")
+            raise ValueError(f"{self._source} has no field {name!r}")
 
     def _table(self) -> DataFrame:
         name = SOURCES[self._source][0]
@@ -79,13 +77,14 @@ class Hunt:
         """Add a predicate to the flat list; AND binds tighter than OR."""
         self._check(field)
         if op not in OPERATORS:
-            raise ValueError("expected operator")
+            raise ValueError(f"{op!r} is none of {OPERATORS}")
         if connector not in ("AND", "OR"):
-            raise ValueError("expected AND or OR")
+            raise ValueError("predicates are connected by AND or OR")
         column = F.col(field)
         if op == "~":
-            # % and _ in the value keep their wildcard meaning.
-            test = column.cast("string").ilike(f"%{value}%")
+            # % and _ in the value keep their wildcard meaning; a backslash is a character like others.
+            pattern = str(value).replace("\\", "\\\\")
+            test = column.cast("string").ilike(f"%{pattern}%")
         else:
             literal = F.lit(value).cast(self._table().schema[field].dataType)
             test = {
@@ -98,12 +97,13 @@ class Hunt:
     def sort(self, field: str, direction: str = "desc") -> Hunt:
         self._check(field)
         if direction not in ("asc", "desc"):
-            raise ValueError("expected asc or desc")
+            raise ValueError("the direction is asc or desc")
         self._sort = (field, direction == "desc")
         return self
 
     def head(self, n: int) -> Hunt:
-        self._limit = max(1, min(int(n), MAX_LIMIT))
+        """The number of rows to return; rows are 50 where none is asked for, groups all."""
+        self._limit = max(1, int(n))
         return self
 
     limit = head
@@ -139,17 +139,18 @@ class Hunt:
         if self._stats is not None:
             by = self._stats[0]
             if by is None:
-                return df.agg(F.count("*").alias("count")).limit(self._limit)
-            counts = df.groupBy(by).agg(F.count("*").alias("count"))
-            return counts.orderBy(F.desc("count"), by).limit(self._limit)
+                return df.agg(F.count("*").alias("count"))
+            counts = df.groupBy(by).agg(F.count("*").alias("count")).orderBy(F.desc("count"), by)
+            return counts if self._limit is None else counts.limit(self._limit)
         if self._sort is not None:
             field, descending = self._sort
             first = F.desc(field) if descending else F.asc(field)
         else:
-            first = F.desc("received_at")
+            newest = next(c for c in ("received_at", "timestamp_ms", "first_seen_ms") if c in df.columns)
+            first = F.desc(newest)
         # Equal keys fall back to the other fields, so that a limit is repeatable.
         rest = [c for c in SOURCES[self._source][1] if c in df.columns]
-        df = df.orderBy(first, *rest).limit(self._limit)
+        df = df.orderBy(first, *rest).limit(self._limit or DEFAULT_LIMIT)
         return df.select(*self._fields) if self._fields else df
 
 
@@ -158,7 +159,7 @@ def recent(table: DataFrame, name: str, limit: int = 50, device_id: int | None =
     columns = RECENT_COLUMNS[name]
     df = table if device_id is None else table.filter(F.col("device_id") == device_id)
     order = [F.desc("received_at"), *columns]
-    return df.orderBy(*order).limit(max(1, min(limit, MAX_RECENT))).select(*columns)
+    return df.orderBy(*order).limit(max(1, limit)).select(*columns)
 
 
 def recent_anomalies(threats: DataFrame, limit: int = 50, device_id: int | None = None) -> DataFrame:
@@ -167,7 +168,7 @@ def recent_anomalies(threats: DataFrame, limit: int = 50, device_id: int | None
     if device_id is not None:
         df = df.filter(F.col("device_id") == device_id)
     df = df.withColumnsRenamed({"sub_type": "detector", "confidence": "score"})
-    return df.orderBy(F.desc("received_at"), *columns).limit(max(1, min(limit, MAX_RECENT))).select(*columns)
+    return df.orderBy(F.desc("received_at"), *columns).limit(max(1, limit)).select(*columns)
 
 
 def recent_audit(audit: DataFrame, n: int = 100) -> DataFrame:

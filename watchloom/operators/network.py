@@ -94,7 +94,7 @@ def http_methods(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     rows = explode_once(logs, _others(logs, text), both, "_m")
     method = F.col("_m.method")
     return _finding(rows, "proto_anomaly", "medium", 0.6, "T1190", method,
-                    F.concat(F.lit("Unusual HTTP method: "), method), F.left(F.col("_m.whole"), F.lit(100)))
+                    F.concat(F.lit("Unusual HTTP method: "), method), F.col("_m.whole"))
 
 
 def tool_user_agents(logs: DataFrame, text: str = "raw_log") -> DataFrame:
@@ -105,13 +105,13 @@ def tool_user_agents(logs: DataFrame, text: str = "raw_log") -> DataFrame:
 
 def base64_params(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     rows = explode_once(logs, _others(logs, text), _found(text, BASE64_PARAM_PATTERN, 0), "_p")
-    return _finding(rows, "proto_anomaly", "high", 0.65, "T1132.001", F.left("_p", F.lit(60)),
+    return _finding(rows, "proto_anomaly", "high", 0.65, "T1132.001", F.col("_p"),
                     F.lit("Base64-encoded data in URL parameter (possible data encoding)"))
 
 
 def long_urls(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     rows = explode_once(logs, _others(logs, text), _found(text, LONG_URL_PATTERN, 2), "_u")
-    return _finding(rows, "proto_anomaly", "high", 0.7, "T1190", F.concat(F.left("_u", F.lit(80)), F.lit("...")),
+    return _finding(rows, "proto_anomaly", "high", 0.7, "T1190", F.col("_u"),
                     F.concat(F.lit("Unusually long URL ("), F.length("_u").cast("string"),
                              F.lit(" chars) -- possible injection attempt")))
 
@@ -158,9 +158,7 @@ def payload_entropy(logs: DataFrame, text: str = "raw_log") -> DataFrame:
     runs = explode_once(logs, others, _found(text, BASE64_RUN_PATTERN, 0), "_run")
     decoded = runs.withColumn("_payload", F.try_to_binary("_run", F.lit("base64"))).filter(F.col("_payload").isNotNull())
     found = entropy_findings(decoded.withColumn("indicator_text", F.col("_run")), "_payload", "indicator_text")
-    return found.withColumn("evidence", F.left("indicator_text", F.lit(80))).withColumn(
-        "indicator", F.concat(F.left("indicator_text", F.lit(40)), F.lit("..."))
-    ).select(*others, *_FINDING)
+    return found.withColumn("evidence", F.col("indicator_text")).select(*others, *_FINDING)
 
 
 def inspect_logs(logs: DataFrame, text: str = "raw_log") -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from watchloom.functions.columns import as_column, compact, explode_once
 from watchloom.rules.detection import BUILTIN_RULES, DetectionRule
 
-# Rules up to this number become one projection; larger sets are scanned in groups of it.
-PROJECTED_RULES = 200
+# Rules whose alternation is tried before each of them.
+GROUP_RULES = 50
 
 
 def log_lines(text: Column | str, max_length: int | None = None) -> Column:
@@ -26,19 +26,21 @@ def _explode_lines(logs: DataFrame, text: str, max_line: int | None) -> DataFram
     return logs.select(*others, F.posexplode_outer(log_lines(text, max_line)).alias("line_no", "_line")).filter("_line is not null")
 
 
-def _hits(lines: DataFrame, rules: Sequence[DetectionRule], first: int = 0) -> DataFrame:
-    found = compact(*[
-        F.when(
-            F.col("_line").rlike(f"(?i){r.pattern}"),
-            F.struct(F.lit(i).alias("rule_no"), F.lit(r.name).alias("rule_name"),
-                     F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")),
-        )
-        for i, r in enumerate(rules, first)
-    ])
-    others = [c for c in lines.columns if c != "_line"]
-    return explode_once(lines, [*others, "_line"], found, "_hit").select(
-        *others, "_hit.*", F.left("_line", F.lit(512)).alias("matched_text")
+def _hits(lines: DataFrame, rules: Sequence[DetectionRule]) -> DataFrame:
+    """One projection for sets of any size: a line that a group's alternation misses tries none of its rules."""
+    one = lambda i, r: F.when(
+        F.col("_line").rlike(f"(?i){r.pattern}"),
+        F.struct(F.lit(i).alias("rule_no"), F.lit(r.name).alias("rule_name"),
+                 F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")),
     )
+    groups = []
+    for at in range(0, len(rules), GROUP_RULES):
+        group = list(enumerate(rules[at:at + GROUP_RULES], at))
+        any_of = "|".join(f"(?:{r.pattern})" for _, r in group)
+        groups.append(F.when(F.col("_line").rlike(f"(?i){any_of}"), compact(*[one(i, r) for i, r in group])))
+    found = F.flatten(compact(*groups))
+    others = [c for c in lines.columns if c != "_line"]
+    return explode_once(lines, [*others, "_line"], found, "_hit").select(*others, "_hit.*", F.col("_line").alias("matched_text"))
 
 
 def scan_rules(
@@ -54,20 +56,7 @@ def scan_rules(
     Lines are scanned whole; pass ``max_line`` to cut them first. The rules are
     literals of the plan, compiled once per task.
     """
-    rules = list(rules)
-    lines = _explode_lines(logs, text, max_line)
-    if len(rules) <= PROJECTED_RULES:
-        return _hits(lines, rules)
-    # Large sets: one alternation per group tells which groups a line needs.
-    groups = [rules[i:i + PROJECTED_RULES] for i in range(0, len(rules), PROJECTED_RULES)]
-    any_of = [F.col("_line").rlike("(?i)" + "|".join(f"(?:{r.pattern})" for r in g)) for g in groups]
-    needed = lines.withColumn("_groups", compact(*[F.when(a, F.lit(i)) for i, a in enumerate(any_of)]))
-    needed = needed.filter(F.size("_groups") > 0)
-    out = None
-    for i, group in enumerate(groups):
-        part = _hits(needed.filter(F.array_contains("_groups", i)).drop("_groups"), group, i * PROJECTED_RULES)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _hits(_explode_lines(logs, text, max_line), list(rules))
 
 
 def scan_rule_table(logs: DataFrame, rules: DataFrame, text: str = "raw_log", max_line: int | None = None) -> DataFrame:

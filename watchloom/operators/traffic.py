@@ -105,7 +105,7 @@ def _threat(category: str, sub_type: Column | str, severity: Column | str, confi
     return F.struct(
         F.lit(category).alias("category"), lit(sub_type).alias("sub_type"), lit(severity).alias("severity"),
         bounded.alias("confidence"), lit(description).alias("description"),
-        F.left(F.coalesce(evidence, F.lit("")), F.lit(512)).alias("evidence"),
+        F.coalesce(evidence, F.lit("")).alias("evidence"),
     )
 
 
@@ -116,10 +116,10 @@ def _text(*parts: Column | str) -> Column:
 def log_detectors(text: str = "raw_log", limits: TrafficLimits = TrafficLimits()) -> list[Column]:
     """Detectors that need only the log chunk."""
     log = F.col(text)
-    excerpt = F.left(log, F.lit(256))
+    matched = lambda name: F.regexp_extract(log, f"(?i){SIGNATURES[name]}", 0)
     out = [
         F.when(F.coalesce(log.rlike(f"(?i){SIGNATURES[name]}"), F.lit(False)),
-               _threat(category, sub, sev, conf, desc, excerpt))
+               _threat(category, sub, sev, conf, desc, matched(name)))
         for name, category, sub, sev, conf, desc in ONE_MATCH
     ]
     refused = match_count(text, SIGNATURES["conn_refused"])
@@ -138,11 +138,12 @@ def log_detectors(text: str = "raw_log", limits: TrafficLimits = TrafficLimits()
     out.append(F.when(scans >= limits.internal_scan_min, _threat(
         "lateral_movement", "lateral_internal_scan", "high",
         F.least(F.lit(0.9), 0.5 + scans * 0.08),
-        _text("Internal subnet scanning detected (", scans, " indicators)"), excerpt)))
+        _text("Internal subnet scanning detected (", scans, " indicators)"), matched("internal_scan"))))
     smb = match_count(text, SIGNATURES["smb_lateral"]) + match_count(text, SIGNATURES["psexec"])
     out.append(F.when(smb >= limits.smb_min, _threat(
         "lateral_movement", "lateral_smb", "high", 0.75,
-        "SMB-based lateral movement indicators (PsExec/admin shares)", excerpt)))
+        "SMB-based lateral movement indicators (PsExec/admin shares)",
+        F.concat_ws(" ", *[F.nullif(matched(n), F.lit("")) for n in ("smb_lateral", "psexec")]))))
     return out
 
 

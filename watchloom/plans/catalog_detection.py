@@ -67,7 +67,7 @@ def _found(pattern: str, group: int) -> str:
     return f"unnest(regexp_extract_all(raw_log, {quote(pattern)}, {group}))"
 
 
-@query("http_methods", with_views(["sec_log"], f"""select event_id, 'proto_anomaly' as category, 'medium' as severity, cast(0.6 as double) as confidence, 'T1190' as mitre_id, m as indicator, concat('Unusual HTTP method: ', m) as description, left(w, 100) as evidence
+@query("http_methods", with_views(["sec_log"], f"""select event_id, 'proto_anomaly' as category, 'medium' as severity, cast(0.6 as double) as confidence, 'T1190' as mitre_id, m as indicator, concat('Unusual HTTP method: ', m) as description, w as evidence
  from (select event_id, {_found(net.HTTP_METHOD_PATTERN, 1)} as m, {_found(net.HTTP_METHOD_PATTERN, 0)} as w from sec_log)"""))
 def q_http_methods(spark, d):
     return _shape(net.http_methods(_logs(spark, d)))
@@ -79,13 +79,13 @@ def q_tool_user_agents(spark, d):
     return _shape(net.tool_user_agents(_logs(spark, d)))
 
 
-@query("base64_params", with_views(["sec_log"], f"""select event_id, 'proto_anomaly' as category, 'high' as severity, cast(0.65 as double) as confidence, 'T1132.001' as mitre_id, left(p, 60) as indicator,
+@query("base64_params", with_views(["sec_log"], f"""select event_id, 'proto_anomaly' as category, 'high' as severity, cast(0.65 as double) as confidence, 'T1132.001' as mitre_id, p as indicator,
  'Base64-encoded data in URL parameter (possible data encoding)' as description, '' as evidence from (select event_id, {_found(net.BASE64_PARAM_PATTERN, 0)} as p from sec_log)"""))
 def q_base64_params(spark, d):
     return _shape(net.base64_params(_logs(spark, d)))
 
 
-@query("long_urls", with_views(["sec_log"], f"""select event_id, 'proto_anomaly' as category, 'high' as severity, cast(0.7 as double) as confidence, 'T1190' as mitre_id, concat(left(u, 80), '...') as indicator,
+@query("long_urls", with_views(["sec_log"], f"""select event_id, 'proto_anomaly' as category, 'high' as severity, cast(0.7 as double) as confidence, 'T1190' as mitre_id, u as indicator,
  concat('Unusually long URL (', length(u), ' chars) -- possible injection attempt') as description, '' as evidence from (select event_id, {_found(net.LONG_URL_PATTERN, 2)} as u from sec_log)"""))
 def q_long_urls(spark, d):
     return _shape(net.long_urls(_logs(spark, d)))
@@ -104,9 +104,9 @@ def q_connection_anomalies(spark, d):
   (select event_id, run, body, hex(body) as hx, unnest([substr(hex(body), i, 2) for i in range(1, 2 * octet_length(body), 2)]) as byte from b) group by event_id, run, body, byte) group by event_id, run),
  c as (select *, h > 7.2 and size > 128 as enc from f where size >= 32 and ((h > 7.2 and size > 128) or (h > 6.5 and size > 256)))
  select event_id, 'entropy' as category, case when enc then 'high' else 'medium' end as severity, round(least(1.0, case when enc then (h - 6.5) * 0.5 else (h - 6.0) * 0.3 end), 6) as confidence,
- case when enc then 'T1573.001' else 'T1132' end as mitre_id, concat(left(run, 40), '...') as indicator,
+ case when enc then 'T1573.001' else 'T1132' end as mitre_id, run as indicator,
  case when enc then concat('High payload entropy (', printf('%.2f', h), ' bits/byte, ', size, ' bytes) -- possible encrypted C2 channel') else concat('Elevated payload entropy (', printf('%.2f', h), ' bits/byte) -- possible data encoding') end as description,
- left(run, 80) as evidence from c"""))
+ run as evidence from c"""))
 def q_payload_entropy(spark, d):
     return _shape(net.payload_entropy(_logs(spark, d, "payloads")))
 

@@ -35,14 +35,21 @@ def q_fim_diff(spark, d):
 
 
 def snapshots(spark, d):
-    """Three snapshots per device: a, then b, then a again."""
+    """Snapshots per device: a, then b, then a again; then, in the headers only, an empty one."""
     a, b = view(spark, d, "snap_a"), view(spark, d, "snap_b")
     at = lambda df, ms: df.withColumn("timestamp_ms", F.lit(ms).cast("long"))
     return at(a, 1000).unionByName(at(b, 2000)).unionByName(at(a, 3000))
 
 
+def file_alerts(spark, d):
+    rows = snapshots(spark, d)
+    emptied = rows.filter("device_id % 7 = 3").select("device_id", F.lit(4000).cast("long").alias("timestamp_ms")).distinct()
+    return fim_alerts(rows, headers=emptied)
+
+
 _ALERTS_SQL = f"""two as ({_FIM_SQL}), ch as (select 2000 as timestamp_ms, * from two union all select 3000, device_id, path, case change_type when 'added' then 'deleted' when 'deleted' then 'added' else 'modified' end,
- new_hash, old_hash, new_size, old_size, new_mtime, old_mtime from two),
+ new_hash, old_hash, new_size, old_size, new_mtime, old_mtime from two
+ union all select 4000, device_id, path, 'deleted', sha256, '', size_bytes, 0, mtime_epoch, 0 from snap_a where device_id % 7 = 3),
  s as (select *, {path_severity_sql('path')} as severity from ch)
  select device_id, cast(timestamp_ms as bigint) as timestamp_ms, path, change_type, old_hash, new_hash, old_size, new_size, severity,
  case when change_type = 'added' and severity = 'critical' then 'T1505.003' when change_type = 'added' then 'T1074' when change_type = 'modified' and severity = 'critical' then 'T1565.001' when change_type = 'modified' then 'T1027' else 'T1070.004' end as mitre_id,
@@ -52,7 +59,7 @@ _ALERTS_SQL = f"""two as ({_FIM_SQL}), ch as (select 2000 as timestamp_ms, * fro
 
 @query("fim_alerts", with_views(["snap_a", "snap_b"], _ALERTS_SQL))
 def q_fim_alerts(spark, d):
-    return fim_alerts(snapshots(spark, d)).drop("old_mtime", "new_mtime")
+    return file_alerts(spark, d).drop("old_mtime", "new_mtime")
 
 
 @query("tamper_check", with_views(["snap_a", "snap_b"], """select a.device_id, a.path, a.sha256 as expected_hash, b.sha256 as actual_hash,
@@ -104,7 +111,8 @@ def q_software_dedupe(spark, d):
 
 @query("software_diff", with_views(["sw_a", "sw_b"], """select coalesce(b.device_id, a.device_id) as device_id, coalesce(b.name, a.name) as name, case when a.name is null then 'installed' when b.name is null then 'removed' else 'updated' end as change_type,
  coalesce(b.version, a.version) as version, coalesce(b.publisher, a.publisher) as publisher, case when a.name is not null and b.name is not null then a.version else '' end as old_version
- from sw_a a full join sw_b b on a.device_id = b.device_id and a.name = b.name where a.name is null or b.name is null or a.version <> b.version"""))
+ from (select device_id, name, unnest(max(struct_pack(version := version, publisher := publisher))) from sw_a group by device_id, name) a
+ full join (select device_id, name, unnest(max(struct_pack(version := version, publisher := publisher))) from sw_b group by device_id, name) b on a.device_id = b.device_id and a.name = b.name where a.name is null or b.name is null or a.version <> b.version"""))
 def q_software_diff(spark, d):
     return software_diff(view(spark, d, "sw_a"), view(spark, d, "sw_b"))
 

@@ -86,9 +86,9 @@ def device_tags(spark, d):
     return fl.with_tag(tagged, "prod").select("device_id", F.explode("tags").alias("tag"))
 
 
-@query("online_devices", with_views(["tel"], f"select count(distinct device_id) as devices_online from tel where timestamp_ms > {_AS_OF} - 86400000 and timestamp_ms <= {_AS_OF}"))
+@query("online_devices", with_views(["tel"], f"select count(distinct device_id) as devices_online from tel where timestamp_ms > {_AS_OF} - 604800000 and timestamp_ms <= {_AS_OF}"))
 def q_online_devices(spark, d):
-    return fl.online_devices(view(spark, d, "tel"), _AS_OF, 10**9)
+    return fl.online_devices(view(spark, d, "tel"), _AS_OF, 604_800)
 
 
 # ----- hunting -----
@@ -113,7 +113,7 @@ def _th_sql(tail: str) -> str:
 _REST = "device_id, timestamp_ms, machine_ip, category, sub_type, severity, confidence, mitre_id, mitre_name, mitre_tactic, description, received_at"
 
 
-@query("hunt_where", _th_sql(f"select device_id, timestamp_ms, severity, mitre_id, description from (select * from th where (severity = 'critical' and mitre_id ilike '%t100_%') or device_id < 5 order by received_at desc, {_REST} limit 10000)"))
+@query("hunt_where", _th_sql(f"select device_id, timestamp_ms, severity, mitre_id, description from (select * from th where (severity = 'critical' and mitre_id ilike '%t100_%') or device_id < 5 order by received_at desc, {_REST} limit 20000)"))
 def hunt_where(spark, d):
     return (_hunt(spark, d).where("severity", "=", "critical").where("mitre_id", "~", "t100_").where("device_id", "<", 5, "OR")
             .head(20000).fields("device_id", "timestamp_ms", "severity", "mitre_id", "description").run())
@@ -129,7 +129,7 @@ def hunt_default(spark, d):
     return _hunt(spark, d).run()
 
 
-@query("hunt_stats", _th_sql("select category, count(*) as count from th where device_id > 3 group by category order by count desc, category limit 50"))
+@query("hunt_stats", _th_sql("select category, count(*) as count from th where device_id > 3 group by category order by count desc, category"))
 def hunt_stats(spark, d):
     return _hunt(spark, d).where("device_id", ">", 3).stats_count("category").run()
 
@@ -139,15 +139,37 @@ def hunt_stats_total(spark, d):
     return _hunt(spark, d).where("severity", "=", "high").sort("severity").stats_count().run()
 
 
-@query("hunt_audit", with_views(["audit"], "select username, count(*) as count from audit where success = false and tenant_id = 'tenant2' group by username order by count desc, username limit 50"))
+@query("hunt_audit", with_views(["audit"], "select username, count(*) as count from audit where success = false and tenant_id = 'tenant2' group by username order by count desc, username"))
 def hunt_audit(spark, d):
     return Hunt(spark, {"audit_log": view(spark, d, "audit")}).search("audit").where("success", "=", False).where("tenant_id", "=", "tenant2").stats_count("username").run()
 
 
+@query("hunt_audit_default", with_views(["audit"], "select username, action, source_ip from audit order by timestamp_ms desc, username, tenant_id, action, source_ip, success limit 50"))
+def hunt_audit_default(spark, d):
+    return Hunt(spark, {"audit_log": view(spark, d, "audit")}).search("audit").fields("username", "action", "source_ip").run()
+
+
+@query("hunt_correlations", with_views(["det"], """c as (select cast(event_id as varchar) as incident_id, category as rule_name, severity, '' as mitre_tactic, mitre_id as mitre_technique, description, timestamp_ms as first_seen_ms, timestamp_ms + 5 as last_seen_ms from det)
+ select * from c where severity = 'critical' order by first_seen_ms desc, incident_id limit 300"""))
+def hunt_correlations(spark, d):
+    rows = view(spark, d, "det").selectExpr(
+        "cast(event_id as string) as incident_id", "category as rule_name", "severity", "'' as mitre_tactic", "mitre_id as mitre_technique",
+        "description", "timestamp_ms as first_seen_ms", "timestamp_ms + 5 as last_seen_ms")
+    return Hunt(spark, {"correlations_view": rows}).search("correlations").where("severity", "=", "critical").head(300).run()
+
+
+@query("hunt_backslash", with_views(["det"], r"""select event_id as device_id, concat('C:\Windows\x', event_id, ' 50%') as description from det where event_id % 3 = 0"""))
+def hunt_backslash(spark, d):
+    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("C:\\Windows\\x"), F.col("event_id").cast("string"), F.lit(" 50%"))).otherwise("C:/Windows")
+    rows = view(spark, d, "det").select(F.col("event_id").alias("device_id"), path.alias("description"), F.lit(0).alias("received_at"))
+    found = Hunt(spark, {"threat_detections": rows}).search("threats").where("description", "~", "c:\\windows\\")
+    return found.head(1_000_000).fields("device_id", "description").run()
+
+
 _RECENT = "device_id, timestamp_ms, machine_ip, category, sub_type, severity, confidence, mitre_id, mitre_name, description"
 
 
-@query("recent", _th_sql(f"select {_RECENT} from th where device_id = 7 order by received_at desc, {_RECENT} limit 1000"))
+@query("recent", _th_sql(f"select {_RECENT} from th where device_id = 7 order by received_at desc, {_RECENT} limit 5000"))
 def q_recent(spark, d):
     return recent(threats(spark, d), "threat_detections", 5000, 7)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from watchloom.operators.correlate import (
     active_incidents, corr_events, correlate, incident_json, incident_members, recent_incidents,
 )
-from watchloom.operators.diffs import fim_alerts, suspicious_connections, suspicious_processes
+from watchloom.operators.diffs import suspicious_connections, suspicious_processes
 from watchloom.operators.auth import linux_auth_events
 from watchloom.operators.respond import (
     action_results, blocklist, ir_incidents, plan_actions, quarantined, soar_inbound, soar_route,
@@ -15,7 +15,7 @@ from watchloom.operators.respond import (
 from watchloom.operators.rule_scan import scan_rules
 from watchloom.plans.catalog import query
 from watchloom.plans.catalog_inventory import (
-    _ALERTS_SQL, _AUTH_PARTS, _NAMES, USB_SEVERITY_SQL, snapshots, usb_changes,
+    _ALERTS_SQL, _AUTH_PARTS, _NAMES, USB_SEVERITY_SQL, file_alerts, usb_changes,
 )
 from watchloom.plans.sql import RANK, quote, rule_hits, values
 from watchloom.plans.views import table, view, with_views
@@ -125,7 +125,7 @@ def q_corr_events(spark, d):
     # Auth events take their address from the log, not from the reporting host.
     auth = linux_auth_events(view(spark, d, "sec_log")).drop("machine_ip")
     return corr_events(
-        threats=of("traffic"), iocs=of("ioc"), network=of("network_inspector"), fim=fim_alerts(snapshots(spark, d)),
+        threats=of("traffic"), iocs=of("ioc"), network=of("network_inspector"), fim=file_alerts(spark, d),
         processes=suspicious_processes(view(spark, d, "proc_b")), connections=at(suspicious_connections(view(spark, d, "conn_a")), 5),
         auth=auth, usb=at(usb_changes(spark, d), 6),
     ).select(*_CORR)
@@ -147,7 +147,7 @@ def q_ir_incidents(spark, d):
     det = view(spark, d, "det")
     return ir_incidents(
         threats=det.filter("source = 'traffic'"), iocs=det.filter("source = 'ioc'"),
-        security_events=scan_rules(view(spark, d, "sec_log")), fim=fim_alerts(snapshots(spark, d)),
+        security_events=scan_rules(view(spark, d, "sec_log")), fim=file_alerts(spark, d),
         processes=suspicious_processes(view(spark, d, "proc_b").drop("path")),
         usb=usb_changes(spark, d).withColumn("timestamp_ms", F.lit(6).cast("long")),
     ).select(*_IR)
@@ -220,7 +220,7 @@ def routed(spark, d):
     return soar_route(
         threats=det.filter("source = 'traffic'").withColumn("sub_type", F.lit("st")),
         iocs=det.filter("source = 'ioc'").withColumn("ioc_type", F.lit("ip")).withColumn("feed_source", F.lit("f")),
-        fim=fim_alerts(snapshots(spark, d)).withColumn("machine_ip", F.lit("")),
+        fim=file_alerts(spark, d).withColumn("machine_ip", F.lit("")),
         usb=usb_changes(spark, d).withColumn("timestamp_ms", F.lit(6).cast("long")),
     )
 
@@ -297,7 +297,7 @@ def stored_events(spark, d):
     return shape_table(scan_rules(view(spark, d, "chunk")), "security_events").drop("received_at")
 
 
-@query("stored_iocs", """select cast(page_id as int) as device_id, page_id as timestamp_ms, 'ip' as machine_ip, 'url' as ioc_type, left(html, 256) as ioc_value, 'low' as severity, 'f' as feed_source, 'log' as matched_in, '' as mitre_id, left(html, 512) as description, '' as tags from pages""")
+@query("stored_iocs", """select cast(page_id as int) as device_id, page_id as timestamp_ms, 'ip' as machine_ip, 'url' as ioc_type, html as ioc_value, 'low' as severity, 'f' as feed_source, 'log' as matched_in, '' as mitre_id, html as description, '' as tags from pages""")
 def stored_iocs(spark, d):
     rows = table(spark, d, "pages").selectExpr(
         "page_id as device_id", "page_id as timestamp_ms", "'ip' as machine_ip", "'url' as ioc_type", "html as ioc_value",

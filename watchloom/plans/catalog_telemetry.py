@@ -207,16 +207,20 @@ def _threat_sql(views: list[str], body: str, found: str, recursive: bool = False
     """Wrap a SELECT of detections (named columns of ``found``) with the technique lookup."""
     head = f"{body}, " if body else ""
     return with_views(views, f"""{head}{MITRE}, t as ({found}) select event_id, device_id, timestamp_ms, t.sub_type, t.severity, round(confidence, 6) as confidence, {MITRE_COLUMNS},
- description, left(evidence, 512) as evidence from t left join mitre on mitre.sub_type = t.sub_type""", recursive)
+ description, evidence from t left join mitre on mitre.sub_type = t.sub_type""", recursive)
 
 
 def _shape(df):
     return df.withColumn("confidence", F.round("confidence", 6)).select(*_THREAT)
 
 
+def _first(sig: str) -> str:
+    return f"regexp_extract(raw_log, {quote('(?i)' + SIGNATURES[sig])}, 0)"
+
+
 def _log_match(sig: str, sub: str, severity: str, confidence: float, description: str) -> str:
     return (f"select event_id, device_id, timestamp_ms, {quote(sub)} as sub_type, {quote(severity)} as severity, cast({confidence} as double) as confidence, "
-            f"{quote(description)} as description, left(raw_log, 256) as evidence from sec_log where regexp_matches(raw_log, {quote(SIGNATURES[sig])}, 'i')")
+            f"{quote(description)} as description, {_first(sig)} as evidence from sec_log where regexp_matches(raw_log, {quote(SIGNATURES[sig])}, 'i')")
 
 
 def _matches(sig: str) -> str:
@@ -260,14 +264,14 @@ _log_query("traffic_c2_signatures", " union all ".join([
     _log_match("dns_txt_query", "c2_dns_beacon", "high", 0.8, "DNS-based C2 channel indicators (TXT queries / tunneling tool)"),
 ]), subs=["c2_known_framework", "c2_http_beacon", "c2_dns_beacon"])
 _log_query("traffic_lateral_internal_scan", f"""select event_id, device_id, timestamp_ms, 'lateral_internal_scan' as sub_type, 'high' as severity, least(0.9, 0.5 + n * 0.08) as confidence,
- concat('Internal subnet scanning detected (', n, ' indicators)') as description, left(raw_log, 256) as evidence from (select *, {_matches('internal_scan')} as n from sec_log) where n >= 5""",
+ concat('Internal subnet scanning detected (', n, ' indicators)') as description, {_first('internal_scan')} as evidence from (select *, {_matches('internal_scan')} as n from sec_log) where n >= 5""",
     subs=["lateral_internal_scan"])
 _log_query("traffic_lateral_pass", " union all ".join([
     _log_match("pass_the_hash", "lateral_pass_the_hash", "critical", 0.85, "Pass-the-Hash attack indicators (NTLM relay / mimikatz)"),
     _log_match("pass_the_ticket", "lateral_pass_the_ticket", "critical", 0.85, "Pass-the-Ticket / Golden Ticket attack indicators"),
 ]), subs=["lateral_pass_the_hash", "lateral_pass_the_ticket"])
 _log_query("traffic_lateral_smb", f"""select event_id, device_id, timestamp_ms, 'lateral_smb' as sub_type, 'high' as severity, cast(0.75 as double) as confidence,
- 'SMB-based lateral movement indicators (PsExec/admin shares)' as description, left(raw_log, 256) as evidence from sec_log where {_matches('smb_lateral')} + {_matches('psexec')} >= 3""",
+ 'SMB-based lateral movement indicators (PsExec/admin shares)' as description, concat_ws(' ', nullif({_first('smb_lateral')}, ''), nullif({_first('psexec')}, '')) as evidence from sec_log where {_matches('smb_lateral')} + {_matches('psexec')} >= 3""",
     subs=["lateral_smb"])
 _log_query("traffic_lateral_rdp_wmi", " union all ".join([
     _log_match("rdp_lateral", "lateral_rdp", "medium", 0.6, "RDP connection to internal host detected"),
@@ -335,7 +339,7 @@ def c2_periodic_beacon(spark, d):
     return _shape(classify(rows, [beacon_detector()], keep=("event_id", "device_id", "timestamp_ms")))
 
 
-@query("failed_logins", with_views(["chunk"], """select event_id, device_id, timestamp_ms, cast(contains(raw_log, 'Failed password') as bigint) as failed_logins from chunk
- where contains(raw_log, 'Failed password')"""))
+@query("failed_logins", with_views(["chunk"], """select event_id, device_id, timestamp_ms, count(*) as failed_logins from (select *, unnest(string_split(raw_log, chr(10))) as line from chunk)
+ where contains(line, 'Failed password') group by all"""))
 def q_failed_logins(spark, d):
     return failed_logins(linux_auth_events(view(spark, d, "chunk")), ("event_id", "device_id", "timestamp_ms"))

@@ -41,7 +41,7 @@ def rule_hits(view: str, name: str = "hits", carry: str = "event_id, device_id,
     """CTEs ``rules`` and ``<name>``: one row per (line, rule) hit of a log view."""
     return (
         f"{RULES}, {name}_lines as (select {carry}, unnest(string_split(raw_log, chr(10))) as line from {view}), "
-        f"{name} as (select {carry}, rule_no, rule_name, severity, category, left(line, 512) as matched_text "
+        f"{name} as (select {carry}, rule_no, rule_name, severity, category, line as matched_text "
         f"from {name}_lines join rules on regexp_matches(line, pattern, 'i') where line <> '')"
     )
 

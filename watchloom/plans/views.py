@@ -56,7 +56,8 @@ _CONNECTION = """select cast(l_suppkey % 50 as bigint) as device_id, case when l
  cast(case l_linenumber when 1 then 443 when 2 then 4444 when 3 then 6667 when 4 then 80 else 8443 end as int) as remote_port,
  case when l_suppkey % 5 = 0 and l_returnflag = 'N' then 'SYN_RECV' when l_suppkey % 5 = 1 and l_returnflag = 'N' then 'CLOSE_WAIT' when l_returnflag = 'A' then 'ESTABLISHED' when l_returnflag = 'R' then 'SYN_SENT' else 'LISTEN' end as state from lineitem"""
 _SOFTWARE = """select cast(p_partkey % 50 as bigint) as device_id, concat(p_name, '-', cast(p_partkey as string), case when p_partkey % {rename} = 0 then '{suffix}' else '' end) as name,
- concat('1.', cast(p_size + case when p_partkey % {bump} = 0 then 1 else 0 end as string)) as version, p_brand as publisher from part"""
+ concat('1.', cast(p_size + case when p_partkey % {bump} = 0 then 1 else 0 end as string)) as version, p_brand as publisher from part
+ union all select cast(p_partkey % 50 as bigint), concat(p_name, '-', cast(p_partkey as string)), concat('0.', cast(p_size as string)), p_type from part where p_partkey % 4 = 0"""
 _USB = """select cast(s_suppkey % 20 as bigint) as device_id, concat('0', cast(100 + s_nationkey as string)) as vendor_id, concat('0', cast(100 + s_suppkey % 40 as string)) as product_id,
  concat(s_name, case when s_suppkey % {moved} = 0 then '{suffix}' else '' end) as serial, case when s_suppkey % 3 = 0 then 'storage' else 'hid' end as device_class, s_name as product_name, '10.0.0.7' as machine_ip from supplier"""
 _PROCESS = """select cast(o_custkey % 50 as bigint) as device_id, o_orderkey + case when o_orderkey % {moved} = 0 then {by} else 0 end as pid, cast(1704067200000 as bigint) as timestamp_ms,

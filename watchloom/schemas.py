@@ -47,7 +47,4 @@ TABLES = {
     ),
 }
 
-# Characters kept of the long text columns.
-TEXT_LIMITS = {"matched_text": 512, "description": 512, "evidence": 512, "file_path": 512, "ioc_value": 256}
-
 SYSLOG_RAW = _struct("raw string, source_ip string")

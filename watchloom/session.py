@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A long list of newest rows is sorted by all tasks, not held in one task's queue.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Long texts: a batch for Python is bounded by bytes, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }

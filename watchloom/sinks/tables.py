@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchloom.functions.columns import fixed
-from watchloom.schemas import TABLES, TEXT_LIMITS
+from watchloom.schemas import TABLES
 
 
-def shape_table(df: DataFrame, name: str, received_at: Column | None = None) -> DataFrame:
-    """Columns, types and text limits of a stored table, stamped with ``received_at``."""
+def shape_table(df: DataFrame, name: str, received_at: Column | None = None, max_chars: int | None = None) -> DataFrame:
+    """Columns and types of a stored table, stamped with ``received_at``; texts are whole unless ``max_chars`` cuts them."""
     columns = []
     for field in TABLES[name].fields:
         value = F.col(field.name) if field.name in df.columns else F.lit(None)
         value = value.cast(field.dataType)
-        if field.name in TEXT_LIMITS:
-            value = F.left(value, F.lit(TEXT_LIMITS[field.name]))
+        if max_chars is not None and field.dataType.typeName() == "string":
+            value = F.left(value, F.lit(max_chars))
         columns.append(value.alias(field.name))
     stamp = received_at if received_at is not None else F.current_timestamp()
     return df.select(*columns, stamp.alias("received_at"))

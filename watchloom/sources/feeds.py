@@ -8,10 +8,7 @@ from watchloom.functions.network import ioc_type_alias
 from watchloom.operators.intel import latest_entries
 from watchloom.rules.detection import BUILTIN_RULES
 
-# Longest line and field that are read; longer lines are malformed.
-MAX_LINE = 8192
-MAX_PATTERN = 4096
-MAX_FIELD = 2048
+# Severities a rule may have.
 SEVERITIES = ["low", "medium", "high", "critical"]
 
 
@@ -33,11 +30,10 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     """Valid user rules of (line_no, line); the pattern keeps its own bars."""
     line = F.trim(F.translate("line", "\t\r", "  "))
     parts = F.split(line, r"\|", 4)
-    rows = lines.filter((F.length("line") <= MAX_LINE) & (line != "") & ~line.startswith("#")).filter(F.size(parts) >= 4)
+    rows = lines.filter((line != "") & ~line.startswith("#")).filter(F.size(parts) >= 4)
     rows = rows.select("line_no", *[_field(parts, i).alias(n) for i, n in enumerate(["name", "severity", "category", "pattern"])])
     return rows.filter(
-        (F.col("name") != "") & (F.col("pattern") != "") & (F.length("pattern") <= MAX_PATTERN)
-        & F.col("severity").isin(*SEVERITIES)
+        (F.col("name") != "") & (F.col("pattern") != "") & F.col("severity").isin(*SEVERITIES)
     )
 
 
@@ -66,9 +62,9 @@ def parse_feed_lines(lines: DataFrame) -> DataFrame:
     """Feed entries of (feed_source, line_no, line): type|value|severity|description|mitre_id|tags."""
     line = F.trim(F.translate(F.split_part("line", F.lit("#"), F.lit(1)), "\t\r", "  "))
     parts = F.split(line, r"\|")
-    text = lambda i: F.left(_field(parts, i), F.lit(MAX_FIELD))
+    text = lambda i: _field(parts, i)
     severity = text(2)
-    return lines.filter(F.length("line") <= MAX_LINE).filter(F.size(parts) >= 2).select(
+    return lines.filter(F.size(parts) >= 2).select(
         ioc_type_alias(text(0)).alias("type"), F.lower(text(1)).alias("value"),
         F.when(severity == "", "high").otherwise(severity).alias("severity"), "feed_source",
         text(3).alias("description"), text(4).alias("mitre_id"), text(5).alias("tags"), "line_no",

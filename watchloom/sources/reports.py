@@ -154,6 +154,11 @@ def parse_fim_reports(df: DataFrame, payload: str = "payload", keep: Sequence[st
     return parse_entries(df, FIM, payload, keep)
 
 
+def parse_fim_headers(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per readable report (device_id, timestamp_ms), also of a tree without files."""
+    return _with_lines(df, FIM, payload).select(*keep, "device_id", "timestamp_ms")
+
+
 parse_process_reports = _both(PROCESS)
 parse_connection_reports = _both(CONNECTION)
 parse_session_reports = _both(SESSION)

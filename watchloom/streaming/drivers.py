@@ -100,7 +100,7 @@ def detect_batches(logs: DataFrame, root: str, feed: Callable[[SparkSession], Da
 
 def score_batches(features: DataFrame, pool: Callable[[SparkSession], DataFrame], root: str, name: str = "score",
                   warmup: int = 128) -> StreamingQuery:
-    """Score a stream of telemetry features; the forest is trained anew for every micro-batch on the newest stored rows."""
+    """Score a stream of telemetry features; the forest is trained anew for every micro-batch on a sample of the stored rows."""
 
     def handle(batch: DataFrame, _: int) -> None:
         history = anomaly_features(pool(batch.sparkSession))
