@@ -159,7 +159,8 @@ def neighbour_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # A row per range comes to the driver: the id it begins with. The first range's goes to the last range.
     heads = rows.select(range_of(order).alias("part"), order.alias("id")).groupBy("part").agg(F.max("id").alias("head")).orderBy("part").collect()
     guests = docs.sparkSession.createDataFrame([(h["head"], heads[k - 1]["part"]) for k, h in enumerate(heads)], "head long, part int")
-    first = rows.withColumn("head", order).join(guests, "head").groupBy("head", "doc_id", "part").agg(F.min("text").alias("text"))
+    # One row per range of ``range_rows`` documents: some megabytes for a billion, so its rows go to the texts.
+    first = rows.withColumn("head", order).join(F.broadcast(guests), "head").groupBy("head", "doc_id", "part").agg(F.min("text").alias("text"))
     extra = first.select("doc_id", "text", "part", F.lit(True).alias("guest"))
     return own.unionByName(extra).repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "guest", order.desc(), "text")
 
