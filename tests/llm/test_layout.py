@@ -154,7 +154,7 @@ def test_rake(session):
         sums: dict = defaultdict(float)
         for c, w in got.items():
             sums[c[d]] += w
-        assert dict(sums) == pytest.approx(targets[d], abs=1e-3)
+        assert dict(sums) == pytest.approx(targets[d], abs=0.02 if d < 2 else 1e-9)
 
 
 def test_mix_awkward(session):
@@ -190,7 +190,8 @@ def test_mix_and_twin_with_nulls(session, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-DIMENSIONS = {"length": F.length(F.coalesce("text", F.lit(""))), "source": F.crc32(F.coalesce("source", F.lit("")).cast("binary")), "id": F.col("doc_id")}
+def dimensions() -> dict:
+    return {"length": F.length(F.coalesce("text", F.lit(""))), "source": F.crc32(F.coalesce("source", F.lit("")).cast("binary")), "id": F.col("doc_id")}
 
 
 def shards_plainly(rows: list, shards: int, n: int) -> dict:
@@ -228,8 +229,8 @@ def shards_plainly(rows: list, shards: int, n: int) -> dict:
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_shards(session, shards):
     docs = awkward(session).select(*[c.split()[0] for c in SCHEMA.split(", ")]).unionByName(session.createDataFrame([(k + 100, *r[1:]) for k, r in enumerate(near_family(n=90))], SCHEMA))
-    got = kdtree.kd_shards(docs, DIMENSIONS, shards=shards).collect()
-    want = shards_plainly(kdtree.points(docs, DIMENSIONS).collect(), shards, len(DIMENSIONS))
+    got = kdtree.kd_shards(docs, dimensions(), shards=shards).collect()
+    want = shards_plainly(kdtree.points(docs, dimensions()).collect(), shards, 3)
     assert {(r.doc_id, r.text_crc32): r.shard for r in got} == want
     slots = defaultdict(list)
     for r in got:
@@ -239,7 +240,7 @@ def test_shards(session, shards):
 
 def test_shards_reach_target_bytes(session, tmp_path):
     docs = session.createDataFrame(near_family(n=120), SCHEMA)
-    placed = kdtree.kd_shards(clash(docs), DIMENSIONS, target_bytes=8_000)
+    placed = kdtree.kd_shards(clash(docs), dimensions(), target_bytes=8_000)
     sizes = Counter()
     for r in placed.collect():
         sizes[r.shard] += r["size"]
@@ -247,4 +248,4 @@ def test_shards_reach_target_bytes(session, tmp_path):
     assert max(sizes.values()) <= 8_000 + 3 * largest and max(sizes.values()) - min(sizes.values()) <= 5 * largest
     kdtree.write_shards(docs, placed, f"{tmp_path}/shards")
     assert session.read.parquet(f"{tmp_path}/shards").count() == 120
-    assert kdtree.kd_shards(empty(session), DIMENSIONS, shards=4).count() == 0
+    assert kdtree.kd_shards(empty(session), dimensions(), shards=4).count() == 0

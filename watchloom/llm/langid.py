@@ -30,7 +30,7 @@ MOST_BYTES = 512 << 20
 
 def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased code points with every non-letter as a space, n + 1 offsets, and each text's letters."""
-    lower = [f" {t.lower()} " if t else "  " for t in texts]
+    lower = [f" {t.lower()} " if t else " " * max(ORDERS) for t in texts]
     points = np.frombuffer("".join(lower).encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)))])
     letter = _classes()[points] == LETTER
