@@ -45,7 +45,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw documents so that sources, languages and topics have their target shares of the tokens."""
-    return raking.with_mix(docs.select(*COLUMNS), into="_mix").where("_mix.sampled").select(*COLUMNS)
+    topic, tokens = raking.topic_of(F.col("text")), raking.tokens_of(F.col("text"))
+    return raking.with_mix(docs.select(*COLUMNS), topic, tokens, into="_mix").where("_mix.sampled").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

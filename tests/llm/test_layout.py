@@ -176,7 +176,7 @@ def test_mix_awkward(session):
         chance = factor[r.source, r.lang, r.topic] / max(factor.values())
         number = int(hashlib.md5(f"mix:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
         assert r.probability == pytest.approx(chance) and r.sampled == (number < chance)
-    kept = raking.with_mix(awkward(session), into="_mix")
+    kept = raking.with_mix(awkward(session), raking.topic_of(F.col("text")), raking.tokens_of(F.col("text")), into="_mix")
     assert kept.columns == [*awkward(session).columns, "_mix"] and kept.where("topic = 'other'").count() == len(ROWS)
     assert raking.mix_sources(empty(session)).count() == 0
 
