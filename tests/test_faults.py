@@ -12,7 +12,7 @@ from watchloom.operators.diffs import fim_alerts, software_diff
 from watchloom.operators.hunt import Hunt, recent
 from watchloom.operators.rule_scan import scan_rules
 from watchloom.rules.detection import DetectionRule
-from watchloom.sinks.tables import shape_table
+from watchloom.sinks.tables import shape_table, write_table
 from watchloom.sources.feeds import parse_feed_lines
 from watchloom.sources.reports import parse_fim_headers, parse_fim_reports
 
@@ -83,3 +83,38 @@ def test_trees_draw_from_all_rows(spark):
     assert len(drawn) == 8 and all(r.n == 64 and r.lo < 4_000 and r.hi > 16_000 for r in drawn)
     few = train_forest(rows.limit(5), trees=3, subsample=64)
     assert few.filter("node_id = 0 and rows = 5").count() == 3 and train_forest(rows.limit(0), trees=3).count() == 0
+
+
+def test_a_batch_tried_again_is_stored_once(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id as device_id", "id * 86400000 as timestamp_ms", "'r' as rule_name")
+    for batch, times in ((0, 2), (1, 3)):
+        for _ in range(times):
+            write_table(rows, "security_events", str(tmp_path), batch=batch)
+    back = spark.read.parquet(str(tmp_path / "security_events"))
+    assert back.count() == 100 and {"batch", "date", "received_at"} <= set(back.columns)
+    audit = rows.selectExpr("timestamp_ms", "'u' as username", "true as success")
+    write_table(audit, "audit_log", str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "audit_log")).count() == 50
+    incidents = rows.selectExpr("string(device_id) as incident_id", "timestamp_ms as first_seen_ms")
+    write_table(incidents, "correlations_view", str(tmp_path))
+    assert Hunt(spark, {"correlations_view": spark.read.parquet(str(tmp_path / "correlations_view"))}).search("correlations").run().count() == 50
+
+
+def test_late_event_counts_what_lies_before_it(monkeypatch):
+    import pandas as pd
+
+    from watchloom.streaming.processors import ThresholdAlerts
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, v):
+            self.held = v
+
+    alerts = ThresholdAlerts({"c": (3, 100, 0)}, ["event_id"], ["timestamp_ms", "event_id"])
+    alerts.state = Value()
+    feed = lambda *ms: [r for f in alerts.handleInputRows(("k",), iter([pd.DataFrame({"category": "c", "timestamp_ms": ms, "event_id": ms})]), None) for r in f["event_id"]]
+    assert feed(1_000, 1_050) == [] and feed(1_010) == [] and feed(1_060) == [1_060]
+

@@ -303,3 +303,30 @@ def stored_iocs(spark, d):
         "page_id as device_id", "page_id as timestamp_ms", "'ip' as machine_ip", "'url' as ioc_type", "html as ioc_value",
         "'low' as severity", "'f' as feed_source", "'log' as matched_in", "'' as mitre_id", "html as description", "'' as tags")
     return shape_table(rows, "ioc_matches").drop("received_at")
+
+
+@query("stored_threats", with_views(["det"], """select cast(device_id as int) as device_id, timestamp_ms, machine_ip, category, cast(null as varchar) as sub_type, severity, value as confidence, mitre_id,
+ cast(null as varchar) as mitre_name, cast(null as varchar) as mitre_tactic, description, cast(null as varchar) as evidence from det"""))
+def stored_threats(spark, d):
+    return shape_table(view(spark, d, "det").withColumn("confidence", F.col("value")), "threat_detections").drop("received_at")
+
+
+@query("stored_fim", with_views(["snap_a", "snap_b"], _ALERTS_SQL.rsplit(" select device_id", 1)[0] + """ select cast(device_id as int) as device_id, cast(timestamp_ms as bigint) as timestamp_ms,
+ cast(null as varchar) as machine_ip, change_type, path as file_path, old_hash, new_hash, old_size, new_size, severity from s"""))
+def stored_fim(spark, d):
+    rows = shape_table(file_alerts(spark, d).withColumnRenamed("path", "file_path"), "fim_events")
+    return rows.drop("received_at", "mitre_id", "description")
+
+
+@query("stored_audit", with_views(["audit"], "select timestamp_ms, username, tenant_id, action, success, source_ip, detail from audit"))
+def stored_audit(spark, d):
+    return shape_table(view(spark, d, "audit"), "audit_log").drop("received_at")
+
+
+@query("stored_correlations", with_views(["det"], """select cast(event_id as varchar) as incident_id, category as rule_name, severity, cast(null as varchar) as mitre_tactic, mitre_id as mitre_technique, description,
+ timestamp_ms as first_seen_ms, timestamp_ms + 5 as last_seen_ms from det"""))
+def stored_correlations(spark, d):
+    rows = view(spark, d, "det").selectExpr(
+        "event_id as incident_id", "category as rule_name", "severity", "mitre_id as mitre_technique", "description",
+        "timestamp_ms as first_seen_ms", "timestamp_ms + 5 as last_seen_ms")
+    return shape_table(rows, "correlations_view").drop("received_at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_TYPES = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+_TYPES = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
 def _struct(spec: str) -> T.StructType:
@@ -45,6 +45,14 @@ TABLES = {
         "old_hash string, new_hash string, old_size bigint, new_size bigint, severity string, mitre_id string, "
         "description string"
     ),
+    "correlations_view": _struct(
+        "incident_id string, rule_name string, severity string, mitre_tactic string, mitre_technique string, "
+        "description string, first_seen_ms bigint, last_seen_ms bigint"
+    ),
+    "audit_log": _struct(
+        "timestamp_ms bigint, username string, tenant_id string, action string, success boolean, source_ip string, "
+        "detail string"
+    ),
 }
 
 SYSLOG_RAW = _struct("raw string, source_ip string")

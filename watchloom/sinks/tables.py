@@ -21,19 +21,25 @@ def shape_table(df: DataFrame, name: str, received_at: Column | None = None, max
     return df.select(*columns, stamp.alias("received_at"))
 
 
-def write_table(df: DataFrame, name: str, root: str, received_at: Column | None = None, cluster: bool = True) -> None:
+def write_table(df: DataFrame, name: str, root: str, received_at: Column | None = None, cluster: bool = True,
+                batch: int | None = None) -> None:
     """Append to a table under ``root``, partitioned by event date.
 
-    ``cluster`` groups rows by date and a hash of the device before writing, so
-    that files hold few devices and Parquet statistics can skip them; the hash
-    keeps 64 writers per date even when one device dominates.
+    ``cluster`` sorts rows by device before writing, so that Parquet statistics can skip files; the number of
+    writers follows the size of the data, also of one date or device. With ``batch`` (a micro-batch's number) the
+    rows replace that batch's, so a batch that is tried again is not stored twice; such a table is partitioned by
+    batch and date.
     """
-    shaped = shape_table(df, name, received_at).withColumn("date", F.to_date(F.timestamp_millis("timestamp_ms")))
+    shaped = shape_table(df, name, received_at)
+    at = "timestamp_ms" if "timestamp_ms" in shaped.columns else "first_seen_ms"
+    shaped = shaped.withColumn("date", F.to_date(F.timestamp_millis(at)))
     if cluster:
-        spread = F.pmod(F.xxhash64("device_id", F.floor(F.col("timestamp_ms") / 3_600_000)), F.lit(64))
-        shaped = shaped.withColumn("_spread", spread).repartition("date", "_spread").sortWithinPartitions(
-            "date", "device_id", "timestamp_ms").drop("_spread")
-    shaped.write.mode("append").partitionBy("date").parquet(f"{root.rstrip('/')}/{name}")
+        shaped = shaped.hint("rebalance", F.col("date")).sortWithinPartitions("date", *[c for c in ("device_id", at) if c in shaped.columns])
+    path = f"{root.rstrip('/')}/{name}"
+    if batch is None:
+        shaped.write.mode("append").partitionBy("date").parquet(path)
+    else:
+        shaped.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(f"{path}/batch={batch}")
 
 
 def telemetry_csv(features: DataFrame) -> DataFrame:

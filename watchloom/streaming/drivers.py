@@ -83,15 +83,15 @@ def detect_batches(logs: DataFrame, root: str, feed: Callable[[SparkSession], Da
     """
     keep = ("device_id", "timestamp_ms", "machine_ip")
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
-            write_table(scan_rules(batch.select(*keep, "raw_log")), "security_events", root)
+            write_table(scan_rules(batch.select(*keep, "raw_log")), "security_events", root, batch=number)
             threats = classify_logs(batch, keep=keep)
             findings = inspect_logs(batch.select(*keep, "raw_log")).withColumnRenamed("indicator", "sub_type")
-            write_table(threats.unionByName(findings, allowMissingColumns=True), "threat_detections", root)
+            write_table(threats.unionByName(findings, allowMissingColumns=True), "threat_detections", root, batch=number)
             found = report_indicators(batch, keep=keep)
-            write_table(match_indicators(found, feed(batch.sparkSession)), "ioc_matches", root)
+            write_table(match_indicators(found, feed(batch.sparkSession)), "ioc_matches", root, batch=number)
         finally:
             batch.unpersist()
 
@@ -102,11 +102,11 @@ def score_batches(features: DataFrame, pool: Callable[[SparkSession], DataFrame]
                   warmup: int = 128) -> StreamingQuery:
     """Score a stream of telemetry features; the forest is trained anew for every micro-batch on a sample of the stored rows."""
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         history = anomaly_features(pool(batch.sparkSession))
         if history.limit(warmup).count() < warmup:
             return
         scored = score_forest(anomaly_features(batch), train_forest(history))
-        write_table(as_threats(forest_findings(scored)), "threat_detections", root)
+        write_table(as_threats(forest_findings(scored)), "threat_detections", root, batch=number)
 
     return run_batches(features, handle, name)

@@ -7,6 +7,7 @@ is bounded by the source's trigger options.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -69,12 +70,13 @@ class ThresholdAlerts(StatefulProcessor):
             recent = list(recent)
         fired, counts = [], []
         for i, ms in enumerate(pdf["timestamp_ms"].astype(int)):
-            recent.append(int(ms))
-            oldest = int(np.searchsorted(recent, ms - window))
-            recent = recent[oldest:]
-            if len(recent) >= need and (last is None or ms - last >= rest):
+            # A late event takes its place in time and counts only what lies before it.
+            insort(recent, int(ms))
+            seen = bisect_right(recent, ms) - bisect_left(recent, ms - window)
+            recent = recent[bisect_left(recent, recent[-1] - window):]
+            if seen >= need and (last is None or ms - last >= rest):
                 fired.append(i)
-                counts.append(len(recent))
+                counts.append(seen)
                 last, recent = int(ms), []
         self.state.update((last, recent))
         yield pdf.loc[fired, self.columns].assign(event_count=np.array(counts, dtype=np.int64))
