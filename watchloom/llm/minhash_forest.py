@@ -232,6 +232,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
 
     # Full sets of the nodes that any likely pair has.
     ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    ends = written(ends, "forest-ends")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = texts.join(ends.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
 
