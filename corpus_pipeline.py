@@ -51,9 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the ids and of the bytes they decode to."""
-    ranks = public_tokenizers.path(RANKS)
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, ranks), ranks)
-    return bpe.digests(coded, "ids")
+    return bpe.digests(bpe.bpe_encode(docs, public_tokenizers.path(RANKS), decoded=True), "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -68,6 +68,7 @@ def test_bpe_rows(session, encoding):
     coded = bpe.bpe_decode(bpe.bpe_encode(awkward(session), RANKS), RANKS)
     got = sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in coded.collect()), key=str)
     assert got == sorted(((i, encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in ROWS), key=str)
+    assert sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in bpe.bpe_encode(awkward(session), RANKS, decoded=True).collect()), key=str) == got
     row = bpe.digests(coded).where("doc_id = 15").first()
     ids = encoding.encode_ordinary("two words")
     assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())

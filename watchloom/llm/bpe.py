@@ -22,7 +22,7 @@ from watchloom.llm.common import pieces, read_table, runs, utf8
 from watchloom.llm.pretoken import WordIds
 
 #: Token positions that a recursive query starts from (one word at least), and rows that all its steps may hold.
-POSITIONS, STEP_ROWS = 400_000, 6_000_000
+POSITIONS, STEP_ROWS = 200_000, 3_000_000
 
 # g is a token's place among all words of the query, w its word. A pick is a pair to contract: its left row takes the
 # merged id, its right row goes. Of a run of one token every other pair is picked, counted from the run's beginning.
@@ -75,12 +75,12 @@ class Bpe:
         unsafe = np.zeros(max(ranks.values()) + 1, bool)
         unsafe[l[m < l]] = True
         unsafe[r[m < r]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("given", pa.table({"l": l, "r": r, "m": m, "safe": ~unsafe[m]}))
         self.db.execute("create table merges as select * from given")
         self.db.register("tokens", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "h": [t.hex() for t in ranks]}))
         self.db.execute("create table vocabulary as select * from tokens")
-        self.words = WordIds(self.encode_words, 600_000)
+        self.words = WordIds(self.encode_words, 400_000)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all ids in a row."""
@@ -132,19 +132,25 @@ def bpe(path: str) -> Bpe:
     return Bpe(path)
 
 
-def bpe_encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) of whole texts, by the ranks in a file, without special tokens.
 
-    Null and empty texts have no ids. Rows stay apart: repeats and null ids come out as often as they went in.
+    Null and empty texts have no ids. Rows stay apart: repeats and null ids come out as often as they went in. With
+    ``decoded`` the same task decodes the ids again, as ``bpe_decode`` would, which spares a second Python worker.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
                 offsets, ids = bpe(ranks).words.texts(*utf8(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+                if decoded:
+                    columns.append(pa.array(bpe(ranks).decode(offsets, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    names = ["doc_id", "ids", *["decoded"] * decoded]
+    schema = "doc_id long, ids array<int>" + ", decoded binary" * decoded
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
 
 
 def bpe_decode(coded: DataFrame, ranks: str) -> DataFrame:
@@ -178,4 +184,4 @@ def op7_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), ranks), ranks))
+    return digests(bpe_encode(read_table(spark, sf_dir, "documents"), ranks, decoded=True))
