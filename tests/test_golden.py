@@ -185,9 +185,9 @@ def test_forest_does_not_depend_on_partitions(spark):
 
 
 def test_hunt_rejects_unknown_names(spark):
-    with pytest.raises(ValueError, match="unknown source"):
+    with pytest.raises(ValueError, match="no source is called"):
         Hunt(spark).search("nothing")
-    with pytest.raises(ValueError, match="not valid"):
+    with pytest.raises(ValueError, match="has no field"):
         Hunt(spark).search("ioc").sort("confidence")
 
 
