@@ -63,7 +63,7 @@ class NaiveBayes:
         """The likeliest language (of equals the first) and its posterior probability; ``und`` and 0 without letters."""
         labels, scores = [], []
         first = 0
-        while first < len(texts):  # some million characters at a time
+        while first < len(texts):  # some hundred thousand characters at a time
             last, size = first, 0
             while last < len(texts) and (last == first or size + len(texts[last] or "") <= 500_000):
                 size += len(texts[last] or "")
@@ -93,7 +93,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", slots
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 1 << 18):
                 texts, langs = part.column(0).to_pylist(), part.column(1).dictionary_encode()
                 points, at, _ = _points(texts)
                 codes = langs.indices.to_numpy()
