@@ -22,7 +22,7 @@ from watchloom.llm.common import pieces, read_table, runs, utf8
 from watchloom.llm.pretoken import WordIds
 
 #: Token positions that a recursive query starts from (one word at least), and rows that all its steps may hold.
-POSITIONS, STEP_ROWS = 80_000, 1_200_000
+POSITIONS, STEP_ROWS = 150_000, 2_000_000
 
 # g is a token's place among all words of the query, w its word. A pick is a pair to contract: its left row takes the
 # merged id, its right row goes. Of a run of one token every other pair is picked, counted from the run's beginning.
@@ -75,12 +75,12 @@ class Bpe:
         unsafe = np.zeros(max(ranks.values()) + 1, bool)
         unsafe[l[m < l]] = True
         unsafe[r[m < r]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.db.register("given", pa.table({"l": l, "r": r, "m": m, "safe": ~unsafe[m]}))
         self.db.execute("create table merges as select * from given")
         self.db.register("tokens", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "h": [t.hex() for t in ranks]}))
         self.db.execute("create table vocabulary as select * from tokens")
-        self.words = WordIds(self.encode_words, 150_000)
+        self.words = WordIds(self.encode_words, 300_000)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all ids in a row."""
