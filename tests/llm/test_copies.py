@@ -51,6 +51,19 @@ def test_crowded_regions_go_deeper(session, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_crowds_keep_borderline_links(session, monkeypatch):
+    """Members of one template, far more than a region, each with a single partner just above the limit."""
+    monkeypatch.setattr(minhash_forest, "REGION", 16)
+    base, rows = [f"w{j}" for j in range(200)], []
+    for k in range(400):
+        words = base + [f"pair{k // 2}x{j}" for j in range(14)] + [f"own{k}x{j}" for j in range(26)]
+        rows.append((k, " ".join(words), "en", "s", 1))
+    want = near_components(rows, 4)
+    assert len({c for _, c in want.values()}) == 200
+    got = near_dedup(session.createDataFrame(rows, SCHEMA), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_awkward(session):
     got = near_dedup(awkward(session), words=4).collect()
     assert len(got) == len(ROWS)

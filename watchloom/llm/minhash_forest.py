@@ -9,6 +9,8 @@ Inside a region pairs are judged by all 128 minima. Each pair belongs to the fir
 region, so no pair is looked at twice. First every region proposes a spanning forest of its likeliest pairs, which
 are confirmed on the full sets; then all its other likely pairs whose nodes are still apart are confirmed in the
 region itself. Pairs inside a component are never listed, so a family of thousands costs as many rows as members.
+Last, each four-minima region of more than ``REGION`` nodes that still has several components is judged whole: its
+nodes are dealt to blocks, and every pair of blocks that isn't of one component is a task's work.
 """
 
 from __future__ import annotations
@@ -71,8 +73,8 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(sign, "doc_id long, n int, digest binary, sig binary, low binary")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """node, t and the key of its region, for every region of two nodes or more."""
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, t and the key of its region, for every region of two nodes or more; the same for the crowded prefixes."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     prefix = F.transform(trees, lambda t: F.xxhash64(t, F.substr("sig", t * (4 * WIDTH) + 1, F.lit(4 * WIDTH))))
     rows = nodes.select("node", F.posexplode(prefix).alias("t", "key"))
@@ -90,22 +92,56 @@ def regions(nodes: DataFrame) -> DataFrame:
     chosen = fits.groupBy("node", "t").agg(F.min(F.struct("depth", "key", "size")).alias("p")).select("node", "t", "p.key", "p.size").where("size > 1")
     part = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("size") / REGION))
     parted = chosen.select("node", "t", F.when(F.col("size") > REGION, F.xxhash64("key", part)).otherwise(F.col("key")).alias("key"))
-    return shared.where(F.col("size") <= REGION).select("node", "t", "key").unionByName(parted)
+    crowded = shared.where(F.col("size") > REGION).select("node", "t", "key")
+    return shared.where(F.col("size") <= REGION).select("node", "t", "key").unionByName(parted), crowded
+
+
+def short_keys(placed: DataFrame) -> DataFrame:
+    """node, regions (the key of its region in each tree or 0) and keys (31 bits of each)."""
+    at = placed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("at"))  # 32 entries at most
+    own = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0)))
+    short = F.transform("regions", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return at.select("node", own.alias("regions")).withColumn("keys", short)
+
+
+def block_pairs(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """key (of a pair of blocks), side, t, node and label: the work that crowded regions of several components leave.
+
+    A component of a block's size or more has blocks of its own, the others share blocks. Every two blocks of a region
+    meet, and each meets itself, unless all their nodes are of one component; a pair of blocks has about 3/4 of REGION.
+    """
+    block = max(1, REGION * 3 // 8)
+    named = crowded.join(labels, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("label"))
+    here = written(named, "forest-crowded")
+    sizes = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    alone = F.col("size") >= block
+    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(~alone, F.col("size"))).alias("rest")).where("labels > 1")
+    plan = sizes.join(mixed, "key").select("key", "label", F.when(alone, F.col("label")).alias("only"), F.ceil(F.when(alone, F.col("size")).otherwise(F.col("rest")) / block).alias("blocks"))
+    part = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = here.join(plan, ["key", "label"]).select("key", "t", "node", "label", "only", F.xxhash64("key", F.col("only").isNull(), "only", part).alias("block"))
+    dealt = written(dealt, "forest-dealt")
+    kinds = dealt.groupBy("key", "block").agg(F.first("only").alias("only"))
+    one, two = kinds.select("key", F.col("block").alias("a"), F.col("only").alias("x")), kinds.select("key", F.col("block").alias("b"), F.col("only").alias("y"))
+    pairs = one.join(two, "key").where((F.col("a") <= F.col("b")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True)))
+    ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    met = pairs.select(F.xxhash64("key", "a", "b").alias("pair"), F.posexplode(ends).alias("side", "block"))
+    return dealt.join(met, "block").select(F.col("pair").alias("key"), "side", "t", "node", "label")
 
 
 class _Region:
-    """The nodes of one region and its likely pairs."""
+    """The nodes of one region and its likely pairs; with ``split``, those of a node before it and one behind it only."""
 
-    def __init__(self, t: int, node: np.ndarray, n: np.ndarray, low: np.ndarray, keys: np.ndarray, similarity: float):
+    def __init__(self, t: int, node: np.ndarray, n: np.ndarray, low: np.ndarray, keys: np.ndarray, similarity: float, split: int = 0):
         self.node, first, second, score = node, [], [], []
-        for k in range(0, len(node), 64):
-            same = (low[k : k + 64, None, :] == low[None, k:, :]).sum(axis=2, dtype=np.int32)
+        for k in range(0, split or len(node), 64):
+            at, end = split or k, min(k + 64, split or len(node))
+            same = (low[k:end, None, :] == low[None, at:, :]).sum(axis=2, dtype=np.int32)
             value = (same / SLOTS - 1 / 256) / (1 - 1 / 256)
-            small, large = np.minimum(n[k : k + 64, None], n[None, k:]), np.maximum(n[k : k + 64, None], n[None, k:])
+            small, large = np.minimum(n[k:end, None], n[None, at:]), np.maximum(n[k:end, None], n[None, at:])
             a, b = np.nonzero((value >= LIKELY) & (small >= similarity * large - 1e-9))
-            ahead = b > a
+            ahead = b + at > a + k
             a, b = a[ahead], b[ahead]
-            score.append(value[a, b]), first.append(a + k), second.append(b + k)
+            score.append(value[a, b]), first.append(a + k), second.append(b + at)
         a, b, score = np.concatenate(first), np.concatenate(second), np.concatenate(score)
         shared = (keys[a] == keys[b]) & (keys[a] != 0)
         own = shared.argmax(axis=1) == t
@@ -160,10 +196,12 @@ def _by_region(work: Callable[[pa.Table], list[dict]], shape: pa.Schema) -> Call
 
 
 def _read(table: pa.Table, similarity: float) -> _Region:
-    """The region in columns key, t, node, n, low, keys."""
+    """The region in columns key, t, node, n, low, keys, or the two blocks that column side tells apart."""
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)
     keys = pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(-1, TREES)
-    return _Region(table.column("t")[0].as_py(), table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64), low, keys, similarity)
+    sides = table.column("side").to_numpy() if "side" in table.column_names else np.zeros(1, np.int32)
+    split = int(np.searchsorted(sides, 1)) if sides[-1] else 0
+    return _Region(table.column("t")[0].as_py(), table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64), low, keys, similarity, split)
 
 
 def _similar(inter: int, a: int, b: int, similarity: float) -> bool:
@@ -207,11 +245,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     nodes = written(some.select(F.col("x.doc_id").alias("node"), "digest", "x.n", "x.sig", "x.low"), "forest-nodes")
 
     # Sets of the same least id (an id with several texts) act as one node.
-    placed = regions(nodes).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("at"))  # 32 entries at most
-    own = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.element_at("at", t), F.lit(0)))
-    members = placed.join(nodes.select("node", "n", "low"), "node").select("node", "n", "low", own.alias("regions"))
-    short = F.transform("regions", lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    members = written(members.withColumn("keys", short), "forest-members")
+    placed, crowded = regions(nodes)
+    members = written(short_keys(placed).join(nodes.select("node", "n", "low"), "node"), "forest-members")
     spread = members.select("node", "n", "low", "keys", F.posexplode("regions").alias("t", "key")).where("key <> 0")
     spread = spread.select("key", "t", "node", "n", "low", "keys")
 
@@ -234,7 +269,6 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
     ends = written(ends, "forest-ends")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = texts.join(ends.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +279,14 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
                 flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "digest", "items"])
 
-    made = wanted.mapInArrow(collect, "doc_id long, digest binary, items array<long>")
-    full = made.join(ends, (F.col("doc_id") == F.col("node")) & (made["digest"] == ends["digest"])).select("node", "items").dropDuplicates(["node"])
-    sets = written(full, "forest-sets")
+    def full_sets(ends: DataFrame) -> DataFrame:
+        """node and items of the nodes in ``ends`` (node, digest)."""
+        wanted = texts.join(ends.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        made = wanted.mapInArrow(collect, "doc_id long, digest binary, items array<long>")
+        full = made.join(ends, (F.col("doc_id") == F.col("node")) & (made["digest"] == ends["digest"])).select("node", "items").dropDuplicates(["node"])
+        return written(full, "forest-sets")
+
+    sets = full_sets(ends)
 
     one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -291,7 +330,20 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     flagged = written(sorted_live.mapInArrow(_by_region(flag, pa.schema([("key", pa.int64()), ("node", pa.int64())])), "key long, node long"), "forest-apart")
     again = live.join(flagged, ["key", "node"]).join(sets, "node").select("key", "t", "node", "n", "low", "keys", "label", "items")
     more = again.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_by_region(confirm, pair), "key long, a long, b long")
-    labels = components(links.unionByName(more.select("a", "b")))
+    links = written(links.unionByName(more.select("a", "b")), "forest-linked")
+    labels = components(links)
+
+    # Crowded prefixes in which components are still apart, block by block.
+    dealt = written(block_pairs(crowded, labels), "forest-blocks")
+    if not dealt.isEmpty():
+        own = short_keys(crowded).select("node", "keys").join(nodes.select("node", "n", "low"), "node")
+        met = dealt.join(written(own, "forest-crowd"), "node").select("key", "side", "t", "node", "n", "low", "keys", "label")
+        sorted_met = met.repartition("key").sortWithinPartitions("key", "side", "node")
+        flagged = written(sorted_met.mapInArrow(_by_region(flag, pa.schema([("key", pa.int64()), ("node", pa.int64())])), "key long, node long"), "forest-crowd-apart")
+        ends = written(flagged.select("node").distinct().join(nodes.select("node", "digest"), "node"), "forest-crowd-ends")
+        again = met.join(flagged, ["key", "node"]).join(full_sets(ends), "node").select("key", "side", "t", "node", "n", "low", "keys", "label", "items")
+        more = again.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(_by_region(confirm, pair), "key long, a long, b long")
+        labels = components(links.unionByName(more.select("a", "b")))
 
     named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
