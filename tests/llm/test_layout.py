@@ -181,6 +181,28 @@ def test_mix_awkward(session):
     assert raking.mix_sources(empty(session)).count() == 0
 
 
+def test_mix_topics_and_words(session):
+    cases = [
+        ("a | b | c | d | e", "tabular", 10),
+        ("one | two", "prose", 4),
+        ("COPYRIGHT 1999", "legal", 3),
+        ("Licensed Under the terms", "legal", 5),
+        ("all rights reserved", "legal", 4),
+        ("see http://x", "web", 3),
+        ("write to me@host.org", "contact", 4),
+        ("meet @ noon", "prose", 4),
+        ("a ### b", "marked", 4),
+        ("number 123456", "numeric", 3),
+        ("stop!! now", "prose", 3),
+        ("spaces      \t between\tand\r\nlines  ", "prose", 5),
+        ("", "prose", 1),
+        (None, "prose", 1),
+    ]
+    docs = session.createDataFrame([(k, t, "en", "s", 1) for k, (t, *_) in enumerate(cases)], SCHEMA)
+    got = {r.doc_id: (r.topic, r.n_tokens) for r in raking.mix_sources(docs).collect()}
+    assert got == {k: (topic, tokens) for k, (_, topic, tokens) in enumerate(cases)}
+
+
 def test_mix_and_twin_with_nulls(session, tmp_path):
     awkward(session).select(*[c.split()[0] for c in SCHEMA.split(", ")]).coalesce(1).write.parquet(f"{tmp_path}/d")
     con = duckdb.connect()
