@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,15 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the rows that name their language, drop texts without a letter, name the language where it is null."""
+    """Learn from the rows that name their language, drop texts without a letter, name the language where it is null.
+
+    Where no row names one, the texts with letters are undetermined and stay.
+    """
     docs = docs.select(*COLUMNS)
-    rows = langid.identify(docs, langid.train(docs)).where(F.col("language.lang_pred") != langid.UNDETERMINED)
+    model = langid.train(docs)
+    if not model.languages:
+        model = langid.NaiveBayes((langid.UNDETERMINED,), np.zeros((1, 1), np.float32), np.zeros(1))
+    rows = langid.identify(docs, model).where("language.score > 0")  # 0 for texts without letters only
     return rows.withColumn("lang", F.coalesce("lang", "language.lang_pred")).select(*COLUMNS)
 
 

@@ -40,6 +40,12 @@ def test_stages(session, tmp_path):
     assert 3 < len(want) < len(kept)
 
 
+def test_documents_stay_where_no_row_names_a_language(session):
+    docs = session.createDataFrame([(r[0], r[1], None, *r[3:]) for r in ROWS], SCHEMA)
+    got = [(r.doc_id, r.lang) for r in corpus_pipeline.identify_language(session, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(r[0], "und") for r in ROWS if any(c.isalpha() for c in r[1] or "")], key=str)
+
+
 def test_stages_keep_columns_and_stand_empty_tables(session):
     docs = awkward(session).limit(0)
     for name, stage in corpus_pipeline.STAGES:
