@@ -1,7 +1,7 @@
 """Signature rules of licences and notices, over texts as lower-case words with one space between them.
 
 A line is ``label | priority | confidence | keyword | pattern``. Every match of the pattern contains the keyword, whole
-words that the prefilter looks for. ``~`` stands for up to four words in between, ``<v>`` for an optional word before
+words that the prefilter looks for (license also as licence). ``~`` stands for up to four words in between, ``<v>`` for an optional word before
 a version's number, ``<lic>`` for license or licence. Patterns match whole words.
 
 Priorities: 90 text of a licence or its notice, 80 tags, 70 addresses, 60 names with a version, 40 names, 20 mentions,
@@ -268,12 +268,12 @@ dual-license | 40 | 0.6 | dual | dual <lic>
 non-commercial | 40 | 0.6 | non commercial use only | (?:for )?non commercial use only
 non-commercial | 40 | 0.6 | noncommercial use only | (?:for )?noncommercial use only
 non-commercial | 40 | 0.6 | personal use only | (?:for )?personal use only
-academic-use | 40 | 0.6 | research purposes only | (?:for )?(?:academic|research)(?: and [^ ]+)? (?:research )?purposes only
+academic-use | 40 | 0.6 | purposes only | (?:for )?(?:academic|research)(?: and [^ ]+)? (?:research )?purposes only
 fair-use | 40 | 0.5 | fair use | (?:under |as )?fair use(?: doctrine| policy)?
 gov-work | 90 | 0.8 | united states government | (?:a )?work of the united states government
 gov-work | 90 | 0.8 | us government | (?:a )?work of the us government
 copyleft | 20 | 0.4 | copyleft | copyleft
-permission | 90 | 0.7 | used with permission | (?:reprinted|reproduced|used) ?(?:and )?(?:used )?with permission(?: of| from)?|used with permission
+permission | 90 | 0.7 | with permission | (?:reprinted |reproduced |used )(?:and used )?with permission(?: of| from)?
 permission | 20 | 0.5 | by permission | (?:reprinted|reproduced|used) by permission
 contributor-agreement | 40 | 0.6 | contributor license agreement | contributor license agreement
 terms | 20 | 0.4 | terms of use | (?:subject to |see )?(?:our |the )?terms of use

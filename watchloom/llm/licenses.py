@@ -37,7 +37,8 @@ def _prefilter() -> tuple[list[Rule], ahocorasick.Automaton]:
     """The rules, and an automaton from their keywords (whole words) to the numbers of the rules."""
     listed, gated = rules(), {}
     for k, rule in enumerate(listed):
-        gated.setdefault(f" {rule.keyword} ", []).append(k)
+        for keyword in {rule.keyword, rule.keyword.replace("license", "licence")}:
+            gated.setdefault(f" {keyword} ", []).append(k)
     automaton = ahocorasick.Automaton()
     for keyword, numbers in gated.items():
         automaton.add_word(keyword, numbers)
