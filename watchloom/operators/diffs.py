@@ -165,8 +165,14 @@ def suspicious_connections(cur: DataFrame, ports: Sequence[int] = tuple(SUSPICIO
     ).withColumn("reason", F.concat(F.lit("Suspicious remote port: "), F.col("remote_port").cast("string")))
 
 
+def per_report(df: DataFrame) -> list[str]:
+    """The key of one report: device and time, or the device where the rows carry no time."""
+    return [c for c in ("device_id", "timestamp_ms") if c in df.columns]
+
+
 def connection_summary(cur: DataFrame) -> DataFrame:
-    return cur.groupBy("device_id").agg(
+    """Counts of each report; rows without timestamp_ms are one report of their device."""
+    return cur.groupBy(*per_report(cur)).agg(
         F.count_if(F.col("protocol").startswith("tcp")).alias("total_tcp"),
         F.count_if(F.col("protocol").startswith("udp")).alias("total_udp"),
         F.count_if(F.col("state") == "LISTEN").alias("listening_ports"),
@@ -207,6 +213,13 @@ def software_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
 USB_KEY = ["device_id", "vendor_id", "product_id", "serial"]
 
 
+def usb_allowed(whitelist: Sequence[str]) -> Column:
+    """Whether VID:PID or VID:PID:SERIAL is listed, in any case."""
+    allowed = [w.upper() for w in whitelist]
+    pair = F.concat_ws(":", "vendor_id", "product_id")
+    return F.upper(pair).isin(allowed) | F.upper(F.concat_ws(":", pair, "serial")).isin(allowed)
+
+
 def usb_diff(prev: DataFrame, cur: DataFrame, whitelist: Sequence[str] = ()) -> DataFrame:
     """Inserted and removed devices; inserted ones outside a non-empty whitelist are unauthorized too."""
     inserted = cur.join(prev, USB_KEY, "left_anti")
@@ -217,11 +230,9 @@ def usb_diff(prev: DataFrame, cur: DataFrame, whitelist: Sequence[str] = ()) ->
     )
     if not whitelist:
         return out
-    allowed = [w.upper() for w in whitelist]
     pair = F.concat_ws(":", "vendor_id", "product_id")
-    known = F.upper(pair).isin(allowed) | F.upper(F.concat_ws(":", pair, "serial")).isin(allowed)
     unauthorized = (
-        inserted.filter(~known).withColumn("change_type", F.lit("unauthorized"))
+        inserted.filter(~usb_allowed(whitelist)).withColumn("change_type", F.lit("unauthorized"))
         .withColumn("reason", F.concat(F.lit("VID:PID not in whitelist: "), pair))
     )
     return out.unionByName(unauthorized)

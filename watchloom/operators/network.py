@@ -8,6 +8,7 @@ from watchloom.functions.columns import explode_once, fixed, held
 from watchloom.functions.text import (
     byte_entropy, consonant_ratio, label_count, max_label_len, shannon_entropy,
 )
+from watchloom.operators.diffs import per_report
 from watchloom.rules.reference_lists import SUSPICIOUS_TLDS
 
 # Extraction patterns.
@@ -117,8 +118,12 @@ def long_urls(logs: DataFrame, text: str = "raw_log") -> DataFrame:
 
 
 def connection_anomalies(connections: DataFrame, half_open: str = "SYN_SENT", reset: str = "CLOSE") -> DataFrame:
-    """SYN floods and reset storms from the connection states of a device."""
-    stats = connections.groupBy("device_id").agg(
+    """SYN floods and reset storms from the connection states of each report.
+
+    The limits hold for the connections of one report: rows with timestamp_ms are judged by device and time.
+    """
+    keys = per_report(connections)
+    stats = connections.groupBy(*keys).agg(
         F.count("*").alias("_total"),
         F.count_if(F.col("state").isin(half_open, "SYN_RECV")).alias("_half"),
         F.count_if(F.col("state").startswith(reset)).alias("_resets"),

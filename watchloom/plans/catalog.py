@@ -32,6 +32,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load_all() -> None:
     """Import the modules that register queries."""
     from watchloom.plans import (  # noqa: F401
-        catalog_detection, catalog_functions, catalog_intel, catalog_inventory, catalog_respond, catalog_report,
+        catalog_chains, catalog_detection, catalog_functions, catalog_intel, catalog_inventory, catalog_respond, catalog_report,
         catalog_telemetry,
     )
