@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from watchloom.functions.columns import case_of, div_floor, explode_once
 from watchloom.functions.severity import at_least
 from watchloom.operators.cooldown import cooldown
-from watchloom.operators.windows import per_millisecond, trailing_sums
+from watchloom.operators.windows import per_millisecond, trailing_chain, trailing_distinct, trailing_sums
 from watchloom.rules.correlation import (
     CATEGORY_ALIASES, DEFAULT_CORRELATION_RULES, INCIDENT_COOLDOWN_SEC, CorrelationRule, Stage,
 )
@@ -167,6 +167,19 @@ def _fired(events: DataFrame, rules: Sequence[CorrelationRule]) -> tuple[DataFra
     satisfied = windowed.withColumn("matches", reduce(lambda a, b: a + b, wins)).filter(
         complete & (F.col("matches") >= _rule_value(rules, "min_events"))
     ).select(*keys, "timestamp_ms", "matches", F.lit(0).cast("long").alias("_one"))
+    width = (_rule_value(rules, "window_seconds") * 1000).cast("long")
+    ordered = [r.name for r in rules if r.ordered]
+    if ordered:
+        chained = trailing_chain(counted.filter(F.col("rule_name").isin(ordered)), keys, "timestamp_ms", columns, needed, width)
+        in_time = chained.filter(F.col("started") >= F.col("timestamp_ms") - width).select(*keys, "timestamp_ms")
+        free = satisfied.filter(~F.col("rule_name").isin(ordered))
+        satisfied = free.unionByName(satisfied.filter(F.col("rule_name").isin(ordered)).join(in_time, [*keys, "timestamp_ms"], "left_semi"))
+    several = [r.name for r in rules if r.min_devices > 1]
+    if several:
+        devices = trailing_distinct(matched.filter(F.col("rule_name").isin(several)), keys, "device_id", "timestamp_ms", width, "devices")
+        enough = devices.filter(F.col("devices") >= _rule_value(rules, "min_devices")).select(*keys, "timestamp_ms")
+        free = satisfied.filter(~F.col("rule_name").isin(several))
+        satisfied = free.unionByName(satisfied.filter(F.col("rule_name").isin(several)).join(enough, [*keys, "timestamp_ms"], "left_semi"))
     fired = cooldown(cut(satisfied), keys, INCIDENT_COOLDOWN_SEC, tiebreak="_one", compacted=True).drop("_one")
     # Incidents are few; both their description and their members start from them.
     return cut(fired), matched, stages
@@ -177,7 +190,8 @@ def correlate(events: DataFrame, rules: Sequence[CorrelationRule] = tuple(DEFAUL
 
     Device rules look at one device, the others at the whole fleet; a rule and
     scope stays silent for 300 s after an incident. Stage order is not
-    required, and an event counts once per stage it matches.
+    required unless the rule is ``ordered``, and an event counts once per stage
+    it matches. A rule with ``min_devices`` needs events of that many devices.
     """
     fired, matched, stages = _fired(events, rules)
     involved = (

@@ -53,6 +53,53 @@ def trailing_sums(
     return out.drop("_w", "_home", "_bucket", "_at", "_sign")
 
 
+def trailing_chain(counted: DataFrame, keys: Sequence[str], ts: str, stages: Sequence[str], used: Column | int, widths_ms: Column | int) -> DataFrame:
+    """Add ``started``: the latest start of a chain of stages in order that a row's time completes, if any.
+
+    A row of a stage continues the chains that reached the stage before, so the latest start that has reached stage i
+    is a running maximum over the rows of stage i of what reached stage i - 1. ``used`` says how many of the stages a
+    key has. Rows are placed in buckets one window wide and the next one; starts before both are too old anyway.
+    """
+    width = F.lit(widths_ms) if isinstance(widths_ms, int) else widths_ms
+    bucket = div_floor(F.col(ts), width.cast("long"))
+    placed = counted.select("*", bucket.alias("_home"), F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
+    so_far = Window.partitionBy(*keys, "_bucket").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.col(ts)
+    for i, stage in enumerate(stages):
+        placed = placed.withColumn(f"_r{i}", F.max(F.when(F.col(stage) > 0, reached)).over(so_far))
+        reached = F.col(f"_r{i}")
+    count = F.lit(used) if isinstance(used, int) else used
+    started = F.element_at(F.array(*[f"_r{i}" for i in range(len(stages))]), count.cast("int"))
+    own = placed.filter("_home = _bucket").withColumn("started", started)
+    return own.drop("_home", "_bucket", *[f"_r{i}" for i in range(len(stages))])
+
+
+def trailing_distinct(events: DataFrame, keys: Sequence[str], member: str, ts: str, widths_ms: Column | int, into: str = "members") -> DataFrame:
+    """One row per key and millisecond: how many distinct members have an event in the window that ends there.
+
+    An event adds one from its time until its member's next event, or until it leaves the window. A member's next
+    event within a window lies in its bucket or the following one, and the sums run over two buckets of milliseconds,
+    so neither a busy member nor a busy key grows a task.
+    """
+    keys = list(keys)
+    width = F.lit(widths_ms) if isinstance(widths_ms, int) else widths_ms
+    bucket = div_floor(F.col(ts), F.col("_w"))
+    once = events.select(*keys, member, ts).distinct().withColumn("_w", width.cast("long"))
+    near = once.select("*", bucket.alias("_home"), F.explode(F.array(bucket, bucket - 1)).alias("_bucket"))
+    following = F.lead(ts).over(Window.partitionBy(*keys, member, "_bucket").orderBy(ts))
+    spans = near.withColumn("_leave", F.least(following, F.col(ts) + F.col("_w") + 1)).filter("_home = _bucket")
+    moves = F.array(
+        F.struct(F.col(ts).alias("at"), F.lit(1).alias("d"), F.col("_home").alias("b"), F.lit(True).alias("own")),
+        F.struct(F.col("_leave").alias("at"), F.lit(-1).alias("d"), F.col("_home").alias("b"), F.lit(False).alias("own")),
+        F.struct(F.col(ts).alias("at"), F.lit(1).alias("d"), (F.col("_home") + 1).alias("b"), F.lit(False).alias("own")),
+        F.struct(F.col("_leave").alias("at"), F.lit(-1).alias("d"), (F.col("_home") + 1).alias("b"), F.lit(False).alias("own")),
+    )
+    dealt = spans.select(*keys, F.explode(moves).alias("_m")).select(*keys, "_m.*")
+    merged = dealt.groupBy(*keys, "b", "at").agg(F.sum("d").alias("d"), F.max("own").alias("own"))
+    so_far = Window.partitionBy(*keys, "b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return merged.withColumn(into, F.sum("d").over(so_far)).filter("own").select(*keys, F.col("at").alias(ts), into)
+
+
 def sliding_count(
     events: DataFrame,
     window_sec: int,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from watchloom.operators.correlate import (
@@ -84,6 +86,32 @@ def correlate_global(spark, d):
     return _incidents(correlate(view(spark, d, "det"), rules))
 
 
+# Stages in order: the twin walks the milliseconds of a rule and scope, carrying the latest start that reached each stage.
+_ORDERED = _INCIDENTS.replace(" sr as materialized", """ per_ms as materialized (select *, row_number() over (partition by rule_name, scope order by timestamp_ms) as k from
+  (select rule_name, scope, timestamp_ms, any_value(win) as win, sum(a) as a, sum(b) as b from mt group by rule_name, scope, timestamp_ms)),
+ walk as (select rule_name, scope, timestamp_ms, win, k, case when a > 0 then timestamp_ms end as one, case when a > 0 and b > 0 then timestamp_ms end as two from per_ms where k = 1 union all
+  select p.rule_name, p.scope, p.timestamp_ms, p.win, p.k, case when p.a > 0 then p.timestamp_ms else w.one end, case when p.b > 0 then greatest(w.two, case when p.a > 0 then p.timestamp_ms else w.one end) else w.two end
+  from walk w join per_ms p on p.rule_name = w.rule_name and p.scope = w.scope and p.k = w.k + 1),
+ sr as materialized""").replace("as rn from sat)", "as rn from sat semi join (select * from walk where two >= timestamp_ms - win) using (rule_name, scope, timestamp_ms))")
+
+
+@query("correlate_ordered", with_views(["det"], f"{_ORDERED} select {', '.join(_INC)} from inc", recursive=True))
+def correlate_ordered(spark, d):
+    return _incidents(correlate(view(spark, d, "det"), [replace(r, ordered=True) for r in DEFAULT_CORRELATION_RULES]))
+
+
+# Devices of the window, counted for each candidate anew.
+_SEVERAL = 4
+_CAMPAIGN = _INCIDENTS.replace("as rn from sat)", f"""as rn from (select s.* from sat s where
+  (select count(distinct m.device_id) from mt m where m.rule_name = s.rule_name and m.scope = s.scope and m.timestamp_ms between s.timestamp_ms - m.win and s.timestamp_ms) >= {_SEVERAL}))""")
+
+
+@query("correlate_min_devices", with_views(["det"], f"{_CAMPAIGN} select {', '.join(_INC)} from inc where scope = 'global'", recursive=True))
+def correlate_min_devices(spark, d):
+    rules = [replace(r, min_devices=_SEVERAL) for r in DEFAULT_CORRELATION_RULES if r.cross_device]
+    return _incidents(correlate(view(spark, d, "det"), rules))
+
+
 @query("incident_members", _incident_sql("select incident_id, rule_name, device_id, source, category, matches, concat(source, '/', category, ' from device ', device_id) as event from mem"))
 def q_incident_members(spark, d):
     return incident_members(view(spark, d, "det"))

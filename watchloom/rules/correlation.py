@@ -25,6 +25,10 @@ class CorrelationRule:
     min_events: int
     cross_device: bool
     stages: tuple[Stage, ...]
+    #: Whether the stages must come in order (several in one millisecond do).
+    ordered: bool = False
+    #: How many devices the matching events of the window must come from.
+    min_devices: int = 0
 
 
 # Fixed value: seconds between two incidents of one rule and scope.
