@@ -64,6 +64,26 @@ def test_crowds_keep_borderline_links(session, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_heavy_regions(session, monkeypatch):
+    """Regions whose sets are too large together are parted and met by blocks of a bounded number of shingles."""
+    monkeypatch.setattr(minhash_forest, "WEIGHT", 600)
+    rows = near_family(seed=8, n=120)
+    got = near_dedup(session.createDataFrame(rows, SCHEMA), words=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_components(rows, 4)
+
+
+@pytest.mark.parametrize("region", [2, 1024])
+def test_ids_that_repeat(session, monkeypatch, region):
+    """One id with near-equal texts, with texts unlike each other, and each with partners of its own."""
+    monkeypatch.setattr(minhash_forest, "REGION", region)
+    text = lambda name, last: " ".join([f"{name}{k}" for k in range(60)] + [last])
+    rows = [(5, text("a", "x")), (5, text("a", "y")), (6, text("b", "x")), (6, text("c", "x")), (2, text("b", "z")), (9, text("c", "z")), (4, text("d", "x")), (4, text("d", "x")), (3, None), (3, text("e", "x")), (8, text("e", "y"))]
+    got = near_dedup(session.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), words=4).collect()
+    want = {5: 5, 6: 2, 2: 2, 9: 2, 4: 4, 3: 3, 8: 3}
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == set(want.items())
+
+
 def test_near_awkward(session):
     got = near_dedup(awkward(session), words=4).collect()
     assert len(got) == len(ROWS)

@@ -134,7 +134,8 @@ def predicted(spark: SparkSession, model: NaiveBayes, text: Column) -> Column:
             labels, scores = shared.value.predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": pd.Series(labels, dtype=object), "score": scores})
 
-    return score(text)
+    # Called nondeterministic so that a filter on the result doesn't evaluate it a second time, in workers of its own.
+    return score.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: NaiveBayes, text_col: str = "text", into: str = "language") -> DataFrame:

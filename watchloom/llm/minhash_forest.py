@@ -9,8 +9,10 @@ Inside a region pairs are judged by all 128 minima. Each pair belongs to the fir
 region, so no pair is looked at twice. First every region proposes a spanning forest of its likeliest pairs, which
 are confirmed on the full sets; then all its other likely pairs whose nodes are still apart are confirmed in the
 region itself. Pairs inside a component are never listed, so a family of thousands costs as many rows as members.
-Last, each four-minima region of more than ``REGION`` nodes that still has several components is judged whole: its
-nodes are dealt to blocks, and every pair of blocks that isn't of one component is a task's work.
+Last, the four-minima regions of more than ``REGION`` nodes, where they still have several components, are judged
+whole. Those that share nodes are one crowd, so a node is dealt once and not once per tree: the nodes of a crowd go to
+blocks, and every pair of blocks that isn't of one component is a task's work. Regions and blocks are bounded by the
+shingles of their nodes too, so what a task holds doesn't grow with the texts (but for a single text).
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ TREES, WIDTH = 32, 4
 SLOTS = TREES * WIDTH
 #: Prefix lengths that a crowded region may grow to, and the nodes a region may have.
 DEEPER, REGION = (6, 8, 12, 16, 24, 32), 1024
+#: Shingles that the nodes of a region may have together.
+WEIGHT = 4 << 20
 #: Pairs below this estimate are not confirmed: 4.5 standard deviations under a similarity of 0.8.
 LIKELY = 0.64
 
@@ -77,23 +81,23 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, t and the key of its region, for every region of two nodes or more; the same for the crowded prefixes."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     prefix = F.transform(trees, lambda t: F.xxhash64(t, F.substr("sig", t * (4 * WIDTH) + 1, F.lit(4 * WIDTH))))
-    rows = nodes.select("node", F.posexplode(prefix).alias("t", "key"))
-    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(rows.join(crowds, "key"), "forest-shared")
+    rows = nodes.select("node", "n", F.posexplode(prefix).alias("t", "key"))
+    measures = F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")
+    shared = written(rows.join(rows.groupBy("key").agg(*measures).where("size > 1"), "key"), "forest-shared")
+    small = (F.col("size") <= REGION) & (F.col("weight") <= WEIGHT)
     around = F.concat("sig", "sig")
     longer = F.transform(
         F.array(*[F.lit(d) for d in DEEPER]),
         lambda d: F.struct(d.alias("depth"), F.xxhash64("t", d, F.substr(around, 4 * WIDTH * F.col("t") + 1, 4 * d)).alias("key")),
     )
-    deep = shared.where(F.col("size") > REGION).select("node", "t").join(nodes.select("node", "sig"), "node")
-    deep = deep.select("node", "t", F.explode(longer).alias("p")).select("node", "t", "p.depth", "p.key")
-    sizes = deep.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    fits = deep.join(sizes, "key").where((F.col("size") <= REGION) | (F.col("depth") == DEEPER[-1]))
-    chosen = fits.groupBy("node", "t").agg(F.min(F.struct("depth", "key", "size")).alias("p")).select("node", "t", "p.key", "p.size").where("size > 1")
-    part = F.pmod(F.xxhash64("node", "t"), F.ceil(F.col("size") / REGION))
-    parted = chosen.select("node", "t", F.when(F.col("size") > REGION, F.xxhash64("key", part)).otherwise(F.col("key")).alias("key"))
-    crowded = shared.where(F.col("size") > REGION).select("node", "t", "key")
-    return shared.where(F.col("size") <= REGION).select("node", "t", "key").unionByName(parted), crowded
+    deep = shared.where(~small).select("node", "t").join(nodes.select("node", "n", "sig"), "node")
+    deep = deep.select("node", "n", "t", F.explode(longer).alias("p")).select("node", "n", "t", "p.depth", "p.key")
+    fits = deep.join(deep.groupBy("key").agg(*measures), "key").where(small | (F.col("depth") == DEEPER[-1]))
+    chosen = fits.groupBy("node", "t").agg(F.min(F.struct("depth", "key", "size", "weight")).alias("p")).select("node", "t", "p.key", "p.size", "p.weight").where("size > 1")
+    part = F.pmod(F.xxhash64("node", "t"), F.ceil(F.greatest(F.col("size") / REGION, F.col("weight") / WEIGHT)))
+    parted = chosen.select("node", "t", F.when(~small, F.xxhash64("key", part)).otherwise(F.col("key")).alias("key"))
+    crowded = shared.where(~small).select("node", "t", "key")
+    return shared.where(small).select("node", "t", "key").unionByName(parted), crowded
 
 
 def short_keys(placed: DataFrame) -> DataFrame:
@@ -104,34 +108,48 @@ def short_keys(placed: DataFrame) -> DataFrame:
     return at.select("node", own.alias("regions")).withColumn("keys", short)
 
 
-def block_pairs(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """key (of a pair of blocks), side, t, node and label: the work that crowded regions of several components leave.
+def crowds_of(crowded: DataFrame) -> DataFrame:
+    """node and crowd: crowded regions that share nodes, directly or through others, are one crowd."""
+    hubs = crowded.groupBy("key").agg(F.min("node").alias("hub"))
+    links = crowded.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    return components(links).withColumnRenamed("component", "crowd")
 
-    A component of a block's size or more has blocks of its own, the others share blocks. Every two blocks of a region
-    meet, and each meets itself, unless all their nodes are of one component; a pair of blocks has about 3/4 of REGION.
+
+def block_pairs(crowds: DataFrame, labels: DataFrame) -> DataFrame:
+    """key (of a pair of blocks), side, node and label: the work that crowds of several components leave.
+
+    ``crowds`` has node, n and crowd. A component of a block's size or more has blocks of its own, the others share
+    blocks. Every two blocks of a crowd meet, and each meets itself, unless all their nodes are of one component; a
+    pair of blocks has about 3/4 of REGION and WEIGHT.
     """
-    block = max(1, REGION * 3 // 8)
-    named = crowded.join(labels, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("label"))
-    here = written(named, "forest-crowded")
-    sizes = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    alone = F.col("size") >= block
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(~alone, F.col("size"))).alias("rest")).where("labels > 1")
-    plan = sizes.join(mixed, "key").select("key", "label", F.when(alone, F.col("label")).alias("only"), F.ceil(F.when(alone, F.col("size")).otherwise(F.col("rest")) / block).alias("blocks"))
+    block, heavy = max(1, REGION * 3 // 8), max(1, WEIGHT * 3 // 8)
+    here = written(crowds.join(labels, "node", "left").select("crowd", "node", "n", F.coalesce("component", "node").alias("label")), "forest-crowded")
+    sizes = here.groupBy("crowd", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    blocks = lambda size, weight: F.ceil(F.greatest(size / block, weight / heavy))
+    alone = (F.col("size") >= block) | (F.col("weight") >= heavy)
+    rest = [F.sum(F.when(~alone, F.col(c))).alias(f"rest_{c}") for c in ("size", "weight")]
+    mixed = sizes.groupBy("crowd").agg(F.count(F.lit(1)).alias("labels"), *rest).where("labels > 1")
+    plan = sizes.join(mixed, "crowd").select(
+        "crowd", "label", F.when(alone, F.col("label")).alias("only"),
+        F.when(alone, blocks(F.col("size"), F.col("weight"))).otherwise(blocks(F.col("rest_size"), F.col("rest_weight"))).alias("blocks"))
     part = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = here.join(plan, ["key", "label"]).select("key", "t", "node", "label", "only", F.xxhash64("key", F.col("only").isNull(), "only", part).alias("block"))
+    dealt = here.join(plan, ["crowd", "label"]).select("crowd", "node", "label", "only", F.xxhash64("crowd", F.col("only").isNull(), "only", part).alias("block"))
     dealt = written(dealt, "forest-dealt")
-    kinds = dealt.groupBy("key", "block").agg(F.first("only").alias("only"))
-    one, two = kinds.select("key", F.col("block").alias("a"), F.col("only").alias("x")), kinds.select("key", F.col("block").alias("b"), F.col("only").alias("y"))
-    pairs = one.join(two, "key").where((F.col("a") <= F.col("b")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True)))
+    kinds = dealt.groupBy("crowd", "block").agg(F.first("only").alias("only"))
+    one, two = kinds.select("crowd", F.col("block").alias("a"), F.col("only").alias("x")), kinds.select("crowd", F.col("block").alias("b"), F.col("only").alias("y"))
+    pairs = one.join(two, "crowd").where((F.col("a") <= F.col("b")) & F.coalesce(F.col("x") != F.col("y"), F.lit(True)))
     ends = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
-    met = pairs.select(F.xxhash64("key", "a", "b").alias("pair"), F.posexplode(ends).alias("side", "block"))
-    return dealt.join(met, "block").select(F.col("pair").alias("key"), "side", "t", "node", "label")
+    met = pairs.select(F.xxhash64("crowd", "a", "b").alias("pair"), F.posexplode(ends).alias("side", "block"))
+    return dealt.join(met, "block").select(F.col("pair").alias("key"), "side", "node", "label")
 
 
 class _Region:
-    """The nodes of one region and its likely pairs; with ``split``, those of a node before it and one behind it only."""
+    """The nodes of one region and its likely pairs; with ``split``, those of a node before it and one behind it only.
+
+    Pairs are those that share their first region in tree ``t``; without a tree, those that share a region in any.
+    """
 
-    def __init__(self, t: int, node: np.ndarray, n: np.ndarray, low: np.ndarray, keys: np.ndarray, similarity: float, split: int = 0):
+    def __init__(self, t: int | None, node: np.ndarray, n: np.ndarray, low: np.ndarray, keys: np.ndarray, similarity: float, split: int = 0):
         self.node, first, second, score = node, [], [], []
         for k in range(0, split or len(node), 64):
             at, end = split or k, min(k + 64, split or len(node))
@@ -144,7 +162,7 @@ class _Region:
             score.append(value[a, b]), first.append(a + k), second.append(b + at)
         a, b, score = np.concatenate(first), np.concatenate(second), np.concatenate(score)
         shared = (keys[a] == keys[b]) & (keys[a] != 0)
-        own = shared.argmax(axis=1) == t
+        own = shared.any(axis=1) if t is None else shared.argmax(axis=1) == t
         a, b, score = a[own], b[own], score[own]
         order = np.argsort(-score, kind="stable")
         self.a, self.b = a[order], b[order]
@@ -196,12 +214,12 @@ def _by_region(work: Callable[[pa.Table], list[dict]], shape: pa.Schema) -> Call
 
 
 def _read(table: pa.Table, similarity: float) -> _Region:
-    """The region in columns key, t, node, n, low, keys, or the two blocks that column side tells apart."""
+    """The region in columns key, t, node, n, low, keys, or the two blocks that column side (in place of t) tells apart."""
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, SLOTS)
     keys = pa.concat_arrays(table.column("keys").chunks).flatten().to_numpy().reshape(-1, TREES)
     sides = table.column("side").to_numpy() if "side" in table.column_names else np.zeros(1, np.int32)
     split = int(np.searchsorted(sides, 1)) if sides[-1] else 0
-    return _Region(table.column("t")[0].as_py(), table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64), low, keys, similarity, split)
+    return _Region(table.column("t")[0].as_py() if "t" in table.column_names else None, table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.int64), low, keys, similarity, split)
 
 
 def _similar(inter: int, a: int, b: int, similarity: float) -> bool:
@@ -237,14 +255,19 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     Documents are linked whose sets of ``words``-word shingles (A-Z lower-cased) have at least that Jaccard
     similarity (whole hundredths). ``component_id`` is the least id that links reach, ``kept`` marks that document.
     A text of fewer words is one shingle; null, empty and blank texts have none and link with nothing. Rows that
-    repeat an id belong together, whatever their texts. Rows without an id can't be named as a component's document: they
+    repeat an id belong together, whatever their texts, and so does what each of these texts links with. Rows without an id can't be named as a component's document: they
     have no component and are kept. Other columns are ignored, and an empty table gives no rows.
     """
     signed = written(signatures(docs, words, id_col, text_col), "forest-signed")
     some = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig", "low")).alias("x"))
-    nodes = written(some.select(F.col("x.doc_id").alias("node"), "digest", "x.n", "x.sig", "x.low"), "forest-nodes")
+    # A set's node is a number of its own: an id with several texts may be the least one of several sets.
+    nodes = written(some.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("x.doc_id").alias("least"), "x.n", "x.sig", "x.low"), "forest-nodes")
+    texts_of = signed.where("n > 0 and doc_id is not null").select("doc_id", "digest").distinct()
+    several = texts_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sets"), F.min("digest").alias("first")).where("sets > 1")
+    named = nodes.select("node", "digest")
+    repeated = texts_of.join(several, "doc_id").join(named, "digest").join(named.select(F.col("node").alias("a"), F.col("digest").alias("first")), "first")
+    repeated = written(repeated.select("a", F.col("node").alias("b")), "forest-repeated")
 
-    # Sets of the same least id (an id with several texts) act as one node.
     placed, crowded = regions(nodes)
     members = written(short_keys(placed).join(nodes.select("node", "n", "low"), "node"), "forest-members")
     spread = members.select("node", "n", "low", "keys", F.posexplode("regions").alias("t", "key")).where("key <> 0")
@@ -266,7 +289,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     proposed = written(ordered.mapInArrow(_by_region(propose, pair), "key long, a long, b long"), "forest-proposed")
 
     # Full sets of the nodes that any likely pair has.
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least", "digest"), "node")
     ends = written(ends, "forest-ends")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -280,10 +303,10 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "digest", "items"])
 
     def full_sets(ends: DataFrame) -> DataFrame:
-        """node and items of the nodes in ``ends`` (node, digest)."""
-        wanted = texts.join(ends.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        """node and items of the nodes in ``ends`` (node, least, digest)."""
+        wanted = texts.join(ends.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
         made = wanted.mapInArrow(collect, "doc_id long, digest binary, items array<long>")
-        full = made.join(ends, (F.col("doc_id") == F.col("node")) & (made["digest"] == ends["digest"])).select("node", "items").dropDuplicates(["node"])
+        full = made.join(ends, (F.col("doc_id") == F.col("least")) & (made["digest"] == ends["digest"])).select("node", "items").dropDuplicates(["node"])
         return written(full, "forest-sets")
 
     sets = full_sets(ends)
@@ -291,7 +314,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     one, two = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     enough = both * 100 >= (F.size("x") + F.size("y") - both) * F.lit(round(100 * similarity))
-    links = written(proposed.select("a", "b").join(one, "a").join(two, "b").where(enough).select("a", "b"), "forest-links")
+    links = written(proposed.select("a", "b").join(one, "a").join(two, "b").where(enough).select("a", "b").unionByName(repeated), "forest-links")
     labels = components(links)
 
     # Likely pairs that are still apart, confirmed in their regions.
@@ -333,19 +356,20 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col:
     links = written(links.unionByName(more.select("a", "b")), "forest-linked")
     labels = components(links)
 
-    # Crowded prefixes in which components are still apart, block by block.
-    dealt = written(block_pairs(crowded, labels), "forest-blocks")
-    if not dealt.isEmpty():
-        own = short_keys(crowded).select("node", "keys").join(nodes.select("node", "n", "low"), "node")
-        met = dealt.join(written(own, "forest-crowd"), "node").select("key", "side", "t", "node", "n", "low", "keys", "label")
-        sorted_met = met.repartition("key").sortWithinPartitions("key", "side", "node")
+    # Crowds in which components are still apart, block by block.
+    if not crowded.isEmpty():
+        crowds = crowds_of(crowded).join(nodes.select("node", "n", "low"), "node").join(short_keys(crowded).select("node", "keys"), "node")
+        crowds = written(crowds, "forest-crowds")
+        met = block_pairs(crowds, labels).join(crowds.drop("crowd"), "node").select("key", "side", "node", "n", "low", "keys", "label")
+        sorted_met = written(met, "forest-blocks").repartition("key").sortWithinPartitions("key", "side", "node")
         flagged = written(sorted_met.mapInArrow(_by_region(flag, pa.schema([("key", pa.int64()), ("node", pa.int64())])), "key long, node long"), "forest-crowd-apart")
-        ends = written(flagged.select("node").distinct().join(nodes.select("node", "digest"), "node"), "forest-crowd-ends")
-        again = met.join(flagged, ["key", "node"]).join(full_sets(ends), "node").select("key", "side", "t", "node", "n", "low", "keys", "label", "items")
+        ends = written(flagged.select("node").distinct().join(nodes.select("node", "least", "digest"), "node"), "forest-crowd-ends")
+        again = sorted_met.join(flagged, ["key", "node"]).join(full_sets(ends), "node").select("key", "side", "node", "n", "low", "keys", "label", "items")
         more = again.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(_by_region(confirm, pair), "key long, a long, b long")
         labels = components(links.unionByName(more.select("a", "b")))
 
-    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    found = nodes.select("digest", "node", "least").join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    named = found.join(found.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
