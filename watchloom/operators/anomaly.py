@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from watchloom.functions.columns import fixed
+from watchloom.functions.columns import div_floor, fixed
 from watchloom.operators.sequence import sequence, with_predecessors
+from watchloom.session import cut
 
 FEATURES = ["cpu_pct", "ram_pct", "net_in_delta", "net_out_delta", "event_count", "auth_failures", "interval_ms"]
 
@@ -19,6 +21,7 @@ FEATURES = ["cpu_pct", "ram_pct", "net_in_delta", "net_out_delta", "event_count"
 TREES = 64
 SUBSAMPLE = 256
 WARMUP_ROWS = 128
+POOL_ROWS = 2048
 SCORE_THRESHOLD = 0.65
 CRITICAL_SCORE = 0.85
 HIGH_SCORE = 0.75
@@ -82,21 +85,30 @@ def _grow_tree(tree_id: int, sample: np.ndarray, seed: int, max_depth: int) -> l
     return nodes
 
 
+_PRIME = 2**31 - 1
+
+
+def _draws(trees: int, seed: int, order: Sequence[str]) -> Column:
+    """For each tree a number in [0, 2**31 - 1) of a row: an affine map, drawn for the tree, of one digest of the row."""
+    row = F.conv(F.substr(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    maps = []
+    for t in range(trees):
+        digest = hashlib.md5(f"{seed}:{t}".encode()).hexdigest()
+        maps.append(F.struct(F.lit(t).alias("tree_id"), ((row * (int(digest[:7], 16) + 1) + int(digest[7:14], 16)) % _PRIME).alias("_h")))
+    return F.array(*maps)
+
+
 def tree_samples(
     rows: DataFrame, trees: int, subsample: int, seed: int, order: Sequence[str] = ("timestamp_ms", "event_id"),
 ) -> DataFrame:
-    """tree_id, _h and features of the rows each tree grows from: those of its ``subsample`` least hashes over all rows.
+    """tree_id, _h and features of the rows each tree grows from: those of its ``subsample`` least draws over all rows.
 
-    A row enters a tree's draw if its hash is under twice the share that the tree needs, so a tree ranks about
+    A row enters a tree's draw if its number is under twice the share that the tree needs, so a tree ranks about
     2 x subsample rows however many there are.
     """
-    n = max(1, rows.count())
-    share = min(1.0, 2.0 * subsample / n)
-    least = -(2**63) + int(share * 2**64) - 1 if share < 1.0 else 2**63 - 1
-    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree_id"), F.xxhash64(F.lit(seed), t, *order).alias("_h")))
-    drawn = rows.select("features", *order, F.explode(F.filter(hashes, lambda x: x["_h"] <= least)).alias("_d"))
-    drawn = drawn.select("_d.tree_id", "_d._h", *order, "features")
+    share = min(1.0, 2.0 * subsample / max(1, rows.count()))
+    found = F.filter(_draws(trees, seed, order), lambda x: x["_h"] <= int(share * _PRIME))
+    drawn = rows.select("features", *order, F.explode(found).alias("_d")).select("_d.tree_id", "_d._h", *order, "features")
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", *order))
     return drawn.withColumn("_place", place).filter(F.col("_place") <= subsample)
 
@@ -273,28 +285,113 @@ def beacon_score(
     return found.drop("block", "own", "_c", "_v", "_vv", "_n", "_s", "_q", "_first", "_p", "_mean", "_sd")
 
 
+def past_pools(
+    rows: DataFrame, block_ms: int, window: int = POOL_ROWS, warmup: int = WARMUP_ROWS, order: Sequence[str] = ("timestamp_ms", "event_id"),
+) -> tuple[DataFrame, DataFrame]:
+    """What is known before each time block: the blocks (block, here, before) and their pools (block, order, features).
+
+    A pool holds the last ``window`` rows before its block starts; a block before which fewer than ``warmup`` rows lie
+    has none. Only each block's last ``window`` rows are ranked, first by parts of the block, so neither the blocks'
+    sizes nor a burst grow a task; where a tail stands in the whole follows from the blocks' counts.
+    """
+    block = div_floor(F.col(order[0]), block_ms).alias("block")
+    placed = rows.select(block, *order, "features")
+    # One row per time block.
+    along = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("block").agg(F.count(F.lit(1)).alias("here")).withColumn("before", F.coalesce(F.sum("here").over(along), F.lit(0)))
+    newest = [F.col(c).desc() for c in order]
+    last = placed.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    last = last.withColumn("_p", F.row_number().over(Window.partitionBy("block", "_part").orderBy(*newest))).filter(F.col("_p") <= window)
+    last = last.withColumn("_p", F.row_number().over(Window.partitionBy("block").orderBy(*newest))).filter(F.col("_p") <= window)
+    ranked = last.join(blocks, "block").select((F.col("before") + F.col("here") - F.col("_p")).alias("_rank"), *order, "features")
+    ranked = ranked.withColumn("_slice", div_floor(F.col("_rank"), window))
+    ready = blocks.filter(F.col("before") >= max(1, warmup))
+    slices = F.sequence(F.greatest(F.lit(0), div_floor(F.col("before") - window, window)), div_floor(F.col("before") - 1, window))
+    wanted = ready.select("block", "before", F.explode(slices).alias("_slice"))
+    pools = wanted.join(ranked, "_slice").filter((F.col("_rank") < F.col("before")) & (F.col("_rank") >= F.col("before") - window))
+    return blocks, pools.select("block", *order, "features")
+
+
+_TREE = "block long, tree_id int, left_id array<int>, right_id array<int>, rows array<int>, intercept array<double>, normal array<double>"
+
+
+def block_forests(pools: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7,
+                  order: Sequence[str] = ("timestamp_ms", "event_id")) -> DataFrame:
+    """One row per block and tree with the tree's nodes as arrays; each tree grows from its draws of the block's pool."""
+    max_depth = math.ceil(math.log2(max(2, subsample)))
+    drawn = pools.select("block", "features", *order, F.explode(_draws(trees, seed, order)).alias("_d")).select("block", "_d.tree_id", "_d._h", *order, "features")
+    place = F.row_number().over(Window.partitionBy("block", "tree_id").orderBy("_h", *order))
+    samples = drawn.withColumn("_place", place).filter(F.col("_place") <= subsample)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place")
+        block, tree = int(pdf["block"].iloc[0]), int(pdf["tree_id"].iloc[0])
+        sample = np.array(pdf["features"].tolist(), dtype=float)
+        nodes = _grow_tree(tree, sample, seed, max_depth)
+        wide = [n[6] or [0.0] * sample.shape[1] for n in nodes]
+        return pd.DataFrame([(block, tree, *[[n[k] for n in nodes] for k in (2, 3, 4, 5)], [v for row in wide for v in row])],
+                            columns=["block", "tree_id", "left_id", "right_id", "rows", "intercept", "normal"])
+
+    return samples.groupBy("block", "tree_id").applyInPandas(grow, _TREE)
+
+
+def score_blocks(rows: DataFrame, blocks: DataFrame, forests: DataFrame, block_ms: int, subsample: int = SUBSAMPLE,
+                 order: Sequence[str] = ("timestamp_ms", "event_id"), part_rows: int = 100_000) -> DataFrame:
+    """``rows`` of the blocks that have a forest, with ``score`` by the forest of their own block.
+
+    A block's rows meet its trees in parts of about ``part_rows`` rows, each with a copy of the trees.
+    """
+    fields = rows.select("*", F.lit(0.0).alias("score"))
+    parts = blocks.select("block", F.ceil(F.col("here") / part_rows).alias("_parts"))
+    placed = rows.withColumn("block", div_floor(F.col(order[0]), block_ms)).join(parts, "block")
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64(*order), F.col("_parts"))).drop("_parts")
+    copies = forests.join(parts, "block").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part")).drop("_parts")
+    scale, columns = float(average_path(subsample)), list(fields.columns)
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=columns)
+        x = np.array(left["features"].tolist(), dtype=float)
+        total = np.zeros(len(x))
+        for t in right.sort_values("tree_id").itertuples():
+            tree = {"left": np.array(t.left_id), "right": np.array(t.right_id), "rows": np.array(t.rows), "intercept": np.array(t.intercept)}
+            total += _path_lengths(x, tree | {"normal": np.array(t.normal).reshape(len(t.left_id), -1)})
+        return left.assign(score=2.0 ** (-total / len(right) / scale))[columns]
+
+    return placed.groupBy("block", "_part").cogroup(copies.groupBy("block", "_part")).applyInPandas(score, fields.schema)
+
+
 def observe(
     rows: DataFrame,
     *,
+    history: DataFrame | None = None,
+    block_ms: int = 86_400_000,
+    window: int = POOL_ROWS,
     warmup: int = WARMUP_ROWS,
     seed: int = 7,
     order: Sequence[str] = ("timestamp_ms", "event_id"),
     keep: Sequence[str] = ("device_id", "timestamp_ms", "machine_ip"),
 ) -> DataFrame:
-    """Forest and beacon findings of a batch of telemetry features.
+    """Forest and beacon findings of telemetry features, each judged by what came before it.
 
-    The forest learns from a sample of all rows; the first ``warmup`` rows in event order are not scored.
+    Time is cut into blocks. A row is scored by the forest that learned from the last ``window`` rows before its block,
+    and not at all where fewer than ``warmup`` rows lie before it. ``history`` holds rows of earlier calls (at least
+    the last ``window``, and each device's last intervals): rows give the same findings whether they come at once or
+    in turn. ``order`` must name each row once.
     """
-    vectors = anomaly_features(rows)
+    need = [c for c in dict.fromkeys([*keep, *order, *FEATURES])]
+    known = rows.select(*need).withColumn("_new", F.lit(True))
+    if history is not None:
+        known = known.unionByName(history.select(*need).withColumn("_new", F.lit(False)))
+    vectors = cut(anomaly_features(known))
     columns = [*keep, "detector", "severity", "score", "confidence", "mitre_id", "mitre_tactic", "description", "evidence"]
-    beacons = beacon_score(vectors, order=order).select(*columns)
-    # The last of the first ``warmup`` rows; with fewer rows no row comes after it.
-    begun = vectors.orderBy(*order).limit(warmup).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
-    scored = vectors
-    if begun is not None:
-        scored = vectors.filter(F.struct(*order) > F.struct(*[F.lit(begun[c]).cast(vectors.schema[c].dataType).alias(c) for c in order]))
-    forest = train_forest(vectors, seed=seed, order=order)
-    return forest_findings(score_forest(scored, forest)).select(*columns).unionByName(beacons)
+    beacons = beacon_score(vectors, order=order).filter("_new").select(*columns)
+    blocks, pools = past_pools(vectors, block_ms, window, warmup, order)
+    fresh = vectors.filter("_new")
+    asked = fresh.select(div_floor(F.col(order[0]), block_ms).alias("block")).distinct()
+    forests = block_forests(pools.join(asked, "block", "left_semi"), seed=seed, order=order)
+    scored = score_blocks(fresh.drop("_new"), blocks, forests, block_ms, order=order)
+    return forest_findings(scored).select(*columns).unionByName(beacons)
 
 
 def as_threats(findings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from watchloom.operators import network as net
 from watchloom.operators.anomaly import (
-    BeaconLimits, anomaly_features, beacon_score, forest_findings, observe, score_forest, train_forest,
+    BeaconLimits, anomaly_features, beacon_score, forest_findings, observe, past_pools, score_forest, train_forest, tree_samples,
 )
 from watchloom.operators.rule_scan import scan_rules
 from watchloom.operators.sigma import (
@@ -211,3 +211,54 @@ def forest_train_score(spark, d):
 @query("observe")
 def q_observe(spark, d):
     return observe(_telemetry(spark, d))
+
+
+# Draws: each tree's affine map of a digest of the row, the hex digits read by hand.
+def _hex(text: str, first: int, digits: int) -> str:
+    return " + ".join(f"(strpos('0123456789abcdef', substr({text}, {first + i}, 1)) - 1) * {16 ** (digits - 1 - i)}" for i in range(digits))
+
+
+_DRAWS = f"""rows as (select event_id, {{ts}} as timestamp_ms, md5(concat({{ts}}, ':', event_id)) as d from {{source}}),
+ maps as (select t, md5(concat('7:', t)) as d from range(16) r(t)),
+ drawn as (select t as tree_id, event_id, ((({_hex('rows.d', 1, 8)}) * (({_hex('maps.d', 1, 7)}) + 1) + {_hex('maps.d', 8, 7)}) % 2147483647) as h, timestamp_ms from rows cross join maps)"""
+
+
+@query("forest_draws", with_views(["tel"], _DRAWS.format(ts="timestamp_ms", source="tel") + """
+ select cast(tree_id as int) as tree_id, event_id, cast(place as int) as place from (select *, row_number() over (partition by tree_id order by h, timestamp_ms, event_id) as place from drawn) where place <= 64"""))
+def forest_draws(spark, d):
+    rows = view(spark, d, "tel").select("timestamp_ms", "event_id", F.array(F.lit(0.0)).alias("features"))
+    return tree_samples(rows, 16, 64, 7).select("tree_id", "event_id", F.col("_place").alias("place"))
+
+
+#: Eight full trees of four levels, by a rule that both sides write down: the normal of inner node n of tree t in dimension j.
+_NORMAL = "((t * 7 + n * 3 + j * 5) % 11 - 5)"
+
+
+@query("forest_fixed", with_views(["tel", "sec_log"], f"""{_SIGMA_SQL}, f as (select event_id, [cpu_pct, ram_pct, net_in_delta, net_out_delta, event_count, auth_failures, interval_ms] as v from x where seq > 1),
+ walk as (select event_id, v, t, 0 as n, 0 as depth from f cross join range(8) r(t) union all
+  select event_id, v, t, case when list_sum([v[j + 1] * {_NORMAL} for j in range(0, 7)]) < (t + n) * 1000 - 3000 then 2 * n + 1 else 2 * n + 2 end, depth + 1 from walk where n < 7),
+ ends as (select event_id, t, max(n) as n from walk group by event_id, t),
+ sized as (select *, (t + n) % 9 + 1 as size from ends),
+ paths as (select event_id, avg(3 + case when size <= 1 then 0 else 2 * (ln(size - 1) + 0.5772156649) - 2.0 * (size - 1) / size end) as p from sized group by event_id)
+ select event_id, {stable('pow(2, -p / (2 * (ln(255) + 0.5772156649) - 2.0 * 255 / 256))')} as score from paths""", recursive=True))
+def forest_fixed(spark, d):
+    from watchloom.plans.catalog_telemetry import _stable
+
+    nodes = spark.range(8).selectExpr("cast(id as int) as t", "explode(sequence(0, 14)) as n").selectExpr(
+        "t as tree_id", "n as node_id", "if(n < 7, 2 * n + 1, -1) as left_id", "if(n < 7, 2 * n + 2, -1) as right_id", "(t + n) % 9 + 1 as rows",
+        "cast((t + n) * 1000 - 3000 as double) as intercept", f"if(n < 7, transform(sequence(0, 6), j -> cast({_NORMAL} as double)), array()) as normal")
+    scored = score_forest(anomaly_features(_telemetry(spark, d)).select("event_id", "features"), nodes)
+    return scored.select("event_id", _stable("score"))
+
+
+_POOLS = """b as (select timestamp_ms // 86400000 as block, row_number() over (order by timestamp_ms, event_id) - 1 as rank, event_id from {source}),
+ starts as (select block, min(rank) as before from b group by block)
+ select s.block, cast(count(*) as bigint) as pool, min(b.rank) as first_rank, min(b.event_id) as least_id, cast(sum(b.event_id) as bigint) as ids from starts s join b on b.rank < s.before and b.rank >= s.before - 300 where s.before >= 128 group by s.block"""
+
+
+@query("observe_pools", with_views(["tel"], _POOLS.format(source="tel")))
+def observe_pools(spark, d):
+    rows = view(spark, d, "tel").select("timestamp_ms", "event_id", F.array(F.lit(0.0)).alias("features"))
+    blocks, pools = past_pools(rows, 86_400_000, window=300)
+    sizes = pools.groupBy("block").agg(F.count("*").alias("pool"), F.min("event_id").alias("least_id"), F.sum("event_id").alias("ids"))
+    return sizes.join(blocks, "block").select("block", "pool", (F.col("before") - F.col("pool")).alias("first_rank"), "least_id", "ids")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from watchloom.operators.anomaly import anomaly_features, as_threats, forest_findings, score_forest, train_forest
+from watchloom.operators.anomaly import as_threats, observe
 from watchloom.operators.correlate import _stage_events
 from watchloom.operators.intel import match_indicators, report_indicators
 from watchloom.operators.network import inspect_logs
@@ -98,15 +98,14 @@ def detect_batches(logs: DataFrame, root: str, feed: Callable[[SparkSession], Da
     return run_batches(logs, handle, name)
 
 
-def score_batches(features: DataFrame, pool: Callable[[SparkSession], DataFrame], root: str, name: str = "score",
-                  warmup: int = 128) -> StreamingQuery:
-    """Score a stream of telemetry features; the forest is trained anew for every micro-batch on a sample of the stored rows."""
+def score_batches(features: DataFrame, pool: Callable[[SparkSession], DataFrame], root: str, name: str = "score", **options) -> StreamingQuery:
+    """Findings of a stream of telemetry features, each micro-batch judged with the stored rows before it.
+
+    ``pool`` reads the rows of earlier micro-batches, or the latest of them (see ``observe``); with it a micro-batch
+    of any size, the first included, gives the rows that one batch over everything gives.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
-        history = anomaly_features(pool(batch.sparkSession))
-        if history.limit(warmup).count() < warmup:
-            return
-        scored = score_forest(anomaly_features(batch), train_forest(history))
-        write_table(as_threats(forest_findings(scored)), "threat_detections", root, batch=number)
+        write_table(as_threats(observe(batch, history=pool(batch.sparkSession), **options)), "threat_detections", root, batch=number)
 
     return run_batches(features, handle, name)
