@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchloom.operators.anomaly import anomaly_features, block_forests, observe, past_pools, score_blocks
+from watchloom.operators.anomaly import _grow_trees, _path_lengths, anomaly_features, block_forests, observe, past_pools, score_blocks, tree_samples
 
 ROWS = ("event_id long, device_id long, timestamp_ms long, machine_ip string, cpu_pct double, ram_pct double, net_in_delta long, net_out_delta long, "
         "event_count long, auth_failures long, interval_ms long")
@@ -75,3 +76,35 @@ def test_parts_of_a_block_agree(spark):
     forests = block_forests(pools, trees=8).cache()
     score = lambda n: {r.event_id: r.score for r in score_blocks(rows, blocks, forests, HOUR, part_rows=n).collect()}
     assert score(10) == score(100_000)
+
+
+def test_trees_part_their_rows():
+    """Children share their parent's rows, every row ends in the leaf that counts it, and depth is bounded."""
+    rng = np.random.default_rng(1)
+    x, tree = rng.normal(size=(300, 7)), np.repeat(np.arange(3), 100)
+    x[:100] = 1.0  # rows that nothing parts
+    grown = _grow_trees(x, tree, 3, 7, 5)
+    assert [len(g["rows"]) for g in grown][0] == 1 and all(g["rows"][0] == 100 for g in grown)
+    for t in (1, 2):
+        g = grown[t]
+        inner = np.flatnonzero(g["left_id"] >= 0)
+        assert (g["rows"][inner] == g["rows"][g["left_id"][inner]] + g["rows"][g["right_id"][inner]]).all()
+        at, normal = np.zeros(100, int), g["normal"].reshape(-1, 7)
+        for _ in range(6):
+            go = g["left_id"][at] >= 0
+            below = (x[tree == t] * normal[at]).sum(axis=1) < g["intercept"][at]
+            at = np.where(go, np.where(below, g["left_id"][at], g["right_id"][at]), at)
+        leaves, counts = np.unique(at, return_counts=True)
+        assert (g["left_id"][leaves] == -1).all() and (g["rows"][leaves] == counts).all()
+        depths = _path_lengths(x[tree == t], {"left": g["left_id"], "right": g["right_id"], "rows": np.ones(len(g["rows"])), "intercept": g["intercept"], "normal": normal})
+        assert 1 <= depths.min() and depths.max() <= 5
+    assert [g["rows"].tolist() for g in _grow_trees(x, tree, 3, 7, 5)] == [g["rows"].tolist() for g in grown]
+
+
+def test_draws_are_those_of_a_forest(spark):
+    """A block's trees grow from the rows that the plain draws over its pool give."""
+    rows = anomaly_features(_reports(spark))
+    _, pools = past_pools(rows, HOUR, 200, 50)
+    sizes = {r.tree_id: r["rows"][0] for r in block_forests(pools.where("block = 9"), trees=4, subsample=64).collect()}
+    drawn = tree_samples(pools.where("block = 9"), 4, 64, 7).groupBy("tree_id").count().collect()
+    assert sizes == {r.tree_id: r["count"] for r in drawn} == dict.fromkeys(range(4), 64)

@@ -88,14 +88,21 @@ def _grow_tree(tree_id: int, sample: np.ndarray, seed: int, max_depth: int) -> l
 _PRIME = 2**31 - 1
 
 
+def _row_number(order: Sequence[str]) -> Column:
+    """32 bits of a digest of the row."""
+    return F.conv(F.substr(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), F.lit(1), F.lit(8)), 16, 10).cast("long")
+
+
+def _maps(trees: int, seed: int) -> list[tuple[int, int]]:
+    """Factor and shift of each tree."""
+    digests = [hashlib.md5(f"{seed}:{t}".encode()).hexdigest() for t in range(trees)]
+    return [(int(d[:7], 16) + 1, int(d[7:14], 16)) for d in digests]
+
+
 def _draws(trees: int, seed: int, order: Sequence[str]) -> Column:
     """For each tree a number in [0, 2**31 - 1) of a row: an affine map, drawn for the tree, of one digest of the row."""
-    row = F.conv(F.substr(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), F.lit(1), F.lit(8)), 16, 10).cast("long")
-    maps = []
-    for t in range(trees):
-        digest = hashlib.md5(f"{seed}:{t}".encode()).hexdigest()
-        maps.append(F.struct(F.lit(t).alias("tree_id"), ((row * (int(digest[:7], 16) + 1) + int(digest[7:14], 16)) % _PRIME).alias("_h")))
-    return F.array(*maps)
+    row = _row_number(order)
+    return F.array(*[F.struct(F.lit(t).alias("tree_id"), ((row * a + b) % _PRIME).alias("_h")) for t, (a, b) in enumerate(_maps(trees, seed))])
 
 
 def tree_samples(
@@ -315,24 +322,66 @@ def past_pools(
 _TREE = "block long, tree_id int, left_id array<int>, right_id array<int>, rows array<int>, intercept array<double>, normal array<double>"
 
 
+def _grow_trees(x: np.ndarray, tree: np.ndarray, trees: int, seed: int, max_depth: int) -> list[dict[str, np.ndarray]]:
+    """Nodes of all trees, breadth first, from rows ``x`` that belong to ``tree``: every level of all trees at once."""
+    rng = np.random.default_rng(seed)
+    home, at, rows = np.arange(trees), tree.copy(), np.arange(len(x))
+    made = [np.bincount(tree, minlength=trees)]
+    left, right = [np.full(trees, -1)], [np.full(trees, -1)]
+    cuts, normals, owner, first = [np.zeros(trees)], [np.zeros((trees, x.shape[1]))], [home], 0
+    for _ in range(max_depth):
+        rows = rows[np.argsort(at[rows], kind="stable")]
+        if not len(rows):
+            break
+        nodes, begin, of, count = np.unique(at[rows], return_index=True, return_inverse=True, return_counts=True)
+        normal = rng.normal(size=(len(nodes), x.shape[1]))
+        normal /= np.maximum(np.linalg.norm(normal, axis=1, keepdims=True), 1e-6)
+        side = np.einsum("ij,ij->i", x[rows], normal[of])
+        lo, hi = np.minimum.reduceat(side, begin), np.maximum.reduceat(side, begin)
+        cut_at = rng.uniform(lo, np.maximum(hi, lo))
+        below = side < cut_at[of]
+        lefts = np.add.reduceat(below, begin, dtype=np.int64)
+        split = (count > 1) & (hi - lo >= 1e-9) & (lefts > 0) & (lefts < count)
+        local = nodes - first
+        total, n = first + len(made[-1]), int(split.sum())
+        rank = np.cumsum(split) - 1
+        left[-1][local[split]], right[-1][local[split]] = total + 2 * rank[split], total + 2 * rank[split] + 1
+        cuts[-1][local[split]], normals[-1][local[split]] = cut_at[split], normal[split]
+        owner.append(np.repeat(owner[-1][local[split]], 2))
+        made.append(np.stack([lefts[split], (count - lefts)[split]], axis=1).ravel())
+        left.append(np.full(2 * n, -1)), right.append(np.full(2 * n, -1)), cuts.append(np.zeros(2 * n)), normals.append(np.zeros((2 * n, x.shape[1])))
+        moves = split[of]
+        at[rows] = np.where(moves, total + 2 * rank[of] + ~below, at[rows])
+        rows, first = rows[moves], total
+    owner, left, right = np.concatenate(owner), np.concatenate(left), np.concatenate(right)
+    made, cuts, normals = np.concatenate(made), np.concatenate(cuts), np.concatenate(normals)
+    out, place = [], np.full(len(owner) + 1, -1)
+    for t in range(trees):
+        mine = np.flatnonzero(owner == t)
+        place[mine] = np.arange(len(mine))
+        out.append({"left_id": place[left[mine]], "right_id": place[right[mine]], "rows": made[mine], "intercept": cuts[mine], "normal": normals[mine].ravel()})
+    return out
+
+
 def block_forests(pools: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7,
                   order: Sequence[str] = ("timestamp_ms", "event_id")) -> DataFrame:
-    """One row per block and tree with the tree's nodes as arrays; each tree grows from its draws of the block's pool."""
+    """One row per block and tree with the tree's nodes as arrays; each tree grows from its draws of the block's pool.
+
+    A task holds one pool at a time; the draws are those of ``tree_samples`` over the pool.
+    """
     max_depth = math.ceil(math.log2(max(2, subsample)))
-    drawn = pools.select("block", "features", *order, F.explode(_draws(trees, seed, order)).alias("_d")).select("block", "_d.tree_id", "_d._h", *order, "features")
-    place = F.row_number().over(Window.partitionBy("block", "tree_id").orderBy("_h", *order))
-    samples = drawn.withColumn("_place", place).filter(F.col("_place") <= subsample)
+    maps = np.array(_maps(trees, seed), np.int64)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place")
-        block, tree = int(pdf["block"].iloc[0]), int(pdf["tree_id"].iloc[0])
-        sample = np.array(pdf["features"].tolist(), dtype=float)
-        nodes = _grow_tree(tree, sample, seed, max_depth)
-        wide = [n[6] or [0.0] * sample.shape[1] for n in nodes]
-        return pd.DataFrame([(block, tree, *[[n[k] for n in nodes] for k in (2, 3, 4, 5)], [v for row in wide for v in row])],
-                            columns=["block", "tree_id", "left_id", "right_id", "rows", "intercept", "normal"])
-
-    return samples.groupBy("block", "tree_id").applyInPandas(grow, _TREE)
+        pdf = pdf.sort_values(list(order))
+        x, row = pdf[[f"f{i}" for i in range(len(FEATURES))]].to_numpy(float), pdf["_row"].to_numpy()
+        drawn = np.argsort((row[None, :] * maps[:, :1] + maps[:, 1:]) % _PRIME, axis=1, kind="stable")[:, :subsample]
+        grown = _grow_trees(x[drawn.ravel()], np.repeat(np.arange(trees), drawn.shape[1]), trees, seed, max_depth)
+        block = int(pdf["block"].iloc[0])
+        return pd.DataFrame([{"block": block, "tree_id": t, **{k: v.tolist() for k, v in g.items()}} for t, g in enumerate(grown)])
+
+    flat = [F.col("features")[i].alias(f"f{i}") for i in range(len(FEATURES))]
+    return pools.select("block", *order, _row_number(order).alias("_row"), *flat).groupBy("block").applyInPandas(grow, _TREE)
 
 
 def score_blocks(rows: DataFrame, blocks: DataFrame, forests: DataFrame, block_ms: int, subsample: int = SUBSAMPLE,
