@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +67,36 @@ def test_words_as_tiktoken(encoding):
     assert [ids[e - c : e].tolist() for c, e in zip(counts, np.cumsum(counts), strict=True)] == [encoding._encode_single_piece(w) for w in words]
 
 
+def test_added_tokens_as_the_library():
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "", "<|endoftext|><|endoftext|> x", "a<|endoftext|", "plain  words", "é<|endoftext|>\n漢", None, "<|endoftext|> end <|endoftext|>"]
+    offsets, ids = simple8b.text_ids(JSON).texts(*utf8(pa.array(texts, pa.string())))
+    library = Tokenizer.from_file(JSON)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids[:4].tolist() == [505, 220, 50256, 734]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aeth -=n")), min_size=1, max_size=60) | st.text(min_size=1, max_size=20), min_size=1, max_size=8))
+def test_any_word_as_tiktoken(encoding, words):
+    words = [w.encode("utf-8", "ignore") or b"x" for w in words]
+    counts, ids = bpe.bpe(RANKS).encode_words(words)
+    assert [ids[e - c : e].tolist() for c, e in zip(counts, np.cumsum(counts), strict=True)] == [encoding._encode_single_piece(w) for w in words]
+
+
+def test_long_words_take_few_steps(encoding):
+    draw = random.Random(5)
+    letters = lambda some, n: "".join(draw.choice(some) for _ in range(n)).encode()
+    coder, begun = bpe.bpe(RANKS), time.monotonic()
+    words = [letters("abcdefghijklmnopqrstuvwxyz", 20_000), letters("ACGT", 20_000), letters([chr(0x4E00 + k) for k in range(3000)], 20_000), base64.b64encode(draw.randbytes(15_000))]
+    longer = [letters("abcdefghijklmnopqrstuvwxyz", 200_000), b"a" * 200_000, letters("ACGT", 200_000), base64.b64encode(draw.randbytes(150_000))]
+    for word in words + longer:
+        counts, ids = coder.encode_words([word])
+        assert coder.decode(np.array([0, len(ids)]), ids) == [word]
+        if word in words:
+            assert ids.tolist() == encoding._encode_single_piece(word)
+    assert time.monotonic() - begun < 60
+
+
 def test_bpe_rows(session, encoding):
     coded = bpe.bpe_decode(bpe.bpe_encode(awkward(session), RANKS), RANKS)
     got = sorted(((r.doc_id, list(r.ids), bytes(r.decoded)) for r in coded.collect()), key=str)
@@ -80,7 +113,6 @@ def test_token_files(session):
     manifest = simple8b.write_ids(awkward(session), folder, JSON)
     got = simple8b.read_ids(manifest, folder).orderBy("start").collect()
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     want, start = [], 0
     for i, t, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]

@@ -2,9 +2,13 @@
 
 A task splits its texts into words and looks up the distinct ones it hasn't met. A recursive query holds one row per
 token position, joins neighbouring tokens with the merge table and contracts, in every word, the leftmost pair of the
-least rank until no pair can be merged. Where no pair with the merged token could have a lower rank, contracting
-further occurrences of the same pair in the same step gives the same result, so those go together and long runs of
-one character take few steps. Decoding joins ids with the vocabulary and aggregates the bytes in order.
+least rank until no pair can be merged. In the same step go all pairs that nothing can forestall: a pair of rank m
+whose neighbouring pairs have higher ranks, where no longer token that ends with the one before the pair (or begins with
+the one after it) has a pair of rank m or less with the pair's own token. Whatever is merged around such a pair first,
+it is still there when its rank's turn comes, so the steps of a word grow with the depth of its merges, not with its
+length. Where no pair with the merged token could have a lower rank, all pairs of a word's least rank go together,
+so long runs of one character take few steps. Words are cut where no token of the vocabulary holds the two bytes. All this gives exactly the ids of one
+contraction at a time. Decoding joins ids with the vocabulary and aggregates the bytes in order.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 from watchloom.llm.common import pieces, read_table, runs, utf8
 from watchloom.llm.pretoken import WordIds
 
-#: Token positions that a recursive query starts from (one word at least), and rows that all its steps may hold.
-POSITIONS, STEP_ROWS = 150_000, 2_000_000
+#: Token positions that a recursive query starts from (one uncut word at least), and rows that all its steps may hold.
+POSITIONS, STEP_ROWS = 100_000, 1_500_000
+#: Bytes of memory of the database, and for each position of an uncut word where that is more; nothing is spilled.
+MEMORY, POSITION_MEMORY = 400 << 20, 1_000
 
 # g is a token's place among all words of the query, w its word. A pick is a pair to contract: its left row takes the
 # merged id, its right row goes. Of a run of one token every other pair is picked, counted from the run's beginning.
@@ -31,19 +37,24 @@ with recursive steps as (
   select 0 as step, w, g, t from start
   union all
   (with pairs as (
-     select w, g, t, lead(t) over o as nt, lead(w) over o as nw, lead(g) over o as ng, row_number() over o as k
-     from steps where step < {most} window o as (order by g)),
+     select w, g, t, lead(t) over o as nt, lead(g) over o as ng, lag(t) over o as bt, lead(t, 2) over o as nnt, row_number() over o as k
+     from steps where step < {most} window o as (partition by w order by g)),
    ranked as (
-     select p.w, p.g, p.t, p.nt, p.ng, p.k, m.m, m.safe from pairs p join merges m on m.l = p.t and m.r = p.nt where p.nw = p.w),
+     select p.*, m.m, m.safe, coalesce(a.m > m.m, true) and coalesce(b.m > m.m, true) as alone
+     from pairs p join merges m on m.l = p.t and m.r = p.nt
+     left join thief_before a on a.x = p.bt and a.r = p.t left join thief_after b on b.l = p.nt and b.x = p.nnt),
    best as (select w, min((m::bigint << 32) | g) as key from ranked group by w),
-   hits as (select r.*, b.key & 4294967295 as leftmost from ranked r join best b using (w) where r.m = b.key >> 32),
+   hits as (
+     select r.*, (r.m::bigint << 32) | r.g = b.key as own, coalesce(lag(k) over o <> k - 1 or lag(m) over o > m, true) as fore,
+       coalesce(lead(k) over o <> k + 1 or lead(m) over o >= m, true) and (alone or (safe and r.m = b.key >> 32)) as aft
+     from ranked r join best b using (w) window o as (partition by r.w order by r.k)),
+   alike as (
+     select *, row_number() over o as place, first_value(fore and aft) over o as led
+     from (select *, k - row_number() over (partition by w order by k) as run from hits where t = nt) window o as (partition by w, run order by k)),
    picks as (
-     select g, ng, m from hits where g = leftmost or (safe and t <> nt)
+     select g, ng, m from hits where t <> nt and (own or (fore and aft))
      union all
-     select g, ng, m from (
-       select *, row_number() over (partition by w, run order by g) as place
-       from (select *, k - row_number() over (order by g) as run from hits where safe and t = nt))
-     where place % 2 = 1 and g <> leftmost),
+     select g, ng, m from alike where (place = 1 and own) or (place % 2 = 1 and led and aft)),
    moves as (select g, m from picks union all select ng, -1 from picks)
    select s.step + 1, s.w, s.g, coalesce(x.m, s.t) from steps s join best using (w) left join moves x on x.g = s.g
    where coalesce(x.m, 0) >= 0))
@@ -72,12 +83,28 @@ class Bpe:
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         l, r, m = (np.array(c, np.int32) for c in zip(*splits, strict=True))
+        self.joined = np.zeros((256, 256), bool)  # the pairs of bytes that stand together in a token
+        for t in ranks:
+            self.joined[tuple(np.frombuffer(t, np.uint8)[k:][: len(t) - 1] for k in (0, 1))] = True
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY >> 20}MiB", "temp_directory": ""})
         unsafe = np.zeros(max(ranks.values()) + 1, bool)
         unsafe[l[m < l]] = True
         unsafe[r[m < r]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self.db.register("given", pa.table({"l": l, "r": r, "m": m, "safe": ~unsafe[m]}))
         self.db.execute("create table merges as select * from given")
+        name = {r: t for t, r in ranks.items()}
+        before, after = {}, {}
+        for a, b, c in zip(l.tolist(), r.tolist(), m.tolist(), strict=True):
+            for k in range(1, len(name[a])):
+                if (x := ranks.get(name[a][k:])) is not None:
+                    before[x, b] = min(c, before.get((x, b), c))
+            for k in range(1, len(name[b])):
+                if (x := ranks.get(name[b][:k])) is not None:
+                    after[x, a] = min(c, after.get((x, a), c))
+        for table, found, other in (("thief_before", before, "r"), ("thief_after", after, "l")):
+            keys = np.array(list(found), np.int32).reshape(-1, 2)
+            self.db.register("found", pa.table({"x": keys[:, 0], other: keys[:, 1], "m": np.fromiter(found.values(), np.int32, len(found))}))
+            self.db.execute(f"create table {table} as select * from found")
         self.db.register("tokens", pa.table({"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "h": [t.hex() for t in ranks]}))
         self.db.execute("create table vocabulary as select * from tokens")
         self.words = WordIds(self.encode_words, 300_000)
@@ -87,24 +114,30 @@ class Bpe:
         known = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
         rest = np.flatnonzero(known < 0)
         counts, parts = np.ones(len(words), np.int64), [(np.flatnonzero(known >= 0), known[known >= 0].astype(np.int32))]
+        if not len(rest):
+            return counts, parts[0][1]
         sizes = np.fromiter((len(words[k]) for k in rest), np.int64, len(rest))
-        ends = np.cumsum(sizes)
-        first = 0
-        while first < len(rest):
-            last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + POSITIONS, "right")))
-            of = rest[first:last]
-            w, t = self._contract([words[k] for k in of])
-            counts[of] = np.bincount(w, minlength=len(of))
-            parts.append((of[w], t))
+        data = np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)
+        cut = np.append(True, ~self.joined[data[:-1], data[1:]])
+        cut[np.cumsum(sizes)[:-1]] = True
+        begins = np.flatnonzero(cut)
+        ends = np.append(begins[1:], len(data))
+        of = np.repeat(rest, sizes)[begins]
+        counts[rest], first = 0, 0
+        while first < len(begins):
+            last = max(first + 1, int(np.searchsorted(ends, begins[first] + POSITIONS, "right")))
+            w, t = self._contract(np.repeat(np.arange(last - first), ends[first:last] - begins[first:last]), data[begins[first] : ends[last - 1]])
+            parts.append((of[first + w], t))
+            counts += np.bincount(of[first + w], minlength=len(words))
             first = last
         owner = np.concatenate([p[0] for p in parts])
         return counts, np.concatenate([p[1] for p in parts])[np.argsort(owner, kind="stable")]
 
-    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(word number, token id) of all tokens of the words, in order."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        state = {"w": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "t": self.bytes[np.frombuffer(b"".join(words), np.uint8)]}
+    def _contract(self, part: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part number, token id) of all tokens of the parts of words whose bytes are given, in order."""
+        state = {"w": part.astype(np.int32), "t": self.bytes[data]}
         done = []
+        self.db.execute(f"set memory_limit = '{max(MEMORY, len(data) * POSITION_MEMORY) >> 20}MiB'")
         while n := len(state["w"]):
             most = max(1, min(24, STEP_ROWS // n))
             self.db.register("start", pa.table(state | {"g": np.arange(n, dtype=np.int32)}))
@@ -112,7 +145,7 @@ class Bpe:
             self.db.unregister("start")
             open_ = out["step"] >= most  # the steps of this query didn't reach the end
             done.append((out["w"][~open_], out["t"][~open_]))
-            state = {c: np.ascontiguousarray(out[c][open_], np.int32) for c in ("w", "t")}
+            state = {c: np.ascontiguousarray(out[c][open_], np.int32) for c in state}
         w = np.concatenate([d[0] for d in done])
         order = np.argsort(w, kind="stable")
         return np.asarray(w[order], np.int64), np.concatenate([d[1] for d in done])[order].astype(np.int32)
