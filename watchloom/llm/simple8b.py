@@ -11,7 +11,9 @@ has one (u8) and its number of ids (u64); numbers of words, blocks and documents
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -188,26 +190,66 @@ def store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-@functools.cache
-def word_ids(tokenizer: str) -> WordIds:
-    """Ids of words by the tokenizers library; a worker keeps them from task to task."""
-    from tokenizers import Tokenizer, pre_tokenizers
+class TextIds:
+    """Ids of texts by the tokenizers library, as its ``encode(text, add_special_tokens=False)`` gives them.
+
+    Texts are cut at the file's added tokens first, the longest of those that begin at a place; what lies between is
+    split into words, whose ids are remembered. A file with a normalizer, with another split than that of byte-level
+    tokenizers without a prefix space, or with added tokens that take in their surroundings is refused.
+    """
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    own = Tokenizer.from_file(tokenizer)
-    own.encode_special_tokens = True  # their strings in a text are ordinary text
-    model, letters = own.model, sorted(pre_tokenizers.ByteLevel.alphabet())
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that stand for themselves
-    moved = [b for b in range(256) if b not in set(plain)]
-    table = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(moved)}
-    assert sorted(table.values()) == letters, "the vocabulary isn't byte-level"
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        own = Tokenizer.from_file(tokenizer)
+        told = json.loads(own.to_str())
+        split, added = told["pre_tokenizer"] or {}, told["added_tokens"]
+        if told["normalizer"] or (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) != ("ByteLevel", False, True):
+            raise ValueError("not a byte-level tokenizer without normalizer and prefix space")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that depend on the text around them")
+        model, letters = own.model, sorted(pre_tokenizers.ByteLevel.alphabet())
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that stand for themselves
+        moved = [b for b in range(256) if b not in set(plain)]
+        table = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(moved)}
+        assert sorted(table.values()) == letters, "the vocabulary isn't byte-level"
+
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [[x.id for x in model.tokenize(w.decode("latin-1").translate(table))] for w in words]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
+
+        self.words = WordIds(encode, 700_000)
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile(b"|".join(map(re.escape, longest))) if longest else None
+
+    def texts(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n + 1 offsets of each text's ids, and all ids in a row."""
+        raw = data.tobytes()
+        if self.marks is None or not self.marks.search(raw):
+            return self.words.texts(data, at)
+        gaps, own = [], []  # the parts between added tokens, and the id after each of them but a text's last
+        first = np.zeros(len(at), np.int64)
+        for k, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for m in self.marks.finditer(raw, lo, hi):
+                gaps.append(raw[lo : m.start()])
+                own.append(self.added[m[0]])
+                lo = m.end()
+            gaps.append(raw[lo:hi])
+            own.append(-1)
+            first[k + 1] = len(gaps)
+        offsets, ids = self.words.texts(*utf8(pa.array(gaps, pa.binary())))
+        marks = np.array(own, np.int64)
+        ids = np.insert(ids, offsets[1:][marks >= 0], marks[marks >= 0])
+        return (offsets + np.append(0, np.cumsum(marks >= 0)))[first], ids
 
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[x.id for x in model.tokenize(w.decode("latin-1").translate(table))] for w in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
 
-    return WordIds(encode, 700_000)
+@functools.cache
+def text_ids(tokenizer: str) -> TextIds:
+    """A worker keeps the words it has met from task to task."""
+    return TextIds(tokenizer)
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> DataFrame:
@@ -231,7 +273,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
                     path = f"{base}/{uuid.uuid4().hex}.s8b"
                     out = system.open_output_stream(path)
                     writer, first = Writer(out), part.column(0)[0].as_py()
-                offsets, ids = word_ids(tokenizer).texts(*utf8(part.column(1)))
+                offsets, ids = text_ids(tokenizer).texts(*utf8(part.column(1)))
                 lengths = np.diff(offsets)
                 if end_id is not None:
                     ids = np.insert(ids, offsets[1:], end_id)
