@@ -83,6 +83,15 @@ def test_quality_awkward(session):
     assert empty(session).select(quality.score(session, blank, F.col("text"))).collect() == []
 
 
+def test_quality_sample_is_the_least_hashes(session):
+    docs, labels = (session.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    repeated = labels.union(labels.where("doc_id % 7 = 1"))
+    order = [F.xxhash64("doc_id"), "doc_id", F.col("quality").cast("int")]
+    least = repeated.where("quality in (0, 1) and doc_id is not null").orderBy(*order).limit(60)
+    assert repeated.count() > 200
+    assert (quality.train(docs, repeated, sample_rows=60) == quality.train(docs, least)).all()
+
+
 def test_quality_held_out(session):
     rows = quality.op10_quality(session, "/root/testdata/sf0.1").collect()
     truth = dict(map(tuple, session.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality").collect()))

@@ -83,7 +83,14 @@ def train(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
-    sample = known.orderBy(*order).limit(sample_rows)
+    # The first rows of that order lie under a bound of the hash; without it every partition sends as many as are wanted.
+    share, total = 1.0, known.count()
+    if total > sample_rows:
+        share = 1.5 * sample_rows / total
+        while share < 1 and known.where(order[0] <= int(share * 2**64) - 2**63).count() < sample_rows:
+            share *= 2
+    under = known.where(order[0] <= int(share * 2**64) - 2**63) if share < 1 else known
+    sample = under.orderBy(*order).limit(sample_rows)
     rows = texts.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
