@@ -2,12 +2,13 @@
 
 A task splits its texts into words and looks up the distinct ones it hasn't met. A recursive query holds one row per
 token position, joins neighbouring tokens with the merge table and contracts, in every word, the leftmost pair of the
-least rank until no pair can be merged. In the same step go all pairs that nothing can forestall: a pair of rank m
+least rank until no pair can be merged. Where no pair with the merged token could have a lower rank, all pairs of that
+rank go together, so long runs of one character take few steps. Words that need more steps than one query takes go on
+in a second form, where all pairs go at once that nothing can forestall: a pair of rank m
 whose neighbouring pairs have higher ranks, where no longer token that ends with the one before the pair (or begins with
 the one after it) has a pair of rank m or less with the pair's own token. Whatever is merged around such a pair first,
 it is still there when its rank's turn comes, so the steps of a word grow with the depth of its merges, not with its
-length. Where no pair with the merged token could have a lower rank, all pairs of a word's least rank go together,
-so long runs of one character take few steps. Words are cut where no token of the vocabulary holds the two bytes. All this gives exactly the ids of one
+length. Words are cut where no token of the vocabulary holds the two bytes. All this gives exactly the ids of one
 contraction at a time. Decoding joins ids with the vocabulary and aggregates the bytes in order.
 """
 
@@ -33,6 +34,31 @@ MEMORY, POSITION_MEMORY = 400 << 20, 1_000
 # g is a token's place among all words of the query, w its word. A pick is a pair to contract: its left row takes the
 # merged id, its right row goes. Of a run of one token every other pair is picked, counted from the run's beginning.
 _STEPS = """
+with recursive steps as (
+  select 0 as step, w, g, t from start
+  union all
+  (with pairs as (
+     select w, g, t, lead(t) over o as nt, lead(w) over o as nw, lead(g) over o as ng, row_number() over o as k
+     from steps where step < {most} window o as (order by g)),
+   ranked as (
+     select p.w, p.g, p.t, p.nt, p.ng, p.k, m.m, m.safe from pairs p join merges m on m.l = p.t and m.r = p.nt where p.nw = p.w),
+   best as (select w, min((m::bigint << 32) | g) as key from ranked group by w),
+   hits as (select r.*, b.key & 4294967295 as leftmost from ranked r join best b using (w) where r.m = b.key >> 32),
+   picks as (
+     select g, ng, m from hits where g = leftmost or (safe and t <> nt)
+     union all
+     select g, ng, m from (
+       select *, row_number() over (partition by w, run order by g) as place
+       from (select *, k - row_number() over (order by g) as run from hits where safe and t = nt))
+     where place % 2 = 1 and g <> leftmost),
+   moves as (select g, m from picks union all select ng, -1 from picks)
+   select s.step + 1, s.w, s.g, coalesce(x.m, s.t) from steps s join best using (w) left join moves x on x.g = s.g
+   where coalesce(x.m, 0) >= 0))
+select w, g, t, step from steps join (select w, max(step) as step from steps group by w) using (w, step) order by g
+"""
+
+# The same for words with many steps: all pairs that nothing can forestall go at once, at the price of two more joins.
+_LONG_STEPS = """
 with recursive steps as (
   select 0 as step, w, g, t from start
   union all
@@ -136,12 +162,13 @@ class Bpe:
     def _contract(self, part: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(part number, token id) of all tokens of the parts of words whose bytes are given, in order."""
         state = {"w": part.astype(np.int32), "t": self.bytes[data]}
-        done = []
+        done, steps = [], _STEPS
         self.db.execute(f"set memory_limit = '{max(MEMORY, len(data) * POSITION_MEMORY) >> 20}MiB'")
         while n := len(state["w"]):
             most = max(1, min(24, STEP_ROWS // n))
             self.db.register("start", pa.table(state | {"g": np.arange(n, dtype=np.int32)}))
-            out = self.db.execute(_STEPS.format(most=most)).fetchnumpy()
+            out = self.db.execute(steps.format(most=most)).fetchnumpy()
+            steps = _LONG_STEPS
             self.db.unregister("start")
             open_ = out["step"] >= most  # the steps of this query didn't reach the end
             done.append((out["w"][~open_], out["t"][~open_]))
