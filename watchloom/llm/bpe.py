@@ -3,7 +3,7 @@
 A task splits its texts into words and looks up the distinct ones it hasn't met. A recursive query holds one row per
 token position, joins neighbouring tokens with the merge table and contracts, in every word, the leftmost pair of the
 least rank until no pair can be merged. Where no pair with the merged token could have a lower rank, all pairs of that
-rank go together, so long runs of one character take few steps. Words that need more steps than one query takes go on
+rank go together, so long runs of one character take few steps. Long words that one query leaves open go on
 in a second form, where all pairs go at once that nothing can forestall: a pair of rank m
 whose neighbouring pairs have higher ranks, where no longer token that ends with the one before the pair (or begins with
 the one after it) has a pair of rank m or less with the pair's own token. Whatever is merged around such a pair first,
@@ -27,7 +27,9 @@ from watchloom.llm.common import pieces, read_table, runs, utf8
 from watchloom.llm.pretoken import WordIds
 
 #: Token positions that a recursive query starts from (one uncut word at least), and rows that all its steps may hold.
-POSITIONS, STEP_ROWS = 100_000, 1_500_000
+POSITIONS, STEP_ROWS = 150_000, 2_000_000
+#: Positions of a word that one query leaves open, from which on the second form of the steps is used.
+LONG = 256
 #: Bytes of memory of the database, and for each position of an uncut word where that is more; nothing is spilled.
 MEMORY, POSITION_MEMORY = 400 << 20, 1_000
 
@@ -168,7 +170,7 @@ class Bpe:
             most = max(1, min(24, STEP_ROWS // n))
             self.db.register("start", pa.table(state | {"g": np.arange(n, dtype=np.int32)}))
             out = self.db.execute(steps.format(most=most)).fetchnumpy()
-            steps = _LONG_STEPS
+            steps = _LONG_STEPS if open_.any() and np.bincount(out["w"][open_]).max() >= LONG else _STEPS
             self.db.unregister("start")
             open_ = out["step"] >= most  # the steps of this query didn't reach the end
             done.append((out["w"][~open_], out["t"][~open_]))
