@@ -217,42 +217,56 @@ def dimensions() -> dict:
 
 
 def shards_plainly(rows: list, shards: int, n: int) -> dict:
-    """doc id -> leaf, splitting sorted lists at weighted medians."""
+    """doc id and text -> leaf, splitting sorted lists of groups of equal texts at weighted medians."""
     bounds = [([r[f"d{k}"] for r in rows if r[f"d{k}"] is not None]) for k in range(n)]
-    top = (1 << kdtree.DIGIT) - 1
+    top = (1 << kdtree.CELL) - 1
+    weight = max(1, int(sum(r["size"] for r in rows) / shards * kdtree.SLACK))
 
-    def cell(r, k):
+    def cell(values, k):
         lo, hi = min(bounds[k], default=0.0), max(bounds[k], default=0.0)
-        return 0 if r[f"d{k}"] is None or hi == lo else int((r[f"d{k}"] - lo) * (top / (hi - lo)))
-
-    out = {}
+        known = [v for v in values if v is not None]
+        return 0 if not known or hi == lo else int((min(known) - lo) * (top / (hi - lo)))
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["h1"], r["h2"]].append(r)
+    parts, out = [], {}
+    for (h1, _), found in groups.items():
+        cells = [cell([r[f"d{k}"] for r in found], k) for k in range(n)]
+        pieces = defaultdict(list)
+        for r in found:
+            size = sum(x["size"] for x in found)
+            pieces[r["dealt"] % -(-size // weight) if size > weight else 0].append(r)
+        parts += [(cells, (h1 & 0xFFFFFFFF) << 16 | piece, members) for piece, members in pieces.items()]
 
     def split(part, leaves, first):
         if leaves == 1 or not part:
-            out.update({(r["doc_id"], r["text_crc32"]): first for r in part})
+            out.update({(r["doc_id"], r["text_crc32"]): first for _, _, members in part for r in members})
             return
-        wide = max(range(n), key=lambda k: max(cell(r, k) for r in part) - min(cell(r, k) for r in part))
+        wide = max(range(n), key=lambda k: max(p[0][k] for p in part) - min(p[0][k] for p in part))
         sizes = Counter()
-        for r in part:
-            sizes[cell(r, wide) << 32 | r["tie"]] += r["size"]
+        for cells, tie, members in part:
+            sizes[cells[wide] << 48 | tie] += sum(r["size"] for r in members)
         want, seen = max(1, round(sum(sizes.values()) * (leaves // 2) / leaves)), 0
         for key in sorted(sizes):
             if seen + sizes[key] >= want:
                 limit = key + (seen + sizes[key] - want <= want - seen)
                 break
             seen += sizes[key]
-        split([r for r in part if (cell(r, wide) << 32 | r["tie"]) < limit], leaves // 2, first)
-        split([r for r in part if (cell(r, wide) << 32 | r["tie"]) >= limit], leaves - leaves // 2, first + leaves // 2)
+        split([p for p in part if (p[0][wide] << 48 | p[1]) < limit], leaves // 2, first)
+        split([p for p in part if (p[0][wide] << 48 | p[1]) >= limit], leaves - leaves // 2, first + leaves // 2)
 
-    split(rows, shards, 0)
+    split(parts, shards, 0)
     return out
 
 
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_shards(session, shards):
-    docs = awkward(session).select(*[c.split()[0] for c in SCHEMA.split(", ")]).unionByName(session.createDataFrame([(k + 100, *r[1:]) for k, r in enumerate(near_family(n=90))], SCHEMA))
+    family = [(k + 100, *r[1:]) for k, r in enumerate(near_family(n=90))]
+    copies = [(k + 300, family[k % 7][1], "de" if k % 2 else None, f"s{k % 3}", 1) for k in range(40)]
+    docs = awkward(session).select(*[c.split()[0] for c in SCHEMA.split(", ")]).unionByName(session.createDataFrame(family + copies, SCHEMA))
     got = kdtree.kd_shards(docs, dimensions(), shards=shards).collect()
-    want = shards_plainly(kdtree.points(docs, dimensions()).collect(), shards, 3)
+    want = shards_plainly(kdtree.points(docs, dimensions()).withColumn("dealt", F.xxhash64("doc_id")).collect(), shards, 3)
     assert {(r.doc_id, r.text_crc32): r.shard for r in got} == want
     slots = defaultdict(list)
     for r in got:
@@ -260,6 +274,20 @@ def test_shards(session, shards):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == docs.count()
 
 
+def test_copies_share_a_shard(session):
+    """A crowd of a third of all rows is divided among the shards it fills; light groups stay whole, whatever their metadata."""
+    light = [(k, f"text {k % 400} " + "w" * (k % 400 % 50), ["en", "de", None][k % 3], f"s{k % 5}", 1) for k in range(1200)]
+    crowd = [(k + 5000, "the same text again " * 2, ["en", "fr"][k % 2], f"s{k % 4}", 1) for k in range(600)]
+    got = kdtree.kd_shards(session.createDataFrame(light + crowd, SCHEMA), dimensions(), shards=6).collect()
+    sizes, shards_of = Counter(), defaultdict(set)
+    for r in got:
+        sizes[r.shard] += r["size"]
+        shards_of[r.text_crc32].add(r.shard)
+    crowds = [s for s in shards_of.values() if len(s) > 1]
+    assert len(got) == 1800 and len(shards_of) == 401 and len(crowds) == 1 and len(crowds[0]) <= 4
+    assert max(sizes.values()) - min(sizes.values()) <= 4 * kdtree.SLACK * sum(sizes.values()) / 6
+
+
 def test_shards_reach_target_bytes(session, tmp_path):
     docs = session.createDataFrame(near_family(n=120), SCHEMA)
     placed = kdtree.kd_shards(clash(docs), dimensions(), target_bytes=8_000)

@@ -1,8 +1,10 @@
 """Shards as leaves of a k-d tree, split at weighted medians until they reach the target bytes.
 
-A document is a point of metadata. Each level splits all open nodes at once: the widest dimension of each node is an
-aggregate, and its weighted median is found digit by digit from histograms of a 48-bit key (16 bits of the dimension,
-then 32 hashed bits that part equal values), so no node is sorted or gathered and a value that holds a third of all
+The points of the tree are groups of equal texts, with the least metadata of their rows, so that copies share a shard.
+A group heavier than a documented part of a shard is dealt by hashed ids to pieces of that size, which lie next to each
+other. Each level splits all open nodes at once: the widest dimension of each node is an aggregate, and its weighted
+median is found digit by digit from histograms of a 63-bit key (15 bits of the dimension, 32 hashed bits of the text
+that part equal values, 16 bits of the piece), so no node is sorted or gathered and a value that holds a third of all
 rows is split like any other. Only one row per node comes to the driver.
 """
 
@@ -16,8 +18,10 @@ from pyspark.sql.window import Window
 
 from watchloom.llm.common import read_table, written
 
-#: Bits of a histogram's digit; digits of a key.
-DIGIT, DIGITS = 16, 3
+#: Bits of a histogram's digit; digits of a key; bits of a dimension in it, so that keys are not negative.
+DIGIT, DIGITS, CELL = 16, 4, 15
+#: The part of a shard's bytes up to which a group of equal texts is not divided.
+SLACK = 1 / 32
 #: Rows that are numbered together.
 RUN_ROWS = 1024
 
@@ -34,24 +38,32 @@ class Node:
 
 
 def points(docs: DataFrame, dimensions: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, tie and one double per dimension of every row; null values count as least."""
+    """doc_id, size, text_crc32, a 128-bit hash of the text and one double per dimension of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(id_col), F.crc32(text.cast("binary"))).bitwiseAND(0xFFFFFFFF).alias("tie"),
+        F.xxhash64(text).alias("h1"),
+        F.xxhash64(F.lit("kd"), text).alias("h2"),
         *[c.cast("double").alias(f"d{k}") for k, c in enumerate(dimensions.values())],
     )
 
 
-def kd_shards(docs: DataFrame, dimensions: dict[str, Column], target_bytes: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _piece(pieces: Column) -> Column:
+    """The piece of its group that a row belongs to; rows that equal in id and text share it."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), pieces), F.lit(0).cast("long"))
+
+
+def kd_shards(docs: DataFrame, dimensions: dict[str, Column], target_bytes: int | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes and one), text_crc32, shard, slot (gapless from 0 in its shard).
 
     Give ``target_bytes`` (then there are as many leaves as the total asks for) or the number of ``shards``. A node
-    of k leaves is split so that its halves hold bytes in the proportion of their leaves, to within one document and
-    rows that equal it in id and text, which stay together. Null texts have size 1, null ids are ids, other columns
-    are ignored; with fewer documents than leaves some leaves are empty, and an empty table gives no rows.
+    of k leaves is split so that its halves hold bytes in the proportion of their leaves, to within half a piece.
+    Rows of equal text share a shard while they weigh no more than ``slack`` of one; heavier groups are divided where
+    a split needs it, into pieces of about that weight (65,536 at most) that hold rows equal in id and text together.
+    Null texts equal empty ones and have size 1, null ids are ids, null values count as least, other columns are
+    ignored; with fewer pieces than leaves some leaves are empty, and an empty table gives no rows.
     """
     if (target_bytes is None) == (shards is None):
         raise ValueError("give target_bytes or shards")
@@ -63,14 +75,27 @@ def kd_shards(docs: DataFrame, dimensions: dict[str, Column], target_bytes: int
     cells = []
     for k in range(n):
         lo, hi = bounds[f"min{k}"], bounds[f"max{k}"]
-        scale = 0.0 if lo is None or hi == lo else ((1 << DIGIT) - 1) / (hi - lo)
+        scale = 0.0 if lo is None or hi == lo else ((1 << CELL) - 1) / (hi - lo)
         cells.append(F.coalesce(F.floor((F.col(f"d{k}") - F.lit(lo or 0.0)) * F.lit(scale)), F.lit(0)).cast("long"))
-    rows = rows.select("doc_id", "size", "text_crc32", "tie", F.array(*cells).alias("cells"), F.lit(0).alias("node"))
+    groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("size"), *[F.min(f"d{k}").alias(f"d{k}") for k in range(n)])
+    groups = written(groups.select("h1", "h2", "size", F.array(*cells).alias("cells")), "kd-groups")
+    weight = max(1, int(total / leaves * slack))
+    # The groups above weight are no more than leaves / slack, since their bytes add up to the total at most.
+    heavy = groups.where(F.col("size") > weight).select("h1", "h2", "cells", F.least(F.ceil(F.col("size") / weight), F.lit(1 << DIGIT)).cast("long").alias("pieces"))
+    dealt = rows.join(F.broadcast(heavy), ["h1", "h2"]).withColumn("piece", _piece(F.col("pieces")))
+    parts = dealt.groupBy("h1", "h2", "piece", "cells").agg(F.sum("size").alias("size"))
+    light = groups.where(F.col("size") <= weight).withColumn("piece", F.lit(0).cast("long"))
+    tree = written(light.unionByName(parts), "kd-pieces")
+    tie = F.shiftleft(F.col("h1").bitwiseAND(0xFFFFFFFF), DIGIT).bitwiseOR(F.col("piece"))
+    tree = tree.select("h1", "h2", "piece", "size", tie.alias("tie"), "cells", F.lit(0).alias("node"))
     nodes = [Node(leaves, total, 0)]
     while any(x.shards > 1 for x in nodes):
-        nodes, rows = _split(nodes, rows, n)
+        nodes, tree = _split(nodes, tree, n)
     first = F.array(*[F.lit(x.first) for x in nodes])
-    return _number(rows.select("doc_id", "size", "text_crc32", F.element_at(first, F.col("node") + 1).alias("shard")), leaves, bounds["rows"])
+    placed = tree.select("h1", "h2", "piece", F.element_at(first, F.col("node") + 1).alias("shard"))
+    named = rows.select("doc_id", "size", "text_crc32", "h1", "h2").join(F.broadcast(heavy.select("h1", "h2", "pieces")), ["h1", "h2"], "left")
+    named = named.withColumn("piece", _piece(F.col("pieces"))).join(placed, ["h1", "h2", "piece"])
+    return _number(named.select("doc_id", "size", "text_crc32", "shard"), leaves, bounds["rows"])
 
 
 def _split(nodes: list[Node], rows: DataFrame, n: int) -> tuple[list[Node], DataFrame]:
@@ -85,7 +110,8 @@ def _split(nodes: list[Node], rows: DataFrame, n: int) -> tuple[list[Node], Data
     prefix, below = [0] * len(nodes), [0] * len(nodes)
     for level in reversed(range(DIGITS)):
         shift = DIGIT * level
-        mine = F.shiftright("key", shift + DIGIT) == F.element_at(F.array(*[F.lit(p).cast("long") for p in prefix]), F.col("node") + 1)
+        # The top digit has no prefix; a shift by all 64 bits would be one by none.
+        mine = F.lit(True) if level == DIGITS - 1 else F.shiftright("key", shift + DIGIT) == F.element_at(F.array(*[F.lit(p).cast("long") for p in prefix]), F.col("node") + 1)
         live = keyed.where(F.element_at(F.array(*[F.lit(x.shards > 1) for x in nodes]), F.col("node") + 1) & mine)
         bins = live.groupBy("node", F.shiftright("key", shift).bitwiseAND((1 << DIGIT) - 1).alias("digit")).agg(F.sum("size").alias("size"))
         upto = F.sum("size").over(Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
