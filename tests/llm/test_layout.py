@@ -69,6 +69,15 @@ def test_equal_substrings_share_names_at_any_offset():
     assert phrases.fingerprints([text] * 2 + [""])[:2] == [phrases.fingerprints([text])[0]] * 2
 
 
+def test_likeness_has_no_step_at_any_length():
+    """A text and the same with a tenth more stay alike whatever their length."""
+    long = " ".join(r[1] for r in near_family(n=12))
+    for n in range(30, 400, 10):
+        pairs = [(long[at : at + n], long[at : at + n + max(3, n // 10)]) for at in range(0, 1200, 150)]
+        found = [likeness(*phrases.fingerprints(list(p))) for p in pairs]
+        assert sum(found) / len(found) > 0.5, n
+
+
 @pytest.mark.parametrize("range_rows", [3, 1000])
 def test_next_and_edited(session, range_rows, monkeypatch):
     monkeypatch.setattr(phrases.neighbour_ranges, "__defaults__", ("doc_id", "text", range_rows))
@@ -86,6 +95,12 @@ def test_next_and_edited(session, range_rows, monkeypatch):
     assert phrases.fingerprint_documents(awkward(session)).count() == len(ROWS)
 
 
+def test_a_range_is_a_task(session):
+    docs = session.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    found = phrases.neighbour_ranges(docs, range_rows=40).select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(found) == len({r.task for r in found}) == len({r.part for r in found}) == 10
+
+
 PAGES = [
     (1, "http://a/1", "<p>" + "long page " * 200), (2, "http://a/2", "<p>" + "long page " * 200), (3, None, "<p>" + "long page " * 200), (3, None, "<p>" + "long page " * 200),
     (4, "http://b c\n/", "short"), (5, "http://b", "short"), (6, "http://c", None), (7, None, ""), (None, "http://n", "<p>" + "long page " * 200),

@@ -6,8 +6,9 @@ the labels. A phrase is named by the hash of its symbols; the names are the symb
 substrings therefore have equal names inside, wherever they stand, and an edit changes only names near it. Runs of one
 symbol become one symbol with their length first, since coin tossing needs neighbours that differ.
 
-A fingerprint is a sketch of a text's names from the levels at which phrases are long enough to be telling: 64 minima
-of hashed names, 16 bits each. The likeness of two fingerprints is the share of equal minima.
+A fingerprint is a sketch of a text's names of all levels, the same ones for texts of every length: 64 minima of hashed
+names, 16 bits each. Short texts have telling names at the lower levels, long ones at the higher. The likeness of two
+fingerprints is the share of equal minima.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from watchloom.llm.common import pieces, read_table, runs
 from watchloom.llm.wordhash import mix
 
-#: Levels that are parsed, and the first whose names are sketched; texts with fewer names there start lower.
-LEVELS, TELLING, LEAST_NAMES = 5, 3, 8
+#: Levels that are parsed; their phrases have some three to three hundred characters.
+LEVELS = 5
 MINIMA = 64
 #: Rows between two borders of the id ranges that are dealt to tasks.
 RANGE_ROWS = 10_000
@@ -106,9 +107,8 @@ def fingerprints(texts: list[str]) -> list[str]:
         symbols, begins = parse(symbols, begins)
         levels.append((symbols, np.append(begins, len(symbols))))
     for j, k in enumerate(full):
-        own = [names[at[j] : at[j + 1]] for names, at in levels]
-        start = next((k for k in range(TELLING - 1, 0, -1) if len(own[k]) >= LEAST_NAMES), 0)
-        found = np.unique((np.concatenate(own[start:]) >> np.uint64(32)).astype(np.uint32))
+        own = np.concatenate([names[at[j] : at[j + 1]] for names, at in levels])
+        found = np.unique((own >> np.uint64(32)).astype(np.uint32))
         least = None
         for first in range(0, len(found), 4096):
             part = ((found[first : first + 4096] ^ _SEEDS) * _FACTORS).min(axis=1)
@@ -162,7 +162,7 @@ def neighbour_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # One row per range of ``range_rows`` documents: some megabytes for a billion, so its rows go to the texts.
     first = rows.withColumn("head", order).join(F.broadcast(guests), "head").groupBy("head", "doc_id", "part").agg(F.min("text").alias("text"))
     extra = first.select("doc_id", "text", "part", F.lit(True).alias("guest"))
-    return own.unionByName(extra).repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "guest", order.desc(), "text")
+    return own.unionByName(extra).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "guest", order.desc(), "text")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
