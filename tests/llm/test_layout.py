@@ -172,6 +172,54 @@ def test_rake(session):
         assert dict(sums) == pytest.approx(targets[d], abs=0.02 if d < 2 else 1e-9)
 
 
+def mixed_cells(session, rows: list[tuple]):
+    """Documents with so many words per (source, lang, topic), ten words each."""
+    docs = [(k, "w " * 9 + "w", lang, source, topic) for k, (source, lang, topic) in enumerate(r[:3] for r in rows for _ in range(r[3]))]
+    return session.createDataFrame(docs, "doc_id long, text string, lang string, source string, kind string")
+
+
+CELLS = [("a", "x", "p", 60), ("a", "y", "p", 10), ("b", "x", "q", 20), (None, "y", "q", 8), ("b", "y", "p", 2)]
+
+
+def test_mix_to_given_targets(session):
+    wanted = {"source": {"a": 1, "b": 1, "gone": 5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.6, "q": 0.4}}
+    got = raking.mix_sources(mixed_cells(session, CELLS), topic=F.col("kind"), targets=wanted, tolerance=1e-4, budget=330).collect()
+    total = sum(r.n_tokens for r in got)
+    chances = {(r.source, r.lang, r.topic): r.probability for r in got}
+    tokens = Counter()
+    for r in got:
+        tokens[r.source, r.lang, r.topic] += r.n_tokens
+    aims = [{"a": 0.46, "b": 0.46, None: 0.08}, {"x": 0.5, "y": 0.5}, {"p": 0.6, "q": 0.4}]
+    weights = rake_plainly(tokens, aims, 400)
+    factor = {c: w / tokens[c] for c, w in weights.items()}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(v * min(1, mid * factor[c]) for c, v in tokens.items()) < 330 else (lo, mid)
+    assert total == 1100 and chances == pytest.approx({c: min(1, lo * f) for c, f in factor.items()}, abs=2e-3)
+    assert max(chances.values()) == 1 and sum(r.probability * r.n_tokens for r in got) == pytest.approx(330)
+    every = raking.mix_sources(mixed_cells(session, CELLS), topic=F.col("kind"), budget=5000).collect()
+    assert all(r.probability == 1 and r.sampled for r in every)
+
+
+def test_mix_with_targets_out_of_reach(session):
+    """Each source has one language of its own, so the two can't have different shares."""
+    docs = mixed_cells(session, [("a", "x", "p", 5), ("b", "y", "p", 5)])
+    with pytest.raises(ValueError, match="largest marginal error is 0.[45]"):
+        raking.mix_sources(docs, topic=F.col("kind"), targets={"source": {"a": 9, "b": 1}, "lang": {"x": 5, "y": 5}}, tolerance=1e-3)
+    near = mixed_cells(session, [("a", "x", "p", 50), ("b", "y", "p", 50), ("a", "y", "p", 5), ("b", "x", "p", 5)])
+    got = raking.mix_sources(near, topic=F.col("kind"), targets={"source": {"a": 6, "b": 4}, "lang": {"x": 5, "y": 5}}, tolerance=1e-3).collect()
+    shares = Counter()
+    for r in got:
+        shares[r.source] += r.probability * r.n_tokens
+    assert shares["a"] / sum(shares.values()) == pytest.approx(0.6, abs=2e-3)
+    with pytest.raises(ValueError, match="no such"):
+        raking.mix_sources(docs, targets={"author": {"a": 1}})
+    with pytest.raises(ValueError, match="positive"):
+        raking.mix_sources(docs, targets={"lang": {"x": 0}})
+    assert raking.mix_sources(empty(session), targets={"lang": {"x": 1}}, tolerance=1e-6, budget=5).count() == 0
+
+
 def test_mix_awkward(session):
     got = raking.mix_sources(awkward(session)).collect()
     cells = Counter()

@@ -16,6 +16,8 @@ from watchloom.llm.common import read_table, written
 DIMENSIONS = ("source", "lang", "topic")
 #: Passes over the three marginals, and the exponent that flattens the observed shares to target shares.
 ROUNDS, FLATTEN = 8, 0.7
+#: Passes after which raking to a tolerance gives up.
+MOST_ROUNDS = 400
 #: Forms of text, the first that matches; the patterns mean the same to Java and RE2.
 TOPICS = (
     ("tabular", r"( \| [^ ]+){4}"),
@@ -48,14 +50,19 @@ def flattened(cells: DataFrame, dimension: str, power: float = FLATTEN) -> DataF
     return sums.select(dimension, (F.col("target") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, start: str | None = None) -> DataFrame:
     """``cells`` with column weight: shares that meet each dimension's targets as nearly as the cells allow.
 
+    The weights begin as token shares, or as those in column ``start``, which goes on an earlier run.
+
     ``targets`` has (category, target) per dimension; a category without one keeps its observed share, null is a
     category of its own, and targets of categories that don't occur have nothing to scale. Cells need positive tokens.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
-    out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    if start:
+        out = cells.withColumn("weight", F.col(start))
+    else:
+        total = cells.agg(F.sum("tokens")).first()[0] or 1
+        out = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
     for d, wanted in targets.items():
         share = F.sum("weight").over(Window.partitionBy(d))
         wanted = wanted.select(F.col(d).alias("_category"), F.col("target").alias(f"_{d}"))
@@ -67,16 +74,86 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return out.select(*cells.columns, "weight")
 
 
+def marginal_error(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest distance of a category's raked weight from its target; categories without a target don't count."""
+    most = 0.0
+    for d, wanted in targets.items():
+        sums = raked.groupBy(F.col(d).alias("_category")).agg(F.sum("weight").alias("_weight"))
+        far = sums.join(wanted, F.col("_category").eqNullSafe(F.col(d))).agg(F.max(F.abs(F.col("_weight") - F.col("target")))).first()[0]
+        most = max(most, far or 0.0)
+    return most
+
+
+def rake_until(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+    """``cells`` with column weight after as many passes as ``tolerance`` asks for, and the largest marginal error.
+
+    Passes come in runs of ``ROUNDS``, each written before the next. They end above ``tolerance`` where a run takes less
+    than a hundredth off the error, as with targets that no weights of these cells meet, or after ``most_rounds``.
+    """
+    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    out, done = cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), 0
+    error, before = marginal_error(out, targets), float("inf")
+    while tolerance < error < 0.99 * before and done < most_rounds:
+        step = rake(out.select(*cells.columns, F.col("weight").alias("_from")), targets, start="_from")
+        out, done = written(step.drop("_from"), "mix-rake"), done + ROUNDS
+        error, before = marginal_error(out, targets), error
+    return out, error
+
+
+def wanted_shares(cells: DataFrame, dimension: str, weights: DataFrame | dict[str | None, float]) -> DataFrame:
+    """Target shares from weights of some of a dimension's categories, as a dictionary or rows (category, target).
+
+    Categories that occur and have no weight keep their token share; the others divide the rest of one in proportion
+    to their weights, which must be positive. Weights of categories that don't occur are left out.
+    """
+    if isinstance(weights, dict):
+        kind = cells.schema[dimension].dataType.simpleString()
+        weights = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], f"`{dimension}` {kind}, target double")
+    sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("_tokens"))
+    given = weights.select(F.col(dimension).alias("_category"), F.col("target").cast("double").alias("_wanted"))
+    rows = sums.join(given, F.col(dimension).eqNullSafe(F.col("_category")), "left")
+    of = rows.agg(F.sum("_tokens").alias("all"), F.sum(F.when(F.col("_wanted").isNull(), F.col("_tokens"))).alias("kept"), F.sum("_wanted").alias("wanted"), F.min("_wanted").alias("least")).first()
+    if of["least"] is not None and of["least"] <= 0:
+        raise ValueError(f"target weights of {dimension} must be positive")
+    every = of["all"] or 1.0
+    rest = (1 - (of["kept"] or 0.0) / every) / (of["wanted"] or 1.0)
+    return rows.select(dimension, F.coalesce(F.col("_wanted") * F.lit(rest), F.col("_tokens") / F.lit(every)).alias("target"))
+
+
+def budget_scale(raked: DataFrame, budget: float) -> float:
+    """The number c for which the chances min(1, c * factor) take ``budget`` tokens from the cells in expectation.
+
+    Cells whose chance reaches one are taken whole and the others share what is left, until no further cell is
+    reached; each step is one aggregate of three numbers. A budget of all tokens or more takes everything.
+    """
+    chance, scale, whole = F.col("factor"), 0.0, -1
+    while True:
+        full = chance * F.lit(scale) >= 1
+        got = raked.agg(
+            F.count_if(full).alias("whole"), F.sum(F.when(full, F.col("tokens"))).alias("taken"), F.sum(F.when(~full, F.col("tokens") * chance)).alias("open")
+        ).first()
+        if got["whole"] == whole or not got["open"]:
+            return scale
+        whole, scale = got["whole"], max(scale, (budget - (got["taken"] or 0)) / got["open"])
+
+
 def draw_number(id_column: Column, seed: str) -> Column:
     """A number in [0, 1) that an id and a seed decide."""
     named = F.concat(F.lit(seed), F.coalesce(id_column.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def with_mix(docs: DataFrame, topic: Column, tokens: Column, id_col: str = "doc_id", power: float = FLATTEN, seed: str = "mix:", into: str = "mix") -> DataFrame:
+def with_mix(docs: DataFrame, topic: Column, tokens: Column, id_col: str = "doc_id", power: float = FLATTEN, seed: str = "mix:", into: str = "mix",
+             targets: dict[str, DataFrame | dict[str | None, float]] | None = None, tolerance: float | None = None, budget: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` and a struct (topic, n_tokens, probability, sampled) as column ``into``.
 
-    A document's probability is its cell's raked weight over its token share, scaled so that the largest is one:
+    ``targets`` gives weights per dimension (source, lang, topic; see ``wanted_shares``); a dimension without them
+    aims at its observed shares to ``power``. With ``tolerance`` passes go on until every marginal share is that near
+    its target, and a ``ValueError`` names the error if the cells can't come so near; without it there are ``ROUNDS``
+    passes. ``budget`` is the number of tokens to expect in the sample: cells too small for their part are taken whole
+    and the others share the rest, so a rare cell doesn't shrink the sample.
+
+    A document's probability is its cell's raked weight over its token share, without a budget scaled so that the largest is one:
     the expected tokens of the sample meet the raked shares and no document is taken twice. Rows that repeat an id
     are drawn together. Null sources, languages and topics are categories, tokens must be positive, other columns
     stay as they are, and an empty table gives no rows.
@@ -86,24 +163,38 @@ def with_mix(docs: DataFrame, topic: Column, tokens: Column, id_col: str = "doc_
     cells = rows.groupBy(*[at[d].alias(d) for d in DIMENSIONS]).agg(F.sum(f"{into}.n_tokens").alias("tokens"))
     cells = written(cells, "mix-cells")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    raked = rake(cells, {d: flattened(cells, d, power) for d in DIMENSIONS})
+    given = targets or {}
+    if unknown := set(given) - set(DIMENSIONS):
+        raise ValueError(f"no such dimensions: {sorted(unknown)}")
+    aims = {d: wanted_shares(cells, d, given[d]) if d in given else flattened(cells, d, power) for d in DIMENSIONS}
+    if tolerance is None:
+        raked = rake(cells, aims)
+    else:
+        raked, error = rake_until(cells, aims, tolerance)
+        if error > tolerance:
+            raise ValueError(f"the cells don't meet the targets: the largest marginal error is {error:.3g}")
     raked = written(raked.withColumn("factor", F.col("weight") / (F.col("tokens") / F.lit(total))), "mix-raked")
-    most = raked.agg(F.max("factor")).first()[0] or 1.0
-    named = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], (F.col("factor") / F.lit(most)).alias("_mix_probability"))
+    scaled = F.col("factor") / F.lit(raked.agg(F.max("factor")).first()[0] or 1.0)
+    if budget is not None:
+        scaled = F.least(F.lit(1.0), F.col("factor") * F.lit(budget_scale(raked, budget)))
+    named = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], scaled.alias("_mix_probability"))
     chance, drawn = F.col("_mix_probability"), draw_number(F.col(id_col), seed)
     joined = rows.join(named, [at[d].eqNullSafe(F.col(f"_mix_{d}")) for d in DIMENSIONS])
     found = F.struct(F.col(f"{into}.topic"), F.col(f"{into}.n_tokens"), chance.alias("probability"), (drawn < chance).alias("sampled"))
     return joined.withColumn(into, found).drop(*named.columns)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power: float = FLATTEN, seed: str = "mix:") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power: float = FLATTEN, seed: str = "mix:", topic: Column | None = None, **options) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, sampled (see ``with_mix``).
 
-    The texts are read once; null texts have one token, other columns are ignored.
+    ``topic`` is any expression over the columns of ``docs``, by default the form of the text; ``options`` are the
+    targets, tolerance and budget of ``with_mix``. The texts are read once; null texts have one token, other columns
+    are ignored.
     """
     text = F.col(text_col)
-    tagged = docs.select(F.col(id_col).alias("doc_id"), "source", "lang", topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"))
-    mixed = with_mix(written(tagged, "mix-tagged"), F.col("topic"), F.col("n_tokens"), power=power, seed=seed)
+    topic = topic_of(text) if topic is None else topic
+    tagged = docs.select(F.col(id_col).alias("doc_id"), "source", "lang", topic.alias("topic"), tokens_of(text).alias("n_tokens"))
+    mixed = with_mix(written(tagged, "mix-tagged"), F.col("topic"), F.col("n_tokens"), power=power, seed=seed, **options)
     return mixed.select("doc_id", "source", "lang", "mix.topic", "mix.n_tokens", "mix.probability", "mix.sampled")
 
 
