@@ -10,6 +10,7 @@ from watchloom.operators.auth import failed_logins, linux_auth_events
 from watchloom.operators.cooldown import cooldown
 from watchloom.operators.diffs import fim_alerts, software_diff
 from watchloom.operators.hunt import Hunt, recent
+from watchloom.operators.intel import match_domain
 from watchloom.operators.rule_scan import scan_rules
 from watchloom.rules.detection import DetectionRule
 from watchloom.sinks.tables import shape_table, write_table
@@ -118,3 +119,14 @@ def test_late_event_counts_what_lies_before_it(monkeypatch):
     feed = lambda *ms: [r for f in alerts.handleInputRows(("k",), iter([pd.DataFrame({"category": "c", "timestamp_ms": ms, "event_id": ms})]), None) for r in f["event_id"]]
     assert feed(1_000, 1_050) == [] and feed(1_010) == [] and feed(1_060) == [1_060]
 
+
+def test_equal_domain_entries_take_the_earlier_loaded(spark):
+    """A feed that names a domain twice answers with the first entry, however its rows are dealt to tasks."""
+    feed = spark.createDataFrame(
+        [("domain", "bad.org", "high", "second", 7), ("domain", "bad.org", "low", "first", 2), ("domain", "org", "low", "wide", 1)],
+        "type string, value string, severity string, feed_source string, load_order long",
+    )
+    names = spark.createDataFrame([("domain", "www.bad.org"), ("domain", "bad.org"), ("domain", "good.org"), ("domain", "org.net")], "type string, value string")
+    for parts in (1, 3):
+        got = {r.value: r.feed_source for r in match_domain(names, feed.repartition(parts)).collect()}
+        assert got == {"www.bad.org": "first", "bad.org": "first", "good.org": "wide"}

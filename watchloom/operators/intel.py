@@ -93,7 +93,7 @@ def match_cidr(indicators: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def match_domain(indicators: DataFrame, feed: DataFrame) -> DataFrame:
-    """Exact domain, else the longest feed domain the name is a sub-domain of."""
+    """Exact domain, else the longest feed domain the name is a sub-domain of; of equal entries the earlier loaded."""
     labels = F.split("value", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
@@ -105,7 +105,7 @@ def match_domain(indicators: DataFrame, feed: DataFrame) -> DataFrame:
         names.select("value", F.explode(suffixes).alias("_suffix"))
         .join(answers, F.col("_suffix") == F.col("ioc_value"))
         .groupBy("value")
-        .agg(F.max_by(F.struct(*_ANSWER), F.length("ioc_value")).alias("_r"))
+        .agg(F.min(F.struct((-F.length("ioc_value")).alias("_rank"), "_order", *_ANSWER)).alias("_r"))
     )
     return indicators.filter("type = 'domain'").join(found, "value").select(
         *indicators.columns, *[F.col(f"_r.{c}").alias(c) for c in _ANSWER]

@@ -84,7 +84,7 @@ def event_counts(
     counts = security_events.groupBy(*on).agg(
         F.count("*").alias("event_count"),
         F.count_if(failure).alias("auth_failures"),
-        F.size(F.collect_set(F.when(failure & (user != ""), user))).cast("long").alias("auth_users"),
+        F.count_distinct(F.when(failure & (user != ""), user)).alias("auth_users"),
     )
     return features.join(counts, list(on), "left").fillna(0, ["event_count", "auth_failures", "auth_users"])
 
