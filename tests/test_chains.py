@@ -60,6 +60,24 @@ def test_threshold_alerts_equal_brute_force(spark, need, window, gap, segment_ro
     assert got == want
 
 
+@pytest.mark.parametrize("need,window,gap", [(3, 300, 60), (2, 60, 0), (4, 60, 60), (1, 0, 0)])
+def test_short_histories_with_cleared_windows_are_folded(spark, monkeypatch, need, window, gap):
+    from watchloom.operators import cooldown as module
+
+    sent = []
+    segments = module._fire_in_segments
+    monkeypatch.setattr(module, "_fire_in_segments", lambda rows, *rest: sent.append(rows.count()) or segments(rows, *rest))
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.randrange(400) * 2000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "device_id long, timestamp_ms long, event_id long").select(
+        "*", F.lit("c").alias("category"), F.lit("ip").alias("machine_ip"), F.lit("high").alias("severity"),
+        F.lit("r").alias("rule_name"), F.lit("text").alias("matched_text"))
+    alerts = threshold_alerts(df, [Threshold("c", need, window, gap)], tiebreak=["event_id"])
+    got = sorted((r.event_id, r.event_count) for r in alerts.collect())
+    assert got == sorted(a for k in range(40) for a in _alerts([(t, i) for d, t, i in rows if d == k], need, window * 1000, gap * 1000))
+    assert sent == [0 if window else len(rows)]
+
+
 def test_sliding_count_includes_the_edge_and_peers(spark):
     rows = [(1, "a", t) for t in (0, 1000, 300_000, 300_000, 300_001, 601_000)]
     df = spark.createDataFrame(rows, "device_id long, category string, timestamp_ms long")

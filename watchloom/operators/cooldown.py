@@ -285,7 +285,7 @@ def threshold_alerts(
     if simple:
         fires.append(_fires_by_window(of(simple), keys, simple, fold_rows, segment_rows))
     if coupled:
-        fires.append(_fires_by_chain(of(coupled), keys, coupled, segment_rows))
+        fires.append(_fires_by_chain(of(coupled), keys, coupled, fold_rows, segment_rows))
     all_fires = fires[0] if len(fires) == 1 else fires[0].unionByName(fires[1])
     return _alert_columns(used.join(all_fires, [*keys, "timestamp_ms", "_id"]).drop("_id"), thresholds)
 
@@ -309,16 +309,58 @@ def _fires_by_window(events, keys, thresholds, fold_rows, segment_rows):
     ).drop("_gap")
 
 
-def _fires_by_chain(events, keys, thresholds, segment_rows):
-    rows = _sized(
-        events.select(
-            *keys, "_id", F.col("timestamp_ms").cast("long").alias("_ms"),
-            _threshold_column(thresholds, "count").alias("_need"),
-            (_threshold_column(thresholds, "window_sec") * 1000).alias("_window"),
-            (_threshold_column(thresholds, "cooldown_sec") * 1000).alias("_cooldown"),
-        ),
-        keys,
+def _fold_chain(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fires of short histories: one fold over a bounded, sorted array of milliseconds per key.
+
+    ``counted``: keys, _ms, _n, _n_win (events of the window before this millisecond), _need, _cooldown. Of the events
+    of a millisecond the first one that completes the window since the last fire raises the alert; without a
+    cooldown every further ``need`` of them raise another one.
+    """
+    fire = "array<struct<_ms:bigint,_id:bigint,_first:bigint,_more:bigint>>"
+    zero = F.lit(0).cast("long")
+    start = F.struct(
+        F.lit(None).cast("long").alias("last"), zero.alias("prev"), zero.alias("seen"), F.array().cast(fire).alias("kept"))
+    need, gap, step = F.col("_need"), F.col("_cooldown"), F.greatest(F.lit(1).cast("long"), F.col("_need"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        own = F.greatest(F.lit(1).cast("long"), need - x["_n_win"], need + acc["prev"] - acc["seen"])
+        fires = (own <= x["_n"]) & (acc["last"].isNull() | (x["_ms"] - acc["last"] >= gap))
+        more = F.when(gap <= 0, ((x["_n"] - own - F.pmod(x["_n"] - own, step)) / step).cast("long")).otherwise(zero)
+        count = F.least(x["_n_win"] + own, acc["seen"] + own - acc["prev"])
+        hit = F.struct(x["_ms"].alias("_ms"), own.alias("_id"), count.alias("_first"), more.alias("_more"))
+        return F.struct(
+            F.when(fires, x["_ms"]).otherwise(acc["last"]).alias("last"),
+            F.when(fires, acc["seen"] + own + more * step).otherwise(acc["prev"]).alias("prev"),
+            (acc["seen"] + x["_n"]).alias("seen"),
+            F.when(fires, F.concat(acc["kept"], F.array(hit))).otherwise(acc["kept"]).alias("kept"))
+
+    return (
+        counted.groupBy(*keys, "_need", "_cooldown")
+        .agg(F.sort_array(F.collect_list(F.struct("_ms", "_n", "_n_win"))).alias("_all"))
+        .select(*keys, step.alias("_step"), F.explode(F.aggregate("_all", start, fold, lambda acc: acc["kept"])).alias("_f"))
+        .select(*keys, "_step", "_f.*", F.explode(F.sequence(zero, F.col("_f._more"))).alias("_nth"))
+        .select(*keys, "_ms", (F.col("_id") + F.col("_nth") * F.col("_step")).alias("_id"),
+                F.when(F.col("_nth") == 0, F.col("_first")).otherwise(F.col("_step")).alias("fired_count"))
     )
-    return _fire_in_segments(rows, keys, segment_rows).select(
-        *keys, F.col("_ms").alias("timestamp_ms"), "_id", F.col("fired_count").alias("event_count")
+
+
+def _fires_by_chain(events, keys, thresholds, fold_rows, segment_rows):
+    """(key, time, rank within the millisecond, count) of the events that raise an alert, cleared histories included."""
+    counted = cut(per_millisecond(events, keys, "timestamp_ms", {"_n": F.lit(1).cast("long")}))
+    sized = counted.join(
+        counted.groupBy(*keys).agg(
+            F.count("*").alias("_times"), F.sum("_n").alias("_rows"),
+            F.min("timestamp_ms").cast("long").alias("_lo"), F.max("timestamp_ms").cast("long").alias("_hi")),
+        keys,
+    ).select(
+        *keys, F.col("timestamp_ms").cast("long").alias("_ms"), "_n", "_times", "_rows", "_lo", "_hi",
+        _threshold_column(thresholds, "count").alias("_need"),
+        (_threshold_column(thresholds, "window_sec") * 1000).alias("_window"),
+        (_threshold_column(thresholds, "cooldown_sec") * 1000).alias("_cooldown"),
     )
+    folded = (F.col("_times") <= fold_rows) & (F.col("_window") > 0)
+    short = trailing_sums(sized.filter(folded), keys, "_ms", ["_n"], F.col("_window"), include_now=False)
+    # The events of a millisecond are numbered from 1, so their counts say which there are.
+    long = sized.filter(~folded).withColumn("_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n", "_times")
+    fires = _fold_chain(short, keys).unionByName(_fire_in_segments(long, keys, segment_rows))
+    return fires.select(*keys, F.col("_ms").alias("timestamp_ms"), "_id", F.col("fired_count").alias("event_count"))
