@@ -8,10 +8,11 @@ exploded and tagged, so the whole family costs one narrow stage.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchloom.functions.columns import compact, explode_once, fixed
+from watchloom.functions.columns import compact, explode_once, fixed, held
 from watchloom.functions.mitre import mitre_tag
 from watchloom.functions.severity import z_confidence
 from watchloom.functions.text import match_count
@@ -41,6 +42,31 @@ SIGNATURES = {
     "password_spray": r"password\s*spray|single\s+password.*multiple\s+account|spray\s+attack",
 }
 
+# Texts of which one, in small letters, is in every match of the signature.
+NEEDLES = {
+    "syn_flood": ("syn", "backlog"),
+    "conn_table_full": ("table full", "too many open"),
+    "amplification": ("amplif", "reflect", "monlist"),
+    "conn_refused": ("refused",),
+    "conn_reset": ("reset by", "rst"),
+    "scan_tool": ("map", "scan"),
+    "service_probe": ("service probe", "banner grab", "version detection", "fingerprint"),
+    "cobalt_strike": ("cobalt", "beacon.dll"),
+    "meterpreter": ("meterpreter", "reverse"),
+    "beacon_pattern": ("interval", "beacon", "heartbeat"),
+    "dns_txt_query": ("dns", "type65", "iodine"),
+    "internal_scan": ("scan",),
+    "pass_the_hash": ("hash", "pth", "ntlm", "sekurlsa"),
+    "pass_the_ticket": ("ticket",),
+    "smb_lateral": ("smb", "admin$", "ipc$"),
+    "rdp_lateral": ("rdp", "mstsc", "remote desktop"),
+    "wmi_exec": ("wmi", "win32_process"),
+    "psexec": ("exec", "remcom"),
+    "dns_tunnel": ("dns", "iodine", "encoded"),
+    "credential_stuffing": ("credential", "multiple", "bulk"),
+    "password_spray": ("spray", "single"),
+}
+
 # Optional stricter reset signature: RST only as a word of its own.
 WORD_BOUNDED_RESET = r"connection reset by peer|\bRST\b|reset by [\d.]+"
 
@@ -113,33 +139,47 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _may(name: str) -> Column:
+    """Whether the text can match at all: a search for fixed texts is far cheaper than the pattern."""
+    return reduce(lambda a, b: a | b, [F.col("_small").contains(n) for n in NEEDLES[name]])
+
+
+def _count(text: str, name: str, pattern: str | None = None) -> Column:
+    return F.when(_may(name), match_count(text, pattern or SIGNATURES[name])).otherwise(0)
+
+
+def _with_small(rows: DataFrame, text: str) -> DataFrame:
+    return held(rows, _small=F.lower(text))
+
+
 def log_detectors(text: str = "raw_log", limits: TrafficLimits = TrafficLimits()) -> list[Column]:
-    """Detectors that need only the log chunk."""
+    """Detectors that need only the log chunk (and, as ``_small``, the same in small letters)."""
     log = F.col(text)
     matched = lambda name: F.regexp_extract(log, f"(?i){SIGNATURES[name]}", 0)
     out = [
-        F.when(F.coalesce(log.rlike(f"(?i){SIGNATURES[name]}"), F.lit(False)),
+        F.when(F.coalesce(_may(name) & log.rlike(f"(?i){SIGNATURES[name]}"), F.lit(False)),
                _threat(category, sub, sev, conf, desc, matched(name)))
         for name, category, sub, sev, conf, desc in ONE_MATCH
     ]
-    refused = match_count(text, SIGNATURES["conn_refused"])
+    refused = _count(text, "conn_refused")
     out.append(F.when(refused >= limits.refused_min, _threat(
         "portscan", "portscan_sequential", "medium",
         F.least(F.lit(0.9), 0.5 + (refused - limits.refused_min) * 0.05),
         _text("High rate of refused connections (", refused, ") -- possible port scan"),
         _text("connection_refused_count=", refused))))
-    resets = match_count(text, limits.reset_pattern)
+    known = limits.reset_pattern in (SIGNATURES["conn_reset"], WORD_BOUNDED_RESET)
+    resets = _count(text, "conn_reset", limits.reset_pattern) if known else match_count(text, limits.reset_pattern)
     out.append(F.when(resets >= limits.reset_min, _threat(
         "portscan", "portscan_stealth", "medium",
         F.least(F.lit(0.85), 0.5 + (resets - limits.reset_min) * 0.05),
         _text("High RST rate (", resets, ") -- possible stealth scan"),
         _text("reset_count=", resets))))
-    scans = match_count(text, SIGNATURES["internal_scan"])
+    scans = _count(text, "internal_scan")
     out.append(F.when(scans >= limits.internal_scan_min, _threat(
         "lateral_movement", "lateral_internal_scan", "high",
         F.least(F.lit(0.9), 0.5 + scans * 0.08),
         _text("Internal subnet scanning detected (", scans, " indicators)"), matched("internal_scan"))))
-    smb = match_count(text, SIGNATURES["smb_lateral"]) + match_count(text, SIGNATURES["psexec"])
+    smb = _count(text, "smb_lateral") + _count(text, "psexec")
     out.append(F.when(smb >= limits.smb_min, _threat(
         "lateral_movement", "lateral_smb", "high", 0.75,
         "SMB-based lateral movement indicators (PsExec/admin shares)",
@@ -178,8 +218,8 @@ def baseline_detectors(text: str = "raw_log", limits: TrafficLimits = TrafficLim
 
     fails, z_auth = c("auth_failures"), c("auth_failures_z")
     spray = (
-        F.when(match_count(text, SIGNATURES["password_spray"]) > 0, "bruteforce_password_spray")
-        .when(match_count(text, SIGNATURES["credential_stuffing"]) > 0, "bruteforce_credential_stuffing")
+        F.when(_count(text, "password_spray") > 0, "bruteforce_password_spray")
+        .when(_count(text, "credential_stuffing") > 0, "bruteforce_credential_stuffing")
         .when(c("auth_users") >= limits.spray_users, "bruteforce_password_spray")
         .otherwise("bruteforce_standard")
     )
@@ -224,11 +264,11 @@ def classify(
 
 def classify_logs(rows: DataFrame, text: str = "raw_log", limits: TrafficLimits = TrafficLimits(),
                   keep: tuple[str, ...] = ("device_id", "timestamp_ms", "machine_ip")) -> DataFrame:
-    return classify(rows, log_detectors(text, limits), keep)
+    return classify(_with_small(rows, text), log_detectors(text, limits), keep)
 
 
 def classify_traffic(rows: DataFrame, text: str = "raw_log", limits: TrafficLimits = TrafficLimits(),
                      keep: tuple[str, ...] = ("device_id", "timestamp_ms", "machine_ip")) -> DataFrame:
     """The full classifier. A device's first report only seeds its baselines."""
     reports = rows.filter(F.col("seq") > 1)
-    return classify(reports, [*baseline_detectors(text, limits), *log_detectors(text, limits)], keep)
+    return classify(_with_small(reports, text), [*baseline_detectors(text, limits), *log_detectors(text, limits)], keep)

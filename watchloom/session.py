@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings that hold for laptops and clusters alike; the number of shuffle
 # partitions is left to the caller because AQE coalesces from above.
@@ -23,6 +23,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
 
+# Rows and stored bytes that a task on a table's rows gets at most.
+TASK_ROWS = 250_000
+TASK_BYTES = 8 << 20
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on, for a session someone else made."""
@@ -49,13 +53,23 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the slots when its files yield fewer splits than there are.
+    """Spread a scan over tasks of bounded size when its splits don't.
 
-    A few megabytes in one Parquet row group would otherwise keep one core busy
-    with all regexes; a scan of many files has enough splits and is left alone.
+    Splits are cut by bytes but hold whole Parquet row groups: a few megabytes, or a long row group among
+    many empty splits, would otherwise keep one core busy with all regexes. The footers say how many rows each split has; a
+    scan with rows for every slot and none with more than a task's share is left alone.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    splits = df.select(F.spark_partition_id().alias("split"), "_metadata.file_path", "_metadata.file_size").groupBy("split", "file_path").agg(
+        F.count("*").alias("rows"), F.max("file_size").alias("size"))
+    sums = splits.groupBy("split").agg(F.sum("rows").alias("rows")).agg(
+        F.count("*").alias("busy"), F.max("rows").alias("largest"), F.sum("rows").alias("rows")).first()
+    stored = splits.groupBy("file_path").agg(F.max("size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = sums["rows"] or 0
+    share = min(TASK_ROWS, max(1, TASK_BYTES * rows // max(1, stored)))
+    if sums["busy"] >= slots and sums["largest"] <= share:
+        return df
+    return df.repartition(max(slots, -(-rows // share)))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
