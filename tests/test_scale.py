@@ -79,3 +79,21 @@ def test_patterns_are_tried_only_on_texts_with_a_needle(spark):
     found = classify_logs(logs)
     assert [(r.device_id, r.sub_type, r.evidence) for r in found.collect()] == [(1, "lateral_smb", "Admin$ PSEXEC")]
     assert "Contains(_small" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entropy_of_characters_counts_code_points(spark, monkeypatch):
+    from collections import Counter
+    from math import log2
+
+    from watchloom.functions import text
+
+    texts = ["", None, "aab", "a\nbéé", "\U0001f600\U0001f600x中", "\x00\x00z", "abc" * 5000, "".join(map(chr, range(300, 3000)))]
+    bits = lambda t: None if t is None else -sum(n / len(t) * log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").coalesce(1)
+    shown = df.select("i", text.shannon_entropy("s").alias("h"))
+    # One table of counts per batch, no interpreted fold over the characters.
+    assert "aggregate(" not in shown._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.h for r in shown.orderBy("i").collect()] == [None if t is None else pytest.approx(bits(t)) for t in texts]
+    monkeypatch.setattr(text, "COUNTS", 5)
+    got = text._char_entropies([t if t is None else t.encode() for t in texts])
+    assert [float(g) for g in got if g == g] == pytest.approx([bits(t) for t in texts if t is not None])

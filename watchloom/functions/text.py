@@ -1,8 +1,8 @@
-"""Text extraction and string statistics, all in the JVM but for the entropy of bytes."""
+"""Text extraction and string statistics, all in the JVM but for entropies."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ HASH_PATTERN = r"\b([a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b"
 URL_PATTERN = r"(?i)https?://[^\s\"'<>]+"
 EMAIL_PATTERN = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
 
+# Counts of characters that one table holds.
+COUNTS = 1 << 21
+
 
 def _all(text: Column | str, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(as_column(text), F.lit(pattern), F.lit(group))
@@ -59,24 +62,32 @@ def match_count(text: Column | str, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(as_column(text), F.lit(f"(?i){pattern}")), F.lit(0))
 
 
-def _bits(symbols: Column, n: Column) -> Column:
-    """Entropy of a symbol array of length n: log2 n - sum(c * log2 c) / n over the runs of the sorted array."""
-    term = lambda c: c * F.log2(c)
-    empty = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-    step = lambda acc, x: F.when(
-        acc["last"] == x, F.struct(x.alias("last"), (acc["run"] + 1.0).alias("run"), acc["sum"].alias("sum"))
-    ).otherwise(F.struct(
-        x.alias("last"), F.lit(1.0).alias("run"),
-        (acc["sum"] + F.when(acc["run"] > 1.0, term(acc["run"])).otherwise(0.0)).alias("sum")))
-    last = lambda acc: acc["sum"] + F.when(acc["run"] > 1.0, term(acc["run"])).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(F.log2(n) - F.aggregate(F.array_sort(symbols), empty, step, last) / n)
+def _char_entropies(texts: list[bytes | None]) -> np.ndarray:
+    """Bits per character of each UTF-8 text, NaN for a missing one: one table of counts for all texts."""
+    data = [t.decode("utf-8", "replace") if t else "" for t in texts]
+    sizes = np.array([len(t) for t in data])
+    chars = np.frombuffer("".join(data).encode("utf-32-le", "surrogatepass"), np.uint32)
+    present = np.zeros(0x110000, dtype=bool)
+    present[chars] = True
+    number = np.cumsum(present) - 1
+    width = max(1, int(present.sum()))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    terms = np.zeros(len(sizes))
+    step = max(1, COUNTS // width)
+    for k in range(0, len(sizes), step):
+        own = sizes[k : k + step]
+        places = np.repeat(np.arange(len(own)) * width, own) + number[chars[starts[k] : starts[k] + own.sum()]]
+        counts = np.bincount(places, minlength=width * len(own)).reshape(-1, width)
+        terms[k : k + step] = (counts * np.log2(np.maximum(counts, 1))).sum(axis=1)
+    bits = np.where(sizes > 0, np.log2(np.maximum(sizes, 1)) - terms / np.maximum(sizes, 1), 0.0)
+    return np.where([t is None for t in texts], np.nan, bits)
 
 
 def shannon_entropy(text: Column | str, skip: str = "") -> Column:
-    """Bits per character over the character frequencies."""
+    """Bits per character over the character frequencies; Arrow batches, since a native fold over the characters is interpreted."""
     text = as_column(text)
     text = F.replace(text, F.lit(skip), F.lit("")) if skip else text
-    return _bits(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), F.length(text))
+    return _in_batches(_char_entropies, text.cast("binary"))
 
 
 def _entropies(payloads: list[bytes | None]) -> np.ndarray:
@@ -89,17 +100,20 @@ def _entropies(payloads: list[bytes | None]) -> np.ndarray:
     return np.where([p is None for p in payloads], np.nan, bits)
 
 
-def byte_entropy(payload: Column | str) -> Column:
-    """Bits per byte of a binary column; Arrow batches, since a native fold over the bytes is interpreted."""
-
+def _in_batches(entropies: Callable[[list[bytes | None]], np.ndarray], payload: Column) -> Column:
     @F.pandas_udf("double")
     def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for payloads in batches:
-            parts = [_entropies(payloads.iloc[k : k + 1024].tolist()) for k in range(0, len(payloads), 1024)]
+            parts = [entropies(payloads.iloc[k : k + 1024].tolist()) for k in range(0, len(payloads), 1024)]
             yield pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     # Called nondeterministic so that filters on the result don't evaluate it again.
-    return F.nanvl(bits.asNondeterministic()(as_column(payload)), F.lit(None).cast("double"))
+    return F.nanvl(bits.asNondeterministic()(payload), F.lit(None).cast("double"))
+
+
+def byte_entropy(payload: Column | str) -> Column:
+    """Bits per byte of a binary column; Arrow batches, since a native fold over the bytes is interpreted."""
+    return _in_batches(_entropies, as_column(payload))
 
 
 def consonant_ratio(text: Column | str) -> Column:
