@@ -97,3 +97,15 @@ def test_entropy_of_characters_counts_code_points(spark, monkeypatch):
     monkeypatch.setattr(text, "COUNTS", 5)
     got = text._char_entropies([t if t is None else t.encode() for t in texts])
     assert [float(g) for g in got if g == g] == pytest.approx([bits(t) for t in texts if t is not None])
+
+
+def test_feed_lines_are_split_once(spark):
+    from watchloom.sources.feeds import parse_feed_lines
+
+    lines = spark.createDataFrame(
+        [("f", 1, "IPv4|1.2.3.4| |d|T1|a,b # tail"), ("f", 2, " FQDN |Bad.example|low"), ("f", 3, "# note"), ("f", 4, "odd|"), ("f", 5, None), ("f", 6, "odd|x")],
+        "feed_source string, line_no int, line string")
+    feed = parse_feed_lines(lines)
+    assert [tuple(r) for r in feed.orderBy("line_no").collect()] == [
+        ("ip", "1.2.3.4", "high", "f", "d", "T1", "a,b", 1), ("domain", "bad.example", "low", "f", "", "", "", 2), ("ip", "x", "high", "f", "", "", "", 6)]
+    assert feed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

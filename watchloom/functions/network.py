@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import Column, functions as F
 
-from watchloom.functions.columns import as_column, case_of
+from watchloom.functions.columns import as_column
 
 # Feed type words -> indicator type; anything else is an ip.
 IOC_TYPE_ALIASES = {
@@ -19,7 +21,9 @@ FULL_MASK = 0xFFFFFFFF
 
 
 def ioc_type_alias(word: Column | str) -> Column:
-    return case_of(F.lower(F.trim(as_column(word))), IOC_TYPE_ALIASES, "ip")
+    # A map is asked once; the arms of a CASE would compute the word anew.
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(IOC_TYPE_ALIASES.items())])
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(as_column(word)))), F.lit("ip"))
 
 
 def ipv4_long(address: Column | str) -> Column:

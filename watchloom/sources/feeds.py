@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from watchloom.functions.columns import held
 from watchloom.functions.network import ioc_type_alias
 from watchloom.operators.intel import latest_entries
 from watchloom.rules.detection import BUILTIN_RULES
@@ -61,14 +62,14 @@ def load_rules(spark: SparkSession, path: str | None = None, lines: DataFrame |
 def parse_feed_lines(lines: DataFrame) -> DataFrame:
     """Feed entries of (feed_source, line_no, line): type|value|severity|description|mitre_id|tags."""
     line = F.trim(F.translate(F.split_part("line", F.lit("#"), F.lit(1)), "\t\r", "  "))
-    parts = F.split(line, r"\|")
-    text = lambda i: _field(parts, i)
-    severity = text(2)
-    return lines.filter(F.size(parts) >= 2).select(
-        ioc_type_alias(text(0)).alias("type"), F.lower(text(1)).alias("value"),
-        F.when(severity == "", "high").otherwise(severity).alias("severity"), "feed_source",
+    # Split and read once, however many fields and filters use them.
+    rows = held(lines.select("feed_source", "line_no", "line"), _parts=F.split(line, r"\|")).filter(F.size("_parts") >= 2)
+    text = lambda i: _field(F.col("_parts"), i)
+    read = held(rows, type=ioc_type_alias(text(0)), value=F.lower(text(1)), _severity=text(2)).filter("value <> ''")
+    return read.select(
+        "type", "value", F.when(F.col("_severity") == "", "high").otherwise(F.col("_severity")).alias("severity"), "feed_source",
         text(3).alias("description"), text(4).alias("mitre_id"), text(5).alias("tags"), "line_no",
-    ).filter("value <> ''")
+    )
 
 
 def load_ioc_feeds(spark: SparkSession, folder: str) -> DataFrame:
