@@ -109,3 +109,26 @@ def test_feed_lines_are_split_once(spark):
     assert [tuple(r) for r in feed.orderBy("line_no").collect()] == [
         ("ip", "1.2.3.4", "high", "f", "d", "T1", "a,b", 1), ("domain", "bad.example", "low", "f", "", "", "", 2), ("ip", "x", "high", "f", "", "", "", 6)]
     assert feed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_rows_digest_is_computed_once_for_all_trees(spark):
+    from watchloom.operators.anomaly import tree_samples
+
+    rows = spark.range(2_000).selectExpr("id as timestamp_ms", "id as event_id", "array(double(id)) as features")
+    drawn = tree_samples(rows, 8, 64, 3)
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert drawn.groupBy("tree_id").count().filter("count = 64").count() == 8
+
+
+def test_leaves_keep_rows_of_unequal_depths():
+    import numpy as np
+
+    from watchloom.operators.anomaly import _path_lengths, average_path
+
+    # Root 0 with leaf 1 (4 rows) and node 2 with leaves 3 (1 row) and 4 (9 rows).
+    tree = {"left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]), "rows": np.array([14, 4, 10, 1, 9]),
+            "intercept": np.array([0.0, 0, 5, 0, 0]), "normal": np.array([[1.0], [0], [1], [0], [0]])}
+    x = np.array([[-1.0], [2], [7], [np.nan]])
+    assert _path_lengths(x, tree).tolist() == [1 + average_path(4), 2 + average_path(1), 2 + average_path(9), 2 + average_path(9)]
+    leaf = {k: v[1:2] for k, v in tree.items()}
+    assert _path_lengths(x, leaf).tolist() == [float(average_path(4))] * 4

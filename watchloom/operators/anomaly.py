@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from watchloom.functions.columns import div_floor, fixed
+from watchloom.functions.columns import div_floor, explode_once, fixed, held
 from watchloom.operators.sequence import sequence, with_predecessors
 from watchloom.session import cut
 
@@ -99,9 +99,8 @@ def _maps(trees: int, seed: int) -> list[tuple[int, int]]:
     return [(int(d[:7], 16) + 1, int(d[7:14], 16)) for d in digests]
 
 
-def _draws(trees: int, seed: int, order: Sequence[str]) -> Column:
+def _draws(trees: int, seed: int, row: Column) -> Column:
     """For each tree a number in [0, 2**31 - 1) of a row: an affine map, drawn for the tree, of one digest of the row."""
-    row = _row_number(order)
     return F.array(*[F.struct(F.lit(t).alias("tree_id"), ((row * a + b) % _PRIME).alias("_h")) for t, (a, b) in enumerate(_maps(trees, seed))])
 
 
@@ -114,8 +113,10 @@ def tree_samples(
     2 x subsample rows however many there are.
     """
     share = min(1.0, 2.0 * subsample / max(1, rows.count()))
-    found = F.filter(_draws(trees, seed, order), lambda x: x["_h"] <= int(share * _PRIME))
-    drawn = rows.select("features", *order, F.explode(found).alias("_d")).select("_d.tree_id", "_d._h", *order, "features")
+    # The digest is computed once per row, not once per tree.
+    numbered = held(rows.select("features", *order), _row=_row_number(order))
+    found = F.filter(_draws(trees, seed, F.col("_row")), lambda x: x["_h"] <= int(share * _PRIME))
+    drawn = explode_once(numbered, ["features", *order], found, "_d").select("_d.tree_id", "_d._h", *order, "features")
     place = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", *order))
     return drawn.withColumn("_place", place).filter(F.col("_place") <= subsample)
 
@@ -146,19 +147,29 @@ def train_forest(
     return tree_samples(rows, trees, subsample, seed, order).groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA)
 
 
+def _laid_out(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A tree to descend without asking for leaves: a leaf is its own child and knows its path length."""
+    n = len(tree["left"])
+    inner = tree["left"] >= 0
+    child = np.stack([np.where(inner, tree[side], np.arange(n)) for side in ("right", "left")], axis=1).ravel()
+    depth = np.zeros(n)
+    level, steps = np.array([0]), 0
+    while len(level := level[inner[level]]):
+        level = np.concatenate([tree["left"][level], tree["right"][level]])
+        steps += 1
+        depth[level] = steps
+    return {"child": child, "normal": tree["normal"], "intercept": tree["intercept"],
+            "path": depth + average_path(tree["rows"]), "steps": steps}
+
+
 def _path_lengths(x: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
     """Path length of every row in one tree: all rows descend a level at a time."""
+    tree = _laid_out(tree)
     at = np.zeros(len(x), dtype=np.int64)
-    depth = np.zeros(len(x))
-    while True:
-        inner = tree["left"][at] >= 0
-        if not inner.any():
-            break
-        node = at[inner]
-        goes_left = np.einsum("ij,ij->i", x[inner], tree["normal"][node]) < tree["intercept"][node]
-        at[inner] = np.where(goes_left, tree["left"][node], tree["right"][node])
-        depth[inner] += 1
-    return depth + average_path(tree["rows"][at])
+    for _ in range(tree["steps"]):
+        goes_left = np.einsum("ij,ij->i", x, tree["normal"].take(at, axis=0)) < tree["intercept"].take(at)
+        at = tree["child"].take(2 * at + goes_left)
+    return tree["path"].take(at)
 
 
 def score_forest(rows: DataFrame, forest: DataFrame, subsample: int = SUBSAMPLE) -> DataFrame:
