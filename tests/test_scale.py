@@ -132,3 +132,15 @@ def test_leaves_keep_rows_of_unequal_depths():
     assert _path_lengths(x, tree).tolist() == [1 + average_path(4), 2 + average_path(1), 2 + average_path(9), 2 + average_path(9)]
     leaf = {k: v[1:2] for k, v in tree.items()}
     assert _path_lengths(x, leaf).tolist() == [float(average_path(4))] * 4
+
+
+def test_segments_stay_in_arrow_and_carry_only_what_they_need(spark):
+    from watchloom.operators.cooldown import cooldown
+
+    df = spark.range(3_000).selectExpr("if(id % 3 = 0, null, id % 3) as k", "id * 10 as timestamp_ms", "id as event_id")
+    kept = cooldown(df, ["k"], 1, fold_rows=0, segment_rows=200)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and plan.count("FlatMapGroupsInPandas") == 1
+    # Each key has an event every 30 ms, so the next one after a second is 34 events on.
+    got = kept.groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in got} == {None: 30, 1: 30, 2: 30}

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from watchloom.functions.columns import as_column, div_floor
@@ -48,10 +50,17 @@ def _entry_fires(ts: np.ndarray, nxt: np.ndarray, able: np.ndarray, own: int, ta
     return np.concatenate([[fresh], np.maximum(nxt[tail], fresh)]).astype(np.int64)
 
 
-def _segment_exits(pdf: pd.DataFrame) -> pd.DataFrame:
-    ts, ids = pdf["_ms"].to_numpy(), pdf["_id"].to_numpy()
-    need, window, cooldown = (int(pdf[c].iloc[0]) for c in ("_need", "_window", "_cooldown"))
-    own = int(pdf["_tail"].sum())
+def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, int, dict[str, int]]:
+    """Times, ids and number of tail rows of a segment in order, and the values that all its rows share."""
+    ts, ids = (table.column(c).to_numpy() for c in ("_ms", "_id"))
+    order = np.lexsort((ids, ts))
+    shared = {c: table.column(c)[0].as_py() for c in table.column_names if c not in ("_ms", "_id")}
+    return ts[order], ids[order], int(pc.sum(table.column("_tail")).as_py()), shared
+
+
+def _segment_exits(table: pa.Table) -> dict[str, np.ndarray]:
+    ts, ids, own, shared = _ordered(table)
+    need, window, cooldown = (shared[c] for c in ("_need", "_window", "_cooldown"))
     nxt, able = _next_fire(ts, need, window, cooldown)
     tail = np.arange(own)
     first = _entry_fires(ts, nxt, able, own, tail)
@@ -65,7 +74,7 @@ def _segment_exits(pdf: pd.DataFrame) -> pd.DataFrame:
             break
         last = jumped
     leave = last[first]
-    reach = int(pdf["_end"].iloc[0]) - max(window, cooldown)
+    reach = shared["_end"] - max(window, cooldown)
     held = (leave < n) & (np.append(ts, 0)[leave] >= reach)
     exit_ms = np.where(held, np.append(ts, 0)[leave], _NONE)
     exit_id = np.where(held, np.append(ids, 0)[leave], _NONE)
@@ -73,10 +82,10 @@ def _segment_exits(pdf: pd.DataFrame) -> pd.DataFrame:
     entry_id = np.concatenate([[_NONE], ids[tail]])
     change = np.ones(len(entry_ms), dtype=bool)
     change[1:] = (exit_id[1:] != exit_id[:-1]) | (exit_ms[1:] != exit_ms[:-1])
-    return pd.DataFrame({
+    return {
         "entry_ms": entry_ms[change], "entry_id": entry_id[change],
         "exit_ms": exit_ms[change], "exit_id": exit_id[change],
-    })
+    }
 
 
 def _chain_segments(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,12 +103,11 @@ def _chain_segments(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _segment_fires(pdf: pd.DataFrame) -> pd.DataFrame:
-    ts, ids = pdf["_ms"].to_numpy(), pdf["_id"].to_numpy()
-    need, window, cooldown = (int(pdf[c].iloc[0]) for c in ("_need", "_window", "_cooldown"))
-    own = int(pdf["_tail"].sum())
+def _segment_fires(table: pa.Table) -> dict[str, np.ndarray]:
+    ts, ids, own, shared = _ordered(table)
+    need, window, cooldown = (shared[c] for c in ("_need", "_window", "_cooldown"))
     nxt, able = _next_fire(ts, need, window, cooldown)
-    at = np.flatnonzero((ts[:own] == pdf["state_ms"].iloc[0]) & (ids[:own] == pdf["state_id"].iloc[0]))
+    at = np.flatnonzero((ts[:own] == shared["state_ms"]) & (ids[:own] == shared["state_id"]))
     prev = int(at[0]) if len(at) else -1
     row = int(_entry_fires(ts, nxt, able, own, at[:1])[-1])
     rows, counts = [], []
@@ -108,15 +116,14 @@ def _segment_fires(pdf: pd.DataFrame) -> pd.DataFrame:
         rows.append(row)
         counts.append(row - max(oldest - 1, prev))
         prev, row = row, int(nxt[row])
-    return pd.DataFrame({"_ms": ts[rows], "_id": ids[rows], "fired_count": np.array(counts, dtype=np.int64)})
+    return {"_ms": ts[rows], "_id": ids[rows], "fired_count": np.array(counts, dtype=np.int64)}
 
 
 def _grouped(fn, keys: Sequence[str]):
-    """Run a segment function on an ordered group and put the keys back."""
+    """Run a function on the ordered frame of a group and put the keys back."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["_ms", "_id"] if "_ms" in pdf.columns else ["_seg"]
-        out = fn(pdf.sort_values(order, kind="stable").reset_index(drop=True))
+        out = fn(pdf.sort_values("_seg", kind="stable").reset_index(drop=True))
         for key in keys:
             out[key] = pdf[key].iloc[0] if len(out) else pd.Series(dtype=pdf[key].dtype)
         return out
@@ -124,6 +131,19 @@ def _grouped(fn, keys: Sequence[str]):
     return run
 
 
+def _per_segment(fn, keys: Sequence[str]):
+    """Run a segment function and put the keys back. Rows stay in Arrow: only times and ids become arrays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {name: pa.array(values, pa.int64()) for name, values in fn(table).items()}
+        n = len(next(iter(columns.values())))
+        for key in keys:
+            columns[key] = pa.repeat(table.column(key)[0], n)
+        return pa.table(columns)
+
+    return run
+
+
 def _fire_in_segments(rows: DataFrame, keys: Sequence[str], segment_rows: int) -> DataFrame:
     """Fires of long histories. ``rows``: keys, _ms, _id, _need, _window, _cooldown, _rows, _lo, _hi."""
     keys = list(keys)
@@ -138,14 +158,15 @@ def _fire_in_segments(rows: DataFrame, keys: Sequence[str], segment_rows: int) -
         .select("*", F.explode(F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))).alias("_seg"))
         .withColumn("_tail", F.col("_seg") > F.col("_home"))
         .withColumn("_end", F.col("_lo") + (F.col("_seg") + 1) * F.col("_span"))
+        .select(*keys, "_seg", "_ms", "_id", "_need", "_window", "_cooldown", "_tail", "_end")
     )
     # A tail without own rows is a segment nothing fires in, but it must still be left.
     types = {f.name: f.dataType for f in cut.schema.fields}
     key_fields = [T.StructField(k, types[k]) for k in keys]
     longs = lambda names: [T.StructField(n, T.LongType()) for n in names]
 
-    exits = cut.groupBy(*keys, "_seg").applyInPandas(
-        _grouped(_segment_exits, [*keys, "_seg"]),
+    exits = cut.groupBy(*keys, "_seg").applyInArrow(
+        _per_segment(_segment_exits, [*keys, "_seg"]),
         T.StructType(longs(["entry_ms", "entry_id", "exit_ms", "exit_id"]) + key_fields + longs(["_seg"])),
     )
     states = exits.groupBy(*keys).applyInPandas(
@@ -155,8 +176,8 @@ def _fire_in_segments(rows: DataFrame, keys: Sequence[str], segment_rows: int) -
     return (
         cut.join(states, [*keys, "_seg"])
         .groupBy(*keys, "_seg")
-        .applyInPandas(
-            _grouped(_segment_fires, keys),
+        .applyInArrow(
+            _per_segment(_segment_fires, keys),
             T.StructType(longs(["_ms", "_id", "fired_count"]) + key_fields),
         )
     )
