@@ -144,3 +144,14 @@ def test_segments_stay_in_arrow_and_carry_only_what_they_need(spark):
     # Each key has an event every 30 ms, so the next one after a second is 34 events on.
     got = kept.groupBy("k").count().collect()
     assert {r.k: r["count"] for r in got} == {None: 30, 1: 30, 2: 30}
+
+
+def test_an_items_rows_are_sorted_by_a_number_first(spark):
+    from watchloom.operators.snapshots import CONNECTIONS, snapshot_changes
+
+    row = lambda ms, port, state: (1, ms, "tcp", "a", 1, None, port, state)
+    rows = spark.createDataFrame([row(1, 80, "x"), row(2, 80, "x"), row(2, 81, "y"), row(2, 81, "z")], "device_id long, timestamp_ms long, "
+                                 "protocol string, local_addr string, local_port int, remote_addr string, remote_port int, state string")
+    changes = snapshot_changes(rows, CONNECTIONS)
+    assert [(r.timestamp_ms, r.remote_port, r.change, r.new_state) for r in changes.collect()] == [(2, 81, "added", "z")]
+    assert "Sort [_item#" in changes._jdf.queryExecution().executedPlan().toString()

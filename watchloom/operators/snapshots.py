@@ -55,9 +55,11 @@ def snapshot_changes(snapshots: DataFrame, inventory: Inventory, headers: DataFr
     text = lambda v: F.col(v).cast("string")
     entry = F.struct(*[text(v).alias(f"_{v}") for v in values], *values)
     placed = snapshots.join(snapshot_times(snapshots, headers), ["device_id", "timestamp_ms"]).select(
-        "device_id", "timestamp_ms", "before", "after", *keys, entry.alias("entry"))
-    items = placed.repartition("device_id", *keys).groupBy("device_id", *keys, "timestamp_ms", "before", "after").agg(F.max("entry").alias("entry"))
-    along = Window.partitionBy("device_id", *keys).orderBy("timestamp_ms")
+        F.xxhash64("device_id", *keys).alias("_item"), "device_id", "timestamp_ms", "before", "after", *keys, entry.alias("entry"))
+    # Sorted by a number first: comparing devices and texts is left to items whose numbers are equal.
+    item = ["_item", "device_id", *keys]
+    items = placed.repartition("_item").groupBy(*item, "timestamp_ms", "before", "after").agg(F.max("entry").alias("entry"))
+    along = Window.partitionBy(*item).orderBy("timestamp_ms")
     seen = items.withColumns({
         "seen": F.lag("timestamp_ms").over(along), "old": F.lag("entry").over(along), "again": F.lead("timestamp_ms").over(along)})
     there = F.col("seen").eqNullSafe(F.col("before"))
