@@ -55,6 +55,16 @@ def test_cache_starts_anew_when_full():
     assert len(seen) > 4
 
 
+def test_full_cache_keeps_words_met_again():
+    seen = []
+    cache = WordIds(lambda words: (seen.extend(words), (np.array([len(w) for w in words]), np.array([c for w in words for c in w], np.int32)))[1], most=4)
+    for text in ("a bb", "xx bb", "yy zz bb", "uuu bb", "a"):
+        offsets, ids = cache.texts(*utf8(pa.array([text])))
+        assert bytes(ids.astype(np.uint8).tobytes()) == text.encode() and offsets.tolist() == [0, len(text)]
+        assert len(cache.slot) <= 4
+    assert seen.count(b" bb") == 1 and seen.count(b"a") == 2
+
+
 @pytest.fixture(scope="module")
 def encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
@@ -67,6 +77,31 @@ def test_words_as_tiktoken(encoding):
     assert [ids[e - c : e].tolist() for c, e in zip(counts, np.cumsum(counts), strict=True)] == [encoding._encode_single_piece(w) for w in words]
 
 
+def test_queries_start_from_sure_pairs(encoding):
+    coder, words = bpe.bpe(RANKS), [w.encode() for w in (" internationalisation", " Verantwortungsbereich", "electroencephalograph", " xqzjk", " désordonnément")]
+    part, data = np.repeat(np.arange(len(words)), [len(w) for w in words]), np.frombuffer(b"".join(words), np.uint8)
+    of, tokens = coder._first_pairs(part, data)
+    assert len(tokens) < 0.8 * len(data) and coder.decode(np.searchsorted(of, np.arange(len(words) + 1)), tokens) == words
+    of, tokens = coder._contract(part, data)
+    assert [tokens[of == k].tolist() for k in range(len(words))] == [encoding._encode_single_piece(w) for w in words]
+
+
+def test_any_ranks_as_tiktoken(tmp_path):
+    """Also tokens that no two tokens of lower rank make."""
+    draw = random.Random(11)
+    for k in range(30):
+        longer = [b"ab", *("".join(draw.choices("abc", k=draw.randint(2, 5))).encode() for _ in range(draw.choice((6, 30, 120))))]
+        tokens = [bytes([b]) for b in range(256)] + sorted(set(longer))
+        if k % 2:
+            draw.shuffle(tokens)
+        path = tmp_path / f"{k}.tiktoken"
+        path.write_bytes(b"".join(b"%s %d\n" % (base64.b64encode(t), r) for r, t in enumerate(tokens)))
+        own = tiktoken.Encoding("any", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+        words = ["".join(draw.choices("abcd", (5, 5, 5, 1), k=draw.randint(1, 40))).encode() for _ in range(300)]
+        counts, ids = bpe.Bpe(path).encode_words(words)
+        assert [ids[e - c : e].tolist() for c, e in zip(counts, np.cumsum(counts), strict=True)] == [own._encode_single_piece(w) for w in words]
+
+
 def test_added_tokens_as_the_library():
     texts = ["one <|endoftext|> two", "<|endoftext|>", "", "<|endoftext|><|endoftext|> x", "a<|endoftext|", "plain  words", "é<|endoftext|>\n漢", None, "<|endoftext|> end <|endoftext|>"]
     offsets, ids = simple8b.text_ids(JSON).texts(*utf8(pa.array(texts, pa.string())))

@@ -1,15 +1,16 @@
 """Byte-level BPE by recursive DuckDB queries inside the tasks that Spark deals out.
 
-A task splits its texts into words and looks up the distinct ones it hasn't met. A recursive query holds one row per
-token position, joins neighbouring tokens with the merge table and contracts, in every word, the leftmost pair of the
-least rank until no pair can be merged. Where no pair with the merged token could have a lower rank, all pairs of that
-rank go together, so long runs of one character take few steps. Long words that one query leaves open go on
-in a second form, where all pairs go at once that nothing can forestall: a pair of rank m
-whose neighbouring pairs have higher ranks, where no longer token that ends with the one before the pair (or begins with
-the one after it) has a pair of rank m or less with the pair's own token. Whatever is merged around such a pair first,
-it is still there when its rank's turn comes, so the steps of a word grow with the depth of its merges, not with its
-length. Words are cut where no token of the vocabulary holds the two bytes. All this gives exactly the ids of one
-contraction at a time. Decoding joins ids with the vocabulary and aggregates the bytes in order.
+A task splits its texts into words and looks up the distinct ones it hasn't met. Pairs of two bytes that nothing can
+forestall, and whose token takes part in no pair of a lower rank, are contracted first, from tables by two bytes. A
+recursive query then holds one row per token position, joins neighbouring tokens with the merge table and contracts, in
+every word, the leftmost pair of the least rank until no pair can be merged. Where no pair with the merged token could
+have a lower rank, all pairs of that rank go together, so long runs of one character take few steps. Long words that one
+query leaves open go on in a second form, where all pairs go at once that nothing can forestall: a pair of rank m whose
+neighbouring pairs have higher ranks, where no longer token that ends with the one before the pair (or begins with the
+one after it) has a pair of rank m or less with the pair's own token. Whatever is merged around such a pair first, it is
+still there when its rank's turn comes, so the steps of a word grow with the depth of its merges, not with its length.
+Words are cut where no token of the vocabulary holds the two bytes. All this gives exactly the ids of one contraction at
+a time. Decoding joins ids with the vocabulary and aggregates the bytes in order.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from watchloom.llm.pretoken import WordIds
 POSITIONS, STEP_ROWS = 150_000, 2_000_000
 #: Positions of a word that one query leaves open, from which on the second form of the steps is used.
 LONG = 256
+#: The rank of what is no pair.
+NEVER = np.iinfo(np.int32).max
 #: Bytes of memory of the database, and for each position of an uncut word where that is more; nothing is spilled.
 MEMORY, POSITION_MEMORY = 400 << 20, 1_000
 
@@ -118,6 +122,20 @@ class Bpe:
         unsafe = np.zeros(max(ranks.values()) + 1, bool)
         unsafe[l[m < l]] = True
         unsafe[r[m < r]] = True
+        # by two bytes: the rank of their pair, and the least rank at which a longer token that ends with the first takes
+        # the second, or one that begins with the second takes the first
+        self.pair, self.taken_before, self.taken_after = np.full((3, 256, 256), NEVER, np.int32)
+        for t, k in ranks.items():
+            if len(t) == 2:
+                self.pair[t[0], t[1]] = k
+            elif len(t) > 2:
+                if t[:-1] in ranks:
+                    self.taken_before[t[-2], t[-1]] = min(k, self.taken_before[t[-2], t[-1]])
+                if t[1:] in ranks:
+                    self.taken_after[t[0], t[1]] = min(k, self.taken_after[t[0], t[1]])
+        known = self.pair < NEVER
+        self.sure = known & ~np.eye(256, dtype=bool)
+        self.sure[known] &= ~unsafe[self.pair[known]]
         self.db.register("given", pa.table({"l": l, "r": r, "m": m, "safe": ~unsafe[m]}))
         self.db.execute("create table merges as select * from given")
         name = {r: t for t, r in ranks.items()}
@@ -139,13 +157,14 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all ids in a row."""
-        known = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
+        known = np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int64, len(words))
         rest = np.flatnonzero(known < 0)
         counts, parts = np.ones(len(words), np.int64), [(np.flatnonzero(known >= 0), known[known >= 0].astype(np.int32))]
         if not len(rest):
             return counts, parts[0][1]
-        sizes = np.fromiter((len(words[k]) for k in rest), np.int64, len(rest))
-        data = np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)
+        unknown = [words[k] for k in rest.tolist()]
+        sizes = np.fromiter(map(len, unknown), np.int64, len(rest))
+        data = np.frombuffer(b"".join(unknown), np.uint8)
         cut = np.append(True, ~self.joined[data[:-1], data[1:]])
         cut[np.cumsum(sizes)[:-1]] = True
         begins = np.flatnonzero(cut)
@@ -161,9 +180,26 @@ class Bpe:
         owner = np.concatenate([p[0] for p in parts])
         return counts, np.concatenate([p[1] for p in parts])[np.argsort(owner, kind="stable")]
 
+    def _first_pairs(self, part: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part number, token id) after the pairs of two bytes that nothing can forestall and whose token forestalls nothing."""
+        here, after = data[:-1], data[1:]
+        rank = np.full(len(data) + 1, NEVER, np.int32)  # of the pair that ends at a byte
+        before, behind = rank.copy(), rank.copy()
+        inside = part[1:] == part[:-1]
+        rank[1:-1] = np.where(inside, self.pair[here, after], NEVER)
+        before[1:-1] = np.where(inside, self.taken_before[here, after], NEVER)
+        behind[1:-1] = np.where(inside, self.taken_after[here, after], NEVER)
+        own = rank[1:-1]
+        pick = (own < np.minimum(rank[:-2], rank[2:])) & (own < np.minimum(before[:-2], behind[2:])) & self.sure[here, after]
+        tokens = self.bytes[data]
+        tokens[:-1][pick] = own[pick]
+        kept = np.append(True, ~pick)
+        return part[kept], tokens[kept]
+
     def _contract(self, part: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(part number, token id) of all tokens of the parts of words whose bytes are given, in order."""
-        state = {"w": part.astype(np.int32), "t": self.bytes[data]}
+        part, tokens = self._first_pairs(part, data)
+        state = {"w": part.astype(np.int32), "t": tokens}
         done, steps = [], _STEPS
         self.db.execute(f"set memory_limit = '{max(MEMORY, len(data) * POSITION_MEMORY) >> 20}MiB'")
         while n := len(state["w"]):

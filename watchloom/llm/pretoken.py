@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ def split_words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]
 
 
 class WordIds:
-    """Token ids of words, remembered up to a number of words; a full cache starts anew.
+    """Token ids of words, remembered up to a number of words; a full cache keeps those that were met again.
 
     ``encode`` gets a list of new words (bytes) and returns the number of ids of each, and all ids in a row.
     """
@@ -81,23 +82,39 @@ class WordIds:
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, bool)  # again, since a word came or the cache was last full
+
+    def _make_room(self, wanted: int) -> None:
+        kept = np.flatnonzero(self.met)
+        if len(kept) + wanted > self.most:
+            return self._clear()
+        words = list(self.slot)  # in the order of their slots
+        self.slot = {words[k]: slot for slot, k in enumerate(kept.tolist())}
+        begin, self.count = self.begin[kept], self.count[kept]
+        self.flat = self.flat[np.repeat(begin, self.count) + runs(self.count)]
+        self.begin, self.met = np.cumsum(self.count) - self.count, np.zeros(len(kept), bool)
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all ids in a row."""
         if not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.slot) + len(distinct) > self.most:
-            self._clear()
-        fresh = [w for w in distinct if w not in self.slot]
-        if fresh:
+            self._make_room(len(distinct))
+        slots = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int64, len(distinct))
+        self.met[slots[slots >= 0]] = True
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            fresh = [distinct[k] for k in new.tolist()]
             counts, flat = self.encode(fresh)
-            self.slot.update(zip(fresh, range(len(self.slot), len(self.slot) + len(fresh)), strict=True))
+            slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
+            self.slot.update(zip(fresh, slots[new].tolist(), strict=True))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.flat = np.concatenate([self.flat, flat])
-        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            self.met = np.append(self.met, np.zeros(len(new), bool))
+        slots = slots[coded.indices.to_numpy()]
         counts = self.count[slots]
         return counts, self.flat[np.repeat(self.begin[slots], counts) + runs(counts)]
 
